@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +92,24 @@ def ship(spark: SparkSession) -> None:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}-package", "zip", root.parent, root.name))
         _shipped.add(app)
+
+
+#: Names of the two columns that tell rows apart.
+KEY = ["_file", "_row"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with KEY: the file a row is read from and its place there, the same at every reading.
+
+    A frame that is not a plain reading of files is written to the shared folder first.
+    """
+
+    def read(files: DataFrame) -> DataFrame:
+        meta = files.metadataColumn("_metadata")
+        return files.select("*", F.xxhash64(meta["file_path"]).alias(KEY[0]), meta["row_index"].alias(KEY[1]))
+
+    df = df.drop(*KEY)
+    try:
+        return read(df)
+    except AnalysisException:
+        return read(cut(df, "keyed"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, urlfilter
+from . import bpe, fingerprint, linededup, mixing, quality, sharding, urlfilter
 from .common import WORD, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -86,11 +86,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "covered_words", "longest_repeat")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["lines"]), F.lit(0))
+    return kept.select("doc_id", gone.cast("long").alias("n_deleted_lines"), F.col("_runs").alias("deleted_runs"), "text")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    print_, edited, following = (F.col(c) for c in ("sketch", "edited_sketch", "next_sketch"))
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.as_string(print_).alias("fingerprint"), fingerprint.as_string(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(print_, edited).alias("near_edited"), fingerprint.resemblance(print_, following).alias("near_next"),
+        fingerprint.distinct_count(print_).alias("n_shingles"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_urls": op5_urls,
+    "op7_lines": op7_lines,
+    "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {"op5_urls": OP5_SQL}
