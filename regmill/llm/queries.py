@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, mixing, quality, sharding, urlfilter
+from . import bpe, fingerprint, linededup, mixing, neardup, quality, sharding, urlfilter
 from .common import WORD, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -102,6 +102,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
@@ -110,5 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lines": op7_lines,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {"op5_urls": OP5_SQL}
