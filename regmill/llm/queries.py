@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, linededup, mixing, neardup, quality, sharding, urlfilter
+from . import bpe, fingerprint, license, linededup, mixing, neardup, quality, sharding, urlfilter, warc
 from .common import WORD, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -107,11 +107,24 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return found.select(*first, "url_key", "captured_at", "archive", "offset", "length", "part", "place")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), "licenses")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_urls": op5_urls,
+    "op6_licenses": op6_licenses,
     "op7_lines": op7_lines,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
