@@ -107,6 +107,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     """docs, one row for each, with the text that stays and `_runs` (null where nothing was deleted)."""
     rows = keyed(docs.drop("_runs"))
     runs = cut(deleted_runs(rows, doc_id, text, least), "runs")
-    joined = rows.join(runs, KEY, "left")
+    # the same join at every size: the runs of a large table are no broadcast
+    joined = rows.join(runs.hint("merge"), KEY, "left")
     left = F.when(F.col("_runs").isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col("_runs")))
     return joined.withColumn(text, left).select(*[F.col(f"`{c}`") for c in docs.columns if c != "_runs"], "_runs")
