@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = keyed(docs)
     gone = neardup.near_duplicates(rows.select("doc_id", "text", *KEY), size=5, percent=80).where(~F.col("first")).select(*KEY)
-    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("merge"), KEY, "left_anti").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
     rated = with_quality(rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_words"), *KEY), spark, sf_dir)
     taken = mixing.mix(rated, "doc_id", F.col("_words"), F.col("source"), quality_weight(), carry=tuple(KEY)).where("copies > 0").select(*KEY, "copies")
-    return rows.join(taken, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return rows.join(taken.hint("merge"), KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
