@@ -52,10 +52,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, packed, and proof that they decode to the text."""
     ship(spark)
-    ranks = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs.select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
-    return both.select("doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    both = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    return both.select("doc_id", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [

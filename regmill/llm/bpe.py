@@ -86,6 +86,23 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids: str = "ids", into:
     return df.withColumn(into, _udf(df.sparkSession, rank_path, pattern, decode_ids)(F.col(ids)))
 
 
+def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with `ids` and with `decoded`, the bytes decoded from those ids: both steps in one worker, which keeps one vocabulary."""
+    with open(rank_path, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
+
+    @F.arrow_udf("ids binary, decoded binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = _encoding(ranks.value, pattern)
+        for batch in batches:
+            ids = pa.array((encode_text(enc, x.as_py()) for x in batch), pa.binary())
+            decoded = pa.array((decode_ids(enc, x.as_py()) for x in ids), pa.binary())
+            yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    both = df.drop("ids", "decoded").withColumn("_both", run(F.col(text)))
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")], "_both.ids", "_both.decoded")
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 

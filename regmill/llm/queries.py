@@ -21,9 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    both = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
+    both = bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return both.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
