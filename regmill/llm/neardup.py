@@ -142,6 +142,48 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"v": pa.array(np.concatenate(sets) if sets else [], pa.int64()), "nid": pa.array(ids, pa.int64())})
 
 
+def _unsure(percent: int) -> int:
+    """Size of the largest set that may be linked with another and share no run of RUN values with it.
+
+    `both` common values that `own` others cut into own + 1 parts hold no such run if no part is longer than RUN - 1.
+    """
+    sizes = [both + own for both in range(1, K) for own in range(1, K - both + 1) if 100 * both >= percent * (both + own) and both <= (RUN - 1) * (own + 1)]
+    return max(sizes, default=0)
+
+
+def _prefixes_of(percent: int):
+    """Keys of whole sets, such that two sets which may be linked share one; each goes with the side of the key's two sizes.
+
+    Two sets of n and m values that are linked have so many values in common that the first values of both, in one
+    order of all values, hold a common one: n less those, and one more. A key is a value and the classes of both sizes.
+    """
+    kind = [0, *(int(16 * np.log2(n)) for n in range(1, K + 1))]
+    firsts: list[dict[int, int]] = [{} for _ in range(K + 1)]
+    for n in range(1, K + 1):
+        for m in range(1, K + 1):
+            both = -(-percent * (n + m) // (100 + percent))
+            if both <= min(n, m):
+                firsts[n][kind[m]] = max(firsts[n].get(kind[m], 0), n - both + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ids, sides = [], [], []
+            for nid, n, vs in zip(b.column("nid").to_pylist(), b.column("n").to_pylist(), b.column("vs").to_pylist(), strict=True):
+                # values of no other set come first in the order, and are not listed
+                alone = n - len(vs)
+                v = np.array([x["v"] for x in vs], np.int64).view(np.uint64)
+                for other, first in firsts[n].items():
+                    own = v[: max(0, first - alone)]
+                    pair = [np.full(len(own), k, np.uint64) for k in sorted((kind[n], other))]
+                    keys.append(_chained([own, *pair]))
+                    ids.append(np.full(len(own), nid, np.int64))
+                    sides.append(np.full(len(own), np.sign(other - kind[n]), np.int64))
+            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ids, sides)]
+            yield pa.record_batch({"key": pa.array(made[0].view(np.int64)), "nid": pa.array(made[1]), "side": pa.array(made[2])})
+
+    return run
+
+
 def _in_blocks(percent: int):
     """Of two blocks of one family, links that join components: as many as there are joins, at most."""
 
@@ -216,8 +258,8 @@ class _Job:
         return links
 
     def links(self) -> DataFrame:
-        # two different sets are linked only if the larger has so many shingles
-        nodes = self.nodes.where((100 - self.percent) * F.col("n") >= 100)
+        # a set has a different partner only if its values, one of them not counted in the larger set, are enough
+        nodes = self.nodes.where((100 - self.percent) * F.col("n") >= self.percent)
         postings = cut(self.runs(nodes, RUN, STARTS), "postings")
         lists = cut(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
         shared = cut(postings.join(lists, "key"), "shared")
@@ -249,7 +291,23 @@ class _Job:
         again = long.select("nid").distinct()
         deeper = self.runs(nodes.join(cut(again, "again"), "nid", "left_semi"), LONG_RUN, K)
         short6, long6 = several(labelled(deeper), "deeper")
-        return pairs(short).unionByName(pairs(short6)).distinct().join(done, ["a", "b"], "left_anti"), self.blocks(long6)
+        # sets too small to be sure of a common run
+        whole = nodes.where(F.col("n") <= _unsure(self.percent))
+        short1, long1 = several(labelled(self.prefixes(whole)), "prefixes")
+        found = pairs(short).unionByName(pairs(short6)).unionByName(pairs(short1))
+        return found.distinct().join(done, ["a", "b"], "left_anti"), self.blocks(long6.unionByName(long1))
+
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """Lists (key, nid) of nodes whose sketches are their whole sets: any two that may be linked are in one list."""
+        sketches = nodes.select("nid", F.col("sketch").alias("set"))
+        values = cut(sketches.mapInArrow(_values, "v long, nid long"), "values")
+        common = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+        held = values.join(common, "v").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
+        listed = held.join(nodes.select("nid", "n"), "nid").select("nid", "n", "vs")
+        keys = cut(listed.mapInArrow(_prefixes_of(self.percent), "key long, nid long, side long"), "prefix-keys")
+        # both sizes of a key must occur
+        met = keys.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo <> hi OR lo = 0").select("key")
+        return keys.join(met, "key").select("key", "nid")
 
     def blocks(self, members: DataFrame) -> DataFrame:
         """Links between components among the members (key, nid, label) of long lists."""

@@ -88,3 +88,28 @@ def test_edges(spark):
     docs = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "a b c"), (None, long), (7, long.upper()), (7, long), (7, "other words here now"), (8, long + " end"), (0, "x")]
     check(spark, docs)
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_short_text_and_the_same_with_one_word_more(spark, n, percent):
+    docs = []
+    for i in range(30):
+        text = [f"d{i}w{j}" for j in range(8)]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "more"]))]
+    assert [c for _, c in brute(docs, n, percent)] == [2 * (i // 2) for i in range(60)]
+    check(spark, docs, n, percent)
+
+
+def test_four_of_five_values_without_a_common_run(spark):
+    """The extra value lies between two and two of the shared ones, so that no run of three is shared."""
+    docs, i = [], 0
+    while len(docs) < 12:
+        text = [f"s{i}w{j}" for j in range(9)]
+        small, large = (set(neardup.shingle_set(" ".join(x), 5, {}).tolist()) for x in (text[:8], text))
+        if sorted(large).index((large - small).pop()) == 2:
+            docs += [(2 * i, " ".join(text[:8])), (2 * i + 1, " ".join(text))]
+        i += 1
+    # many texts with the same four shingles and another fifth one are linked by the text that has the four only
+    docs += [(5000 + j, f"you must log in to view this page {j}") for j in range(40)] + [(4000, "you must log in to view this page")]
+    docs += [(7000 + j, f"texts that lack the one with four shingles {j}") for j in range(40)]
+    check(spark, docs, 5, 80)
