@@ -11,11 +11,13 @@ miss all of the first `STARTS` runs with probability 1e-6, of 0.85 with 1e-8).
 2. The union of two sketches estimates similarity; pairs below the threshold by more than four deviations go,
    the others are confirmed on full sets. Links give components.
 3. Lists whose members lie in several components are looked at again: short lists pair all members of different
-   components, long ones go over to runs of six values. Members of lists that are still long are left out only if
-   so many of their shingles occur in no other such member that no link is possible. The others are gathered into
-   families that hang together by lists, and compared in blocks by their full sets inside tasks, which return the
-   links that join components. So no list is capped and no pair in a list is left out, except pairs that are
-   already in one component.
+   components. Of long ones, the members with K shingles at most are listed again by prefixes of their whole sets
+   (rare values first), of which any two that may be linked share one; so are all sets too small to be sure of a
+   common run of three. Pairs with a larger set go over to runs of six values, which two sets at the threshold may
+   miss with a small probability. Members of lists that are still long are left out only if so many of their
+   shingles occur in no other such member that no link is possible. The others are gathered into families that hang
+   together by lists, and compared in blocks by their full sets inside tasks, which return the links that join
+   components. So no list is capped, and pairs of small sets are left out only if they are in one component already.
 
 Documents may repeat and share ids; each row gets a row. A null id is linked like any other; its component has
 the smallest id that is not null, if there is one.
@@ -238,10 +240,12 @@ class _Job:
         return nodes.select("nid", "sketch").mapInArrow(_runs_of(length, starts), "key long, nid long")
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        """The full sets of some nodes; only texts that may belong to them are moved."""
-        rows = cut(needed.join(self.nodes.select("nid", *KEY), "nid"), "needed")
+        """The full sets of some nodes: small ones are their sketches, and only texts that may belong to others are moved."""
+        held = cut(needed.join(self.nodes.select("nid", "n", "sketch", *KEY), "nid"), "held")
+        small = held.where(F.col("n") <= K).select("nid", F.col("sketch").alias("set"))
+        rows = cut(held.where(F.col("n") > K).select("nid", *KEY), "needed")
         texts = possible(self.docs.drop("doc_id"), rows, KEY).join(rows.hint("merge"), KEY).select("nid", "text")
-        return cut(texts.mapInArrow(_sets_of(self.size), "nid long, set binary"), "sets")
+        return cut(texts.mapInArrow(_sets_of(self.size), "nid long, set binary").unionByName(small), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those whose estimate passes and whose full sets are similar enough."""
@@ -288,11 +292,13 @@ class _Job:
             return x.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
 
         short, long = several(labelled(shared.select("key", "nid")), "open")
-        again = long.select("nid").distinct()
-        deeper = self.runs(nodes.join(cut(again, "again"), "nid", "left_semi"), LONG_RUN, K)
+        again = cut(nodes.join(cut(long.select("nid").distinct(), "long"), "nid", "left_semi"), "again")
+        # runs of six are for pairs with a set larger than its sketch
+        deeper = self.runs(again.where(100 * F.col("n") > self.percent * K), LONG_RUN, K)
         short6, long6 = several(labelled(deeper), "deeper")
-        # sets too small to be sure of a common run
-        whole = nodes.where(F.col("n") <= _unsure(self.percent))
+        # whole sets: those of long lists, and those too small to be sure of a common run
+        unsure = F.col("n") <= _unsure(self.percent)
+        whole = again.where(~unsure & (F.col("n") <= K)).unionByName(nodes.where(unsure))
         short1, long1 = several(labelled(self.prefixes(whole)), "prefixes")
         found = pairs(short).unionByName(pairs(short6)).unionByName(pairs(short1))
         return found.distinct().join(done, ["a", "b"], "left_anti"), self.blocks(long6.unionByName(long1))

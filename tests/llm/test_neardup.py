@@ -113,3 +113,20 @@ def test_four_of_five_values_without_a_common_run(spark):
     docs += [(5000 + j, f"you must log in to view this page {j}") for j in range(40)] + [(4000, "you must log in to view this page")]
     docs += [(7000 + j, f"texts that lack the one with four shingles {j}") for j in range(40)]
     check(spark, docs, 5, 80)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_short_texts_in_long_lists(spark, n, percent):
+    """Chains of truncated texts, whose links share no run of six values, in lists longer than SHORT_LIST."""
+    rng = random.Random(percent)
+    docs = []
+    for i in range(40):
+        common = [f"c{i}w{j}" for j in range(25)]
+        # chains by cuts at the end, from texts of 8 to 25 words, and texts that share a part only
+        for j in range(8, 26):
+            docs.append((len(docs), " ".join(common[:j])))
+        for j in range(20):
+            cut = rng.randrange(8, 20)
+            docs.append((len(docs), " ".join([*common[cut - 8 : cut], *(f"o{i}x{j}y{m}" for m in range(rng.choice([1, 2, 6])))])))
+    rng.shuffle(docs)
+    check(spark, docs, n, percent)
