@@ -93,7 +93,7 @@ def _prepared(templates: tuple[tuple[str, str], ...], coverage: float) -> list[t
         words = tokens(text)
         counts, lookup, missing = Counter(words), {}, 0
         for w in sorted(counts, key=lambda w: (-len(w), w)):
-            if missing > (1 - coverage) * len(words):
+            if len(words) - missing < coverage * len(words):
                 break
             lookup[w] = [i for i, x in enumerate(words) if x == w]
             missing += counts[w]

@@ -21,6 +21,19 @@ def test_changed_and_repeated_notices():
     assert len(found) == 2 and all(0.8 <= x["coverage"] < 1 for x in found)
 
 
+def test_notices_of_five_words_without_their_longest():
+    for name in ("MIT (notice)", "CC-BY-NC-4.0 (notice)"):
+        words = license.TEMPLATES[name].split()
+        longest = max(words, key=lambda w: len(license.tokens(w)[0]))
+        text = FILLER + " ".join("Distributed" if w == longest else w for w in words)
+        assert len(words) == 5 and name in names(text)
+
+
+def test_what_is_left_without_the_lookup_words_is_too_little():
+    for name, words, lookup in license._prepared(tuple(license.TEMPLATES.items()), license.COVERAGE):
+        assert sum(w not in lookup for w in words) < license.COVERAGE * len(words), name
+
+
 def test_scattered_words_are_no_license():
     assert names("released " + "x " * 30 + "under " + "y " * 30 + "the MIT " + "z " * 30 + "license") == []
 
