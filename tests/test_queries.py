@@ -37,3 +37,9 @@ def test_every_query_has_sql_and_the_entry_runs(spark):
     assert registry.QUERIES.keys() == registry.ORACLES.keys()
     assert registry.QUERIES.keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).count() > 0
+
+
+def test_pages_of_any_id_are_dropped(spark, tmp_path):
+    spark.range(999_997, 1_000_010).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.QUERIES["pages_dropped"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.key) for r in got) == [999_999, 1_000_002, 1_000_005, 1_000_008]
