@@ -18,9 +18,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, local mode makes one of its own; a cluster raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="regmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -61,24 +64,20 @@ def unit_interval(*cols: Column) -> Column:
 def numbered(df: DataFrame, order: list[Column], into: str, name: str, weight: Column | None = None) -> DataFrame:
     """df with the 0-based place of each row in a total order (or the sum of the weights before it), without one task seeing all rows.
 
-    Rows are range-partitioned and written; only one count for each partition meets the driver.
+    Rows are range-partitioned and written; only one sum for each partition meets the driver.
     """
     spark = df.sparkSession
-    step = F.lit(1) if weight is None else weight
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_step", step.cast("long")), name)
-    sums = sorted((r[0], r[1]) for r in ranged.groupBy("_part").agg(F.sum("_step")).collect())
+    part, step, start = fresh([*df.columns, into], "part", "step", "start")
+    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    ranged = cut(ranged.withColumn(step, (F.lit(1) if weight is None else weight).cast("long")), name)
     starts, total = [], 0
-    for part, n in sums:
-        starts.append((part, total))
+    for k, n in sorted((r[0], r[1]) for r in ranged.groupBy(part).agg(F.sum(step)).collect()):
+        starts.append((k, total))
         total += n
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_part int, _start long")
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        ranged.withColumn(into, F.sum("_step").over(within) - F.col("_step"))
-        .join(offsets, "_part")
-        .withColumn(into, F.col(into) + F.col("_start"))
-        .drop("_part", "_start", "_step")
-    )
+    offsets = spark.createDataFrame(starts or [(0, 0)], f"`{part}` int, `{start}` long")
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn(into, F.sum(step).over(within) - F.col(step)).join(offsets, part)
+    return placed.withColumn(into, F.col(into) + F.col(start)).drop(part, start, step)
 
 
 _shipped: set[str] = set()
@@ -94,22 +93,31 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-#: Names of the two columns that tell rows apart.
-KEY = ["_file", "_row"]
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names behind as many underscores as it takes for no column to be called so, letter case aside."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with KEY: the file a row is read from and its place there, the same at every reading.
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever characters are in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
-    A frame that is not a plain reading of files is written to the shared folder first.
+
+def keyed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two more columns and their names: the file a row is read from and its place there, the same at every reading.
+
+    A frame that is not a plain reading of files is written to the shared folder first. The names clash with no column.
     """
+    names = fresh(df.columns, "file", "row")
 
     def read(files: DataFrame) -> DataFrame:
         meta = files.metadataColumn("_metadata")
-        return files.select("*", F.xxhash64(meta["file_path"]).alias(KEY[0]), meta["row_index"].alias(KEY[1]))
+        return files.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].alias(names[1]))
 
-    df = df.drop(*KEY)
     try:
-        return read(df)
+        return read(df), names
     except AnalysisException:
-        return read(cut(df, "keyed"))
+        return read(cut(df, "keyed")), names

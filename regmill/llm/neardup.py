@@ -2,29 +2,30 @@
 
 A document's set holds the hashes of its distinct word shingles; a text with fewer words is one shingle; null,
 empty and blank texts have empty sets and are linked with nothing. Equal sets collapse into one node first, so
-copies cost one row each. A node's sketch is its K smallest hashes, and inverted lists are kept of runs of three
-neighbouring retained values (single values of short shingles are common words; two sets of similarity 0.8
-miss all of the first `STARTS` runs with probability 1e-6, of 0.85 with 1e-8).
-
-1. In each list the member with most company is the hub, and every member is paired with it: pairs grow with the
-   postings, whatever the size of a group.
-2. The union of two sketches estimates similarity; pairs below the threshold by more than four deviations go,
-   the others are confirmed on full sets. Links give components.
-3. Lists whose members lie in several components are looked at again: short lists pair all members of different
-   components. Of long ones, the members with K shingles at most are listed again by prefixes of their whole sets
-   (rare values first), of which any two that may be linked share one; so are all sets too small to be sure of a
-   common run of three. Pairs with a larger set go over to runs of six values, which two sets at the threshold may
-   miss with a small probability. Members of lists that are still long are left out only if so many of their
-   shingles occur in no other such member that no link is possible. The others are gathered into families that hang
-   together by lists, and compared in blocks by their full sets inside tasks, which return the links that join
-   components. So no list is capped, and pairs of small sets are left out only if they are in one component already.
-
-Documents may repeat and share ids; each row gets a row. A null id is linked like any other; its component has
-the smallest id that is not null, if there is one.
+copies cost one row each. A node's sketch is its K smallest hashes.
+
+1. Inverted lists of retained values. Two sets at the threshold have at least `a` of their LISTED smallest values
+   in common: all sets that are retained whole, exactly; of larger ones, all but a share of MISS of the pairs (a tail of
+   the binomial). So in one order of all values, the first n - a + 1 of both hold a common one. That order is by the
+   number of nodes that retain a value, rare ones first: values that no other node retains come first and are not
+   listed, and common words, lines and passages are listed for those texts only that hold little else.
+2. In each list the member with most company is the hub, and every member is paired with it: pairs grow with the
+   postings, whatever the size of a group. The union of two sketches estimates similarity; pairs that can't reach the
+   threshold but for a share of MISS go, the others are confirmed on full sets. Links give components.
+3. Lists whose members lie in several components are looked at again, all their members: short lists pair all members of
+   different components, and the pairs are confirmed as above. Members of long lists are packed into blocks of bounded
+   bytes, neighbours in a list side by side; every two blocks with a list in common are compared by full sets inside a
+   task, which returns the links that join components. No list is capped and no pair in a list is left out,
+   unless its members are in one component already.
+
+Cases. Documents may repeat and share ids; each row gets a row, and equal rows get equal components. Of several rows
+with the component's smallest id, one is `first`. A null id is linked like any other; its component has the
+smallest id that is not null, if there is one. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import possible
-from .common import KEY, cut, drop_cut, keyed
+from .common import cut, drop_cut, keyed, numbered
 from .components import components
 
 K = 128
-STARTS = 40
-RUN, LONG_RUN = 3, 6
+#: As many retained values take part in inverted lists.
+LISTED = 64
+#: Share of the pairs at the threshold that chance may hide, at each of two places.
+MISS = 1e-6
 SHORT_LIST = 16
 #: Words whose hashes a task keeps at most.
 KNOWN_WORDS = 100_000
-BLOCK = 256
-#: Estimates may fall below the threshold by this much: more than four deviations of a sketch of K values.
-MARGIN = 0.15
+#: Bytes of the sets in a block, and how many a small set counts as.
+BLOCK_BYTES, LEAST_BYTES = 1 << 20, 1 << 12
+#: Columns of a table of members by values that a task holds at once.
+VALUES_AT_ONCE = 1 << 13
+#: Names of the columns that tell rows apart, in this module.
+KEY = ["_file", "_row"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,21 +106,14 @@ def _sets_of(size: int):
     return run
 
 
-def _runs_of(length: int, starts: int):
-    """Keys of the runs of `length` neighbouring values at the first `starts` places of each sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids = [], []
-            for nid, sketch in zip(b.column("nid").to_pylist(), b.column("sketch").to_pylist(), strict=True):
-                v = np.frombuffer(sketch, np.uint64)
-                n = min(length, len(v))
-                k = _chained([v[i : len(v) - n + 1 + i] for i in range(n)])[:starts]
-                keys.append(k)
-                ids.append(np.full(len(k), nid, np.int64))
-            yield pa.record_batch({"key": pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()), "nid": pa.array(np.concatenate(ids) if ids else [], pa.int64())})
-
-    return run
+def fewest(k: int, percent: int) -> int:
+    """So many of the k smallest values of a union are in both of two sets at the threshold, but for a share of MISS."""
+    t, below = percent / 100, 0.0
+    for x in range(k + 1):
+        below += math.comb(k, x) * t**x * (1 - t) ** (k - x)
+        if below > MISS:
+            return x
+    return k
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,98 +136,71 @@ def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each set."""
+    """One row for each of the LISTED smallest values of each sketch."""
     for b in batches:
-        sets = [np.frombuffer(x, np.int64) for x in b.column("set").to_pylist()]
+        sets = [np.frombuffer(x, np.int64)[:LISTED] for x in b.column("sketch").to_pylist()]
         ids = np.repeat(b.column("nid").to_numpy(), [len(x) for x in sets])
         yield pa.record_batch({"v": pa.array(np.concatenate(sets) if sets else [], pa.int64()), "nid": pa.array(ids, pa.int64())})
 
 
-def _unsure(percent: int) -> int:
-    """Size of the largest set that may be linked with another and share no run of RUN values with it.
-
-    `both` common values that `own` others cut into own + 1 parts hold no such run if no part is longer than RUN - 1.
-    """
-    sizes = [both + own for both in range(1, K) for own in range(1, K - both + 1) if 100 * both >= percent * (both + own) and both <= (RUN - 1) * (own + 1)]
-    return max(sizes, default=0)
-
-
-def _prefixes_of(percent: int):
-    """Keys of whole sets, such that two sets which may be linked share one; each goes with the side of the key's two sizes.
-
-    Two sets of n and m values that are linked have so many values in common that the first values of both, in one
-    order of all values, hold a common one: n less those, and one more. A key is a value and the classes of both sizes.
-    """
-    kind = [0, *(int(16 * np.log2(n)) for n in range(1, K + 1))]
-    firsts: list[dict[int, int]] = [{} for _ in range(K + 1)]
-    for n in range(1, K + 1):
-        for m in range(1, K + 1):
-            both = -(-percent * (n + m) // (100 + percent))
-            if both <= min(n, m):
-                firsts[n][kind[m]] = max(firsts[n].get(kind[m], 0), n - both + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids, sides = [], [], []
-            for nid, n, vs in zip(b.column("nid").to_pylist(), b.column("n").to_pylist(), b.column("vs").to_pylist(), strict=True):
-                # values of no other set come first in the order, and are not listed
-                alone = n - len(vs)
-                v = np.array([x["v"] for x in vs], np.int64).view(np.uint64)
-                for other, first in firsts[n].items():
-                    own = v[: max(0, first - alone)]
-                    pair = [np.full(len(own), k, np.uint64) for k in sorted((kind[n], other))]
-                    keys.append(_chained([own, *pair]))
-                    ids.append(np.full(len(own), nid, np.int64))
-                    sides.append(np.full(len(own), np.sign(other - kind[n]), np.int64))
-            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, ids, sides)]
-            yield pa.record_batch({"key": pa.array(made[0].view(np.int64)), "nid": pa.array(made[1]), "side": pa.array(made[2])})
-
-    return run
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of xs has in common with each of ys."""
+    every = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (xs, ys)]
+    owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (xs, ys)]
+    shared = np.intersect1d(*every)
+    both = np.zeros((len(xs), len(ys)), np.float32)
+    for at in range(0, len(shared), VALUES_AT_ONCE):
+        part = shared[at : at + VALUES_AT_ONCE]
+        tables = []
+        for values, rows, n in zip(every, owner, (len(xs), len(ys)), strict=True):
+            place = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            held = part[place] == values
+            tables.append(np.zeros((n, len(part)), np.float32))
+            tables[-1][rows[held], place[held]] = 1
+        both += tables[0] @ tables[1].T
+    return both.astype(np.int64)
+
+
+def joining_links(xs: list[tuple], ys: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Of two lists of (id, label, set), links that join labels: one fewer than there are labels, at most."""
+    root = {m[1]: m[1] for m in (*xs, *ys)}
+
+    def top(label: int) -> int:
+        while root[label] != label:
+            root[label] = label = root[root[label]]
+        return label
+
+    sizes = np.array([len(m[2]) for m in xs])[:, None] + np.array([len(m[2]) for m in ys])[None, :]
+    both = common_counts([m[2] for m in xs], [m[2] for m in ys])
+    apart = np.array([m[1] for m in xs])[:, None] != np.array([m[1] for m in ys])[None, :]
+    found = []
+    for i, j in np.argwhere(apart & (100 * both >= percent * (sizes - both))):
+        a, b = top(xs[i][1]), top(ys[j][1])
+        if a != b:
+            root[a] = b
+            found.append((xs[i][0], ys[j][0]))
+    return found
 
 
 def _in_blocks(percent: int):
-    """Of two blocks of one family, links that join components: as many as there are joins, at most."""
-
     def members(rows: list[dict]) -> list[tuple[int, int, np.ndarray]]:
         return [(m["nid"], m["label"], np.frombuffer(m["set"], np.uint64)) for m in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[int, int]] = []
-            for row in b.to_pylist():
-                xs = members(row["xs"])
-                ys = members(row["ys"]) if row["ys"] is not None else xs
-                values, sizes = np.concatenate([y[2] for y in ys]), np.array([len(y[2]) for y in ys])
-                owner, root = np.repeat(np.arange(len(ys)), sizes), {m[1]: m[1] for m in (*xs, *ys)}
-
-                def top(label: int, root: dict[int, int] = root) -> int:
-                    while root[label] != label:
-                        root[label] = label = root[root[label]]
-                    return label
-
-                for nid, label, own in xs:
-                    open_ = np.array([top(y[1]) != top(label) for y in ys])
-                    open_ &= (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
-                    if not open_.any():
-                        continue
-                    part = open_[owner]
-                    both = np.bincount(owner[part][np.isin(values[part], own)], minlength=len(ys))
-                    for j in np.flatnonzero(open_ & (100 * both >= percent * (sizes + len(own) - both))):
-                        if top(ys[j][1]) != top(label):
-                            root[top(ys[j][1])] = top(label)
-                            found.append((nid, ys[j][0]))
-            yield pa.record_batch({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+            for x, y in zip(b.column("xs"), b.column("ys"), strict=True):
+                found = joining_links(members(x.as_py()), members(y.as_py()), percent)
+                yield pa.record_batch({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
 
 
 class _Job:
-    """One run over a table of documents; percent is the similarity threshold."""
+    """One run over rows (KEY, doc_id, text); percent is the similarity threshold."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int):
+    def __init__(self, rows: DataFrame, size: int, percent: int):
         self.size, self.percent = size, percent
-        rows = docs if set(KEY) <= set(docs.columns) else keyed(docs.select("doc_id", "text"))
-        self.docs = rows.select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.docs = rows.select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         schema = "_file long, _row long, doc_id long, n long, sig binary, sketch binary"
         self.rows = cut(self.docs.mapInArrow(_nodes_of(size), schema), "shingled")
         # equal sets: one node, with the row that stands for it
@@ -236,8 +208,22 @@ class _Job:
         grouped = self.rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(place).alias("at"))
         self.nodes = cut(grouped.select(F.monotonically_increasing_id().alias("nid"), "sig", "id", "n", "sketch", "at.*"), "nodes")
 
-    def runs(self, nodes: DataFrame, length: int, starts: int) -> DataFrame:
-        return nodes.select("nid", "sketch").mapInArrow(_runs_of(length, starts), "key long, nid long")
+    def lists(self) -> DataFrame:
+        """Inverted lists (v, nid, c) of the rarest retained values, c members long, two at least."""
+        # a set has a different partner only if its values, one of them not counted in the larger set, are enough
+        nodes = self.nodes.where((100 - self.percent) * F.col("n") >= self.percent)
+        values = cut(nodes.select("nid", "sketch").mapInArrow(_values, "v long, nid long"), "values")
+        common = cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "common")
+        held = values.join(common, "v").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
+        retained = F.least("n", F.lit(LISTED))
+        agreed = F.when(100 * F.col("n") > self.percent * LISTED, F.lit(fewest(LISTED, self.percent))).otherwise(F.ceil(self.percent * F.col("n") / 100))
+        # values of no other node come first in the order, and are not listed
+        first = (retained - agreed + 1 - (retained - F.size("vs"))).cast("int")
+        ranked = held.join(nodes.select("nid", "n"), "nid").withColumn("first", first).where("first > 0")
+        postings = cut(ranked.select("nid", F.explode(F.slice("vs", F.lit(1), F.col("first"))).alias("x")).select("nid", "x.v"), "postings")
+        drop_cut(values)
+        sizes = cut(postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+        return cut(postings.join(sizes, "v"), "lists")
 
     def sets(self, needed: DataFrame) -> DataFrame:
         """The full sets of some nodes: small ones are their sketches, and only texts that may belong to others are moved."""
@@ -252,7 +238,7 @@ class _Job:
         side = lambda c: self.nodes.select(F.col("nid").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b")
         fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        passed = F.arrow_udf(_estimated, "double")("sa", "sb") >= self.percent / 100 - MARGIN
+        passed = F.arrow_udf(_estimated, "double")("sa", "sb") >= fewest(K, self.percent) / K
         likely = cut(sized.where(fits).where(passed).select("a", "b", "na", "nb"), "likely")
         sets = self.sets(likely.select(F.col("a").alias("nid")).unionByName(likely.select(F.col("b").alias("nid"))).distinct())
         both = likely.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("xb")), "b")
@@ -262,95 +248,53 @@ class _Job:
         return links
 
     def links(self) -> DataFrame:
-        # a set has a different partner only if its values, one of them not counted in the larger set, are enough
-        nodes = self.nodes.where((100 - self.percent) * F.col("n") >= self.percent)
-        postings = cut(self.runs(nodes, RUN, STARTS), "postings")
-        lists = cut(postings.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lists")
-        shared = cut(postings.join(lists, "key"), "shared")
-        drop_cut(postings)
-        company = cut(shared.groupBy("nid").agg(F.sum("c").alias("w")), "company")
-        hubs = cut(shared.join(company, "nid").groupBy("key").agg(F.max(F.struct("w", "nid")).alias("h")).select("key", F.col("h.nid").alias("hub")), "hubs")
-        star = shared.join(hubs, "key").where("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
+        lists = self.lists()
+        company = lists.groupBy("nid").agg(F.sum("c").alias("w"))
+        hubs = cut(lists.join(company, "nid").groupBy("v").agg(F.max(F.struct("w", "nid")).alias("h")).select("v", F.col("h.nid").alias("hub")), "hubs")
+        star = lists.join(hubs, "v").where("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct()
+        star = cut(star, "star")
         first = self.confirmed(star)
-        more, joined = self.between(shared, nodes, components(first), star)
-        return first.unionByName(self.confirmed(more)).unionByName(joined)
-
-    def between(self, shared: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of different components that share a list: pairs to confirm, and links of long lists."""
-        labelled = lambda p: p.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-
-        def several(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-            """Members of the lists with several components: of short lists, of long ones."""
-            open_ = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
-            left = cut(members.join(cut(open_, f"{name}-open"), "key"), name)
-            return left.where(F.col("c") <= SHORT_LIST), left.where(F.col("c") > SHORT_LIST)
-
-        def pairs(short: DataFrame) -> DataFrame:
-            """All pairs of different components in lists of SHORT_LIST members at most."""
-            lists = short.groupBy("key").agg(F.collect_list(F.struct("nid", "label")).alias("ms"))
-            x = lists.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda m: (m["nid"] > F.col("x.nid")) & (m["label"] != F.col("x.label")))).alias("y"))
-            return x.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
-
-        short, long = several(labelled(shared.select("key", "nid")), "open")
-        again = cut(nodes.join(cut(long.select("nid").distinct(), "long"), "nid", "left_semi"), "again")
-        # runs of six are for pairs with a set larger than its sketch
-        deeper = self.runs(again.where(100 * F.col("n") > self.percent * K), LONG_RUN, K)
-        short6, long6 = several(labelled(deeper), "deeper")
-        # whole sets: those of long lists, and those too small to be sure of a common run
-        unsure = F.col("n") <= _unsure(self.percent)
-        whole = again.where(~unsure & (F.col("n") <= K)).unionByName(nodes.where(unsure))
-        short1, long1 = several(labelled(self.prefixes(whole)), "prefixes")
-        found = pairs(short).unionByName(pairs(short6)).unionByName(pairs(short1))
-        return found.distinct().join(done, ["a", "b"], "left_anti"), self.blocks(long6.unionByName(long1))
-
-    def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """Lists (key, nid) of nodes whose sketches are their whole sets: any two that may be linked are in one list."""
-        sketches = nodes.select("nid", F.col("sketch").alias("set"))
-        values = cut(sketches.mapInArrow(_values, "v long, nid long"), "values")
-        common = values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-        held = values.join(common, "v").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-        listed = held.join(nodes.select("nid", "n"), "nid").select("nid", "n", "vs")
-        keys = cut(listed.mapInArrow(_prefixes_of(self.percent), "key long, nid long, side long"), "prefix-keys")
-        # both sizes of a key must occur
-        met = keys.groupBy("key").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo <> hi OR lo = 0").select("key")
-        return keys.join(met, "key").select("key", "nid")
+        labelled = lists.join(components(first), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+        several = labelled.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+        open_ = cut(labelled.join(cut(several, "several"), "v"), "open")
+        more = self.pairs(open_.where(F.col("c") <= SHORT_LIST)).join(star, ["a", "b"], "left_anti")
+        return first.unionByName(self.confirmed(more)).unionByName(self.blocks(open_.where(F.col("c") > SHORT_LIST)))
+
+    def pairs(self, short: DataFrame) -> DataFrame:
+        """All pairs of different components in lists of SHORT_LIST members at most."""
+        lists = short.groupBy("v").agg(F.collect_list(F.struct("nid", "label")).alias("ms"))
+        x = lists.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda m: (m["nid"] > F.col("x.nid")) & (m["label"] != F.col("x.label")))).alias("y"))
+        return x.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct()
 
     def blocks(self, members: DataFrame) -> DataFrame:
-        """Links between components among the members (key, nid, label) of long lists."""
-        population = cut(members.select("nid", "label").distinct().join(self.nodes.select("nid", "n"), "nid"), "population")
-        sets = self.sets(population.select("nid"))
-        values = sets.mapInArrow(_values, "v long, nid long").groupBy("v").agg(F.count("*").alias("c"), F.max("nid").alias("nid"))
-        alone = values.where("c = 1").groupBy("nid").agg(F.count("*").alias("alone"))
-        # a link needs so many shingles in common with another member
-        able = population.join(alone, "nid", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= self.percent * F.col("n"))
-        able = cut(able.select("nid", "label"), "able")
-        held = members.join(able.select("nid"), "nid", "left_semi").select("key", "nid")
-        hubs = cut(held.groupBy("key").agg(F.max("nid").alias("b")), "list-hubs")
-        # a member is tied to the first of its lists' hubs, and that hub to the others: few pairs of hubs occur
-        own = held.join(hubs, "key").groupBy("nid").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-        first = F.get("bs", F.lit(0))
-        ties = own.select(F.col("nid").alias("a"), first.alias("b")).unionByName(own.groupBy("bs").agg(F.first("nid")).select(first.alias("a"), F.explode("bs").alias("b")))
-        family = components(ties.distinct()).withColumnRenamed("label", "family")
-        placed = cut(able.join(family, "nid"), "families")
-        sizes = placed.groupBy("family", "label").agg(F.count("*").alias("c"))
-        # a component as large as a block fills blocks of its own, which need not meet each other
-        large = cut(sizes.where(F.col("c") > BLOCK).withColumnRenamed("c", "large"), "large")
-        rest = placed.join(large, ["family", "label"], "left_anti").groupBy("family").agg(F.count("*").alias("small"))
-        dealt = placed.join(large, ["family", "label"], "left").join(cut(rest, "rest"), "family", "left")
-        own = F.when(F.col("large").isNotNull(), F.col("label"))
-        block = F.pmod(F.xxhash64("nid"), F.ceil(F.coalesce("large", "small") / BLOCK))
-        dealt = dealt.withColumn("own", own).withColumn("block", F.concat_ws(".", F.coalesce(own.cast("string"), F.lit("-")), block.cast("string")))
-        packed = dealt.join(sets, "nid").groupBy("family", "own", "block").agg(F.collect_list(F.struct("nid", "label", "set")).alias("ms"))
+        """Links between components among the members (v, nid, c, label) of long lists."""
+        # a member's home is its longest list; homes and labels stay together, so that few blocks meet
+        homes = members.groupBy("nid").agg(F.first("label").alias("label"), F.max(F.struct("c", "v")).alias("home"))
+        homes = homes.join(self.nodes.select("nid", "n"), "nid").select("nid", "label", F.col("home.c").alias("c"), F.col("home.v").alias("home"), F.greatest(8 * F.col("n"), F.lit(LEAST_BYTES)).alias("bytes"))
+        placed = numbered(homes, [F.desc("c"), F.asc("home"), F.asc("label"), F.asc("nid")], "at", "homes", F.col("bytes"))
+        placed = cut(placed.select("nid", "label", F.floor(F.col("at") / BLOCK_BYTES).alias("block")), "placed")
+        sets = self.sets(placed.select("nid"))
+        packed = placed.join(sets, "nid").groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("nid", "label", "set")).alias("ms"))
         packed = cut(packed, "blocks")
-        side = lambda c: packed.select("family", F.col("own").alias(f"o{c}"), F.col("block").alias(f"b{c}"), F.col("ms").alias(f"{c}s"))
-        crossed = side("x").join(side("y"), "family").where("bx <= by AND coalesce(ox <> oy, true)")
-        met = crossed.select("xs", F.when(F.col("bx") < F.col("by"), F.col("ys")).alias("ys"))
-        return cut(met.mapInArrow(_in_blocks(self.percent), "a long, b long"), "joined")
+        # many lists meet the same blocks
+        met = members.select("v", "nid").join(placed.select("nid", "block"), "nid").groupBy("v").agg(F.array_sort(F.collect_set("block")).alias("bs")).select("bs").distinct()
+        twos = met.select(F.explode("bs").alias("x"), "bs").select("x", F.explode(F.filter("bs", lambda b: b >= F.col("x"))).alias("y")).distinct()
+        side = lambda c: packed.select(F.col("block").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"), F.col("ms").alias(f"{c}s"))
+        pairs = cut(twos.join(side("x"), "x").join(side("y"), "y").where("least(lo_x, lo_y) <> greatest(hi_x, hi_y)").select("xs", "ys"), "block-pairs")
+        joined = cut(pairs.mapInArrow(_in_blocks(self.percent), "a long, b long"), "joined")
+        for made in (sets, packed, pairs):
+            drop_cut(made)
+        return joined
+
 
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: list[str] | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text): _file, _row, doc_id, n_shingles, component_id, and first (the one row that stands for the component).
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """For each row of docs (doc_id, text): KEY, doc_id, n_shingles, component_id, and first (the one row that stands for the component)."""
-    job = _Job(docs, size, percent)
+    `keys` names two columns that tell the rows apart, as `common.keyed` gives them; their values are returned as _file and _row.
+    """
+    if keys is None:
+        docs, keys = keyed(docs.select("doc_id", "text"))
+    job = _Job(docs.select("doc_id", "text", *[F.col(f"`{k}`").alias(into) for k, into in zip(keys, KEY, strict=True)]), size, percent)
     labels = components(job.links())
     nodes = job.nodes.select("nid", "sig", "id", F.struct("ord", *KEY).alias("at")).join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     nodes = cut(nodes, "labelled")

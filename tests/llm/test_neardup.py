@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from regmill.llm import neardup, queries
@@ -68,7 +69,7 @@ def test_query_equals_brute_force(spark):
 def test_large_groups_that_share_a_passage(spark, monkeypatch, seed, short):
     """Variants of one text that hang together through the original only, and unlike texts with one long passage in common."""
     monkeypatch.setattr(neardup, "SHORT_LIST", short)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 8 * neardup.LEAST_BYTES)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(5000)}"
     base, docs = [word() for _ in range(120)], []
@@ -130,3 +131,49 @@ def test_short_texts_in_long_lists(spark, n, percent):
             docs.append((len(docs), " ".join([*common[cut - 8 : cut], *(f"o{i}x{j}y{m}" for m in range(rng.choice([1, 2, 6])))])))
     rng.shuffle(docs)
     check(spark, docs, n, percent)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_short_texts_that_share_a_passage(spark, n, percent):
+    """Passages of 14 words in 17 to 200 documents of 8 to 60 shingles, whose own words stand before, behind and between."""
+    rng = random.Random(n)
+    docs = []
+    for g, members in enumerate((17, 33, 70, 200)):
+        passage = [f"p{g}w{i}" for i in range(14)]
+        for i in range(members):
+            own = [f"g{g}d{i}x{j}" for j in range(rng.choice([0, 1, 1, 2, 2, 3, 8, 46]))]
+            before = rng.randrange(len(own) + 1)
+            text = own[:before] + passage + own[before:]
+            if rng.random() < 0.2:
+                text = text[:7] + [f"mid{i}"] + text[7:]
+            docs.append((len(docs), " ".join(text)))
+    rng.shuffle(docs)
+    check(spark, docs, n, percent)
+
+
+def test_planted_pairs_inside_long_lists(spark):
+    """Pairs at the threshold among texts that share half their words: none of them is lost."""
+    rng = random.Random(5)
+    passage, docs = [f"p{i}" for i in range(300)], []
+    for i in range(120):
+        own = [f"d{i}w{j}" for j in range(300)]
+        near = list(own)
+        for at in rng.sample(range(300), 11):
+            near[at] = f"e{i}w{at}"
+        docs += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + near))]
+    want = brute(docs, 3, 85)
+    assert sum(c == d for (d, _), (_, c) in zip(docs, want, strict=True)) < 240
+    check(spark, docs)
+
+
+def test_counts_of_common_values():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(15)]
+    both = neardup.common_counts(sets[:6], sets[6:])
+    assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sets[6:]] for a in sets[:6]]
+    assert neardup.fewest(64, 85) == 39 and neardup.fewest(10, 100) == 10
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 9000}x{i % 7}" for i in range(40_000))
+    check(spark, [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "x" * 300_000), (5, "x" * 300_000)])
