@@ -2,7 +2,8 @@
 
 Ids travel as packed little-endian unsigned 32-bit integers (`binary`), four bytes a token; `unpacked`
 gives them as `array<long>`. Null texts count as empty and give no ids; empty texts give no ids; decoding
-null ids gives no bytes; unknown ids raise.
+null ids gives no bytes; unknown ids raise. Equal texts get equal ids, repeated rows are rows like any other, an empty
+table gives an empty result. Other columns stay, whatever their names, but for those that the result adds.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh, quoted
+
 #: White space as the pattern's \s knows it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Between a word character and a blank a match always ends, and what follows is matched as if it stood alone.
@@ -99,8 +102,10 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text")
             decoded = pa.array((decode_ids(enc, x.as_py()) for x in ids), pa.binary())
             yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
 
-    both = df.drop("ids", "decoded").withColumn("_both", run(F.col(text)))
-    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")], "_both.ids", "_both.decoded")
+    names = [c for c in df.columns if c.lower() not in ("ids", "decoded")]
+    (both,) = fresh(names, "both")
+    coded = df.withColumn(both, run(quoted([text])[0].cast("string")))
+    return coded.select(*quoted(names), F.col(f"{both}.ids"), F.col(f"{both}.decoded"))
 
 
 def n_tokens(ids: Column) -> Column:

@@ -1,20 +1,27 @@
 """Line dedup: a suffix array over line-ID sequences by distributed prefix doubling, in DataFrame operations.
 
-A text's lines are split at \\n; lines without a word take no part. A run of lines that stands at an earlier
-place too (order: id, null last, then row, then line) and has `MIN_CHARS` characters or more is deleted, with
-the blank lines inside it; the first copy stays. Runs may repeat inside one text or across texts, and overlap.
+A text's lines are split at \\n; lines without a word take no part. A run of lines of `MIN_CHARS` characters or more
+is a later copy if the same run stands at an earlier place (order: id, null last, then row, then line), in another
+document or in the same one with its end before it. Later copies are deleted, with the blank lines inside them; the
+first copy stays. Runs may repeat inside one text or across texts, and overlap.
 
 Ranks. Lines that occur once break every run, so only the others are ranked. Doubling joins the rank of a
 run of 2**k lines with the rank of the next 2**k; the distinct pairs, sorted by range, give the ranks of runs
 twice as long. Rows whose pair stands alone leave. The rank of 2**k lines orders the suffixes to that depth.
 
 Intervals. All suffixes that share their first m lines are one longest-common-prefix interval, named by the ranks
-of the two stretches of 2**k <= m lines that cover the m lines. A maximal repeated run of MIN_CHARS characters is
-the union of the shortest sufficient windows that begin, or end, at its lines, so it is enough to look up those
-windows: all but the first suffix of an interval are later copies. No such window has more than MIN_CHARS
-lines, which bounds the doubling.
-
-Null, empty and blank texts have no lines and stay as they are. Ids are 128-bit hashes of whole lines.
+of the two stretches of 2**k <= m lines that cover the m lines. The intervals of the shortest sufficient windows
+are enough, those that begin at a line and those that end at one: let a later copy hold the line p and end at e. If the
+lines p to e have MIN_CHARS characters, the shortest window from p on lies inside the copy; if not, the shortest
+window that ends at e does, and it holds p, as the whole copy is long enough. A part of a later copy is a later
+copy, at the same distance from the earlier one. So the union of the windows that are later copies is the union of all
+maximal later copies, whatever their length. No window has more than MIN_CHARS lines, as lines with a word have a
+character each; that bounds the doubling. The first suffix of an interval is the copy that stays; if a later one
+overlaps it, no other suffix of that document stands between them, so it is no later copy.
+
+Cases. Null, empty and blank texts have no lines and stay as they are. Equal rows are copies of each other, the first
+one stays. An empty table gives an empty result. Other columns stay, whatever their names; one that is called as
+`into` is replaced. Ids are 128-bit hashes of whole lines.
 """
 
 from __future__ import annotations
@@ -22,17 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, WORD, cut, drop_cut, keyed, numbered
+from .common import WORD, cut, drop_cut, keyed, numbered, quoted
 
 MIN_CHARS = 50
-_DOC = ["_file", "_row", "_ord"]
+KEY = ["_file", "_row"]
+_DOC = [*KEY, "_ord"]
 
 
-def _line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _line_table(docs: DataFrame) -> DataFrame:
     """One row for each line with a word: its document, place among such lines, line number, id and length."""
-    lines = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no")))
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no")))
     worded = F.filter(lines, lambda x: x["line"].rlike(WORD))
-    rows = docs.select("_file", "_row", F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias("_ord"), F.posexplode(worded).alias("seq", "x"))
+    rows = docs.select(*KEY, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_ord"), F.posexplode(worded).alias("seq", "x"))
     return rows.select(*_DOC, "seq", F.col("x.no").alias("no"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit("line"), "x.line").alias("h2"), F.length("x.line").alias("chars"))
 
 
@@ -55,9 +63,9 @@ def _windows(ranked: DataFrame, least: int) -> DataFrame:
     return ends.distinct()
 
 
-def deleted_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """KEY and `_runs`, an ordered array of (first, last, lines): what to delete of the documents that lose lines. `docs` has KEY."""
-    lines = cut(_line_table(docs, doc_id, text), "lines")
+def deleted_runs(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """KEY and `_runs`, an ordered array of (first, last, lines): what to delete of the documents (KEY, doc_id, text) that lose lines."""
+    lines = cut(_line_table(docs), "lines")
     repeated = lines.groupBy("h1", "h2").count().where("count > 1")
     named = cut(numbered(repeated, [F.col("h1"), F.col("h2")], "r", "line-ids", F.col("count")).drop("count"), "line-ranks")
     level = cut(lines.join(named, ["h1", "h2"]).drop("h1", "h2"), "level-0")
@@ -82,8 +90,9 @@ def deleted_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     both = first.withColumn("seq", (F.col("s") + F.col("m") - F.expr("shiftleft(1, k)")).cast("int")).join(ranks.withColumnRenamed("r", "rb"), ["k", *KEY, "seq"])
     interval = cut(both.select(*_DOC, "s", "m", "ra", "rb"), "intervals")
     place = F.struct("_ord", "_file", "_row", "s")
-    kept = interval.groupBy("m", "ra", "rb").agg(F.min(place).alias("p")).select("m", "p._file", "p._row", "p.s")
-    later = interval.join(kept, [*KEY, "s", "m"], "left_anti")
+    first = cut(interval.groupBy("m", "ra", "rb").agg(F.min(place).alias("p")), "first-copies")
+    overlaps = (F.col("p._file") == F.col("_file")) & (F.col("p._row") == F.col("_row")) & (F.col("s") < F.col("p.s") + F.col("m"))
+    later = interval.join(first, ["m", "ra", "rb"]).where(~overlaps)
     # a line goes if a later copy that began at it or before reaches it
     spans = later.select(*KEY, F.col("s").alias("seq"), (F.col("s") + F.col("m") - 1).alias("_to"), F.lit(None).cast("int").alias("no"))
     marks = spans.unionByName(base.select(*KEY, "seq", F.lit(-1).alias("_to"), "no"))
@@ -103,11 +112,15 @@ def _without(text: Column, runs: Column) -> Column:
     return F.array_join(F.flatten(parts), "\n")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """docs, one row for each, with the text that stays and `_runs` (null where nothing was deleted)."""
-    rows = keyed(docs.drop("_runs"))
-    runs = cut(deleted_runs(rows, doc_id, text, least), "runs")
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS, into: str = "_runs") -> DataFrame:
+    """docs, one row for each, with the text that stays and, under `into`, what was deleted (null where nothing was)."""
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    rows, keys = keyed(docs.select(*quoted(names)))
+    as_key = [F.col(k).alias(own) for k, own in zip(keys, KEY, strict=True)]
+    as_text = [c.alias(own) for c, own in zip(quoted([doc_id, text]), ("doc_id", "text"), strict=True)]
+    runs = cut(deleted_runs(rows.select(*as_key, *as_text), least), "runs")
     # the same join at every size: the runs of a large table are no broadcast
-    joined = rows.join(runs.hint("merge"), KEY, "left")
-    left = F.when(F.col("_runs").isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col("_runs")))
-    return joined.withColumn(text, left).select(*[F.col(f"`{c}`") for c in docs.columns if c != "_runs"], "_runs")
+    joined = rows.join(runs.withColumnsRenamed(dict(zip([*KEY, "_runs"], [*keys, into], strict=True))).hint("merge"), keys, "left")
+    whole, gone = quoted([text, into])
+    left = F.when(gone.isNull(), whole).otherwise(_without(whole, gone)).alias(text)
+    return joined.select(*[left if n == text else c for n, c in zip(names, quoted(names), strict=True)], gone)

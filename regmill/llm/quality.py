@@ -2,7 +2,8 @@
 
 Longest-common-prefix intervals give the maximal repeated word runs; their spans are united, and a document
 fails if the union covers too much of it or the longest repeat is too long. Null texts have no words. A
-document without words, or with fewer than `MIN_WORDS`, fails the base rules. Equal texts get equal rows.
+document without words, or with fewer than `MIN_WORDS`, fails the base rules. Equal texts get equal rows. A very
+long text is a batch of its own. An empty table gives an empty result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, fresh, quoted
 from .suffix import Suffixes
 
 SYMBOLS = "#*$%&|<>"
@@ -83,23 +84,26 @@ def _measured(text: Column) -> Column:
     return F.arrow_udf(_in_batches, SCHEMA)(text)
 
 
+def _judged(df: DataFrame, text: str) -> tuple[DataFrame, str, Column, Column]:
+    """df with a column of its measures, that column's name, and two verdicts on it: base rules failed, kept."""
+    (name,) = fresh(df.columns, "measures")
+    m = lambda x: F.col(f"{name}.{x}")
+    words = m("n_words")
+    failed = (words < MIN_WORDS) | (100 * m("n_repeat_words") > MAX_TRIGRAM_PERCENT * words)
+    repeats = (100 * m("covered_words") > MAX_COVERED_PERCENT * words) | (m("longest_repeat") > MAX_REPEAT)
+    return df.withColumn(name, _measured(quoted([text])[0].cast("string"))), name, failed, ~failed & ~repeats
+
+
 def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the measures of SCHEMA, base_failed and kept."""
-    measured = df.withColumn("_m", _measured(F.col(text)))
+    """df with the measures of SCHEMA, base_failed and kept; columns of these names are replaced."""
+    judged, name, failed, kept = _judged(df, text)
     measures = [f.split()[0] for f in SCHEMA.split(", ")]
-    wide = measured.select(*[F.col(f"`{c}`") for c in df.columns if c not in measures], *[F.col(f"_m.{c}").alias(c) for c in measures])
-    words = F.col("n_words")
-    failed = (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_TRIGRAM_PERCENT * words)
-    repeats = (100 * F.col("covered_words") > MAX_COVERED_PERCENT * words) | (F.col("longest_repeat") > MAX_REPEAT)
-    return wide.withColumn("base_failed", failed).withColumn("kept", ~failed & ~repeats)
+    made = {*measures, "base_failed", "kept"}
+    own = quoted([c for c in df.columns if c.lower() not in made])
+    return judged.select(*own, *[F.col(f"{name}.{c}").alias(c) for c in measures], failed.alias("base_failed"), kept.alias("kept"))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    text = F.col("text")
-    m = _measured(text)
-    judged = docs.withColumn("_m", m)
-    words = F.col("_m.n_words")
-    good = (words >= MIN_WORDS) & (100 * F.col("_m.n_repeat_words") <= MAX_TRIGRAM_PERCENT * words)
-    good &= (100 * F.col("_m.covered_words") <= MAX_COVERED_PERCENT * words) & (F.col("_m.longest_repeat") <= MAX_REPEAT)
-    return judged.where(good).drop("_m")
+    judged, name, _, kept = _judged(docs, text)
+    return judged.where(kept).drop(name)

@@ -36,6 +36,11 @@ def quality_weight() -> Column:
     return F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
 
 
+def sized(text: str) -> list[Column]:
+    """Words of a text, and a hash that tells texts apart."""
+    return [F.regexp_count(text, F.lit(WORD)).alias("_words"), F.xxhash64(text).alias("_content")]
+
+
 def with_quality(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs with the label `quality`, null where there is none; of several labels of an id the largest counts."""
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("quality"))
@@ -43,9 +48,8 @@ def with_quality(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_words"))
-    docs = with_quality(sized, spark, sf_dir)
-    return mixing.mix(docs, "doc_id", F.col("_words"), F.col("source"), quality_weight()).drop("copies")
+    docs = with_quality(table(spark, sf_dir, "documents").select("doc_id", "source", *sized("text")), spark, sf_dir)
+    return mixing.mix(docs, "doc_id", F.col("_words"), F.col("source"), quality_weight(), content=F.col("_content")).drop("copies")
 
 
 #: Host, path, verdict.

@@ -4,8 +4,8 @@ Rows are dealt to even partitions by a hash of their stored row number. A hyperg
 says how many rows each partition sends to each shard: it is drawn on the driver from the partition counts
 alone (at most `MAX_PARTITIONS` integers), so shard sizes are exact. Each partition permutes its rows, sends
 consecutive stretches to the shards, and each shard permutes what it got. Shard sizes differ by one at most.
-No column takes part in the draw: nulls, equal keys and repeated rows are rows like any other; an empty table
-gives an empty result.
+No column takes part in the draw: nulls, equal keys, very long texts and repeated rows are rows like any other; an
+empty table gives an empty result. All columns stay, whatever their names, but for a `shard` or `slot`.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, fresh, quoted
 
 MAX_PARTITIONS = 1 << 16
 ROWS_PER_PARTITION = 100_000
@@ -56,36 +56,35 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> tuple[lis
 
 
 def shard(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """rows with `shard` (0 to shards-1) and `slot` (0 to the shard's size - 1)."""
+    """rows with `shard` (0 to shards-1) and `slot` (0 to the shard's size - 1); columns of these names are replaced."""
     spark = rows.sparkSession
-    names = [c for c in rows.columns if c not in ("shard", "slot")]
-    stored = cut(rows.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias("_rid")), "rows")
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    rid, part, edge, place, block, start = fresh([*names, "shard", "slot", "count"], "rid", "part", "edges", "place", "block", "start")
+    stored = cut(rows.select(*quoted(names), F.monotonically_increasing_id().alias(rid)), "rows")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partitions = min(MAX_PARTITIONS, max(2 * width, math.ceil(stored.count() / ROWS_PER_PARTITION)))
-    draw = lambda i: F.xxhash64(F.lit(seed * 4 + i), "_rid")
-    dealt = stored.withColumn("_part", F.pmod(draw(0), F.lit(partitions)))
-    counts = sorted((r[0], r[1]) for r in dealt.groupBy("_part").count().collect())
+    draw = lambda i: F.xxhash64(F.lit(seed * 4 + i), rid)
+    dealt = stored.withColumn(part, F.pmod(draw(0), F.lit(partitions)))
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy(part).agg(F.count("*")).collect())
     matrix, _ = communication_matrix([n for _, n in counts], shards, seed)
     edges = spark.createDataFrame(
         [(p, np.cumsum(row)[:-1].tolist()) for (p, _), row in zip(counts, matrix, strict=True)] or [(0, [])],
-        "_part bigint, _edges array<bigint>",
+        f"`{part}` bigint, `{edge}` array<bigint>",
     )
-    local = Window.partitionBy("_part").orderBy(draw(1), "_rid")
+    local = Window.partitionBy(part).orderBy(draw(1), rid)
     sent = cut(
-        dealt.withColumn("_place", F.row_number().over(local) - 1)
-        .join(edges, "_part")
-        .withColumn("shard", F.size(F.filter("_edges", lambda e: e <= F.col("_place"))))
+        dealt.withColumn(place, F.row_number().over(local) - 1)
+        .join(edges, part)
+        .withColumn("shard", F.size(F.filter(edge, lambda e: e <= F.col(place))))
         # the second permutation is a random order too; its leading part splits a shard among tasks
-        .withColumn("_block", F.pmod(draw(2), F.lit(max(1, partitions // shards))))
-        .drop("_edges", "_place", "_part"),
+        .withColumn(block, F.pmod(draw(2), F.lit(max(1, partitions // shards))))
+        .drop(edge, place, part),
         "sent",
     )
     drop_cut(stored)
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = sent.groupBy("shard", "_block").count().withColumn("_start", F.sum("count").over(before) - F.col("count")).drop("count")
-    inside = Window.partitionBy("shard", "_block").orderBy(draw(3), "_rid")
-    return (
-        sent.withColumn("slot", F.row_number().over(inside) - 1)
-        .join(starts, ["shard", "_block"])
-        .select(*[F.col(f"`{c}`") for c in names], "shard", (F.col("slot") + F.col("_start")).cast("long").alias("slot"))
-    )
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sent.groupBy("shard", block).agg(F.count("*").alias(place))
+    starts = sizes.select("shard", block, (F.sum(place).over(before) - F.col(place)).alias(start))
+    inside = Window.partitionBy("shard", block).orderBy(draw(3), rid)
+    slotted = sent.withColumn("slot", F.row_number().over(inside) - 1).join(starts, ["shard", block])
+    return slotted.select(*quoted(names), "shard", (F.col("slot") + F.col(start)).cast("long").alias("slot"))

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from regmill.llm import linededup
+from regmill.llm import linededup, queries
 
 
 def brute(docs, least):
@@ -21,7 +21,8 @@ def brute(docs, least):
             n = 0
             while s + n < len(w) and t + n < len(v) and ls[w[s + n]] == ms[v[t + n]]:
                 n += 1
-            best = max(best, n)
+            # a copy in the same text ends before the later one begins
+            best = max(best, min(n, s - t) if i == j else n)
         if sum(len(ls[w[s + k]]) for k in range(best)) >= least:
             gone[i] |= {s + k for k in range(best)}
     out = []
@@ -65,6 +66,35 @@ def test_edges(spark):
     check(spark, docs, linededup.MIN_CHARS)
 
 
+def test_runs_longer_than_any_window_and_runs_that_overlap_themselves(spark):
+    many = "\n".join(f"line {i} of a long run" for i in range(130))
+    ones = "\n".join("abcdefghij"[i % 10] for i in range(120))
+    three = "\n".join(["a line of twenty-five char"] * 3)
+    docs = [(1, many), (2, "own\n" + many + "\nmore"), (3, many[200:]), (4, ones), (5, ones[:-1] + "end"), (6, three), (7, "\n".join(["x" * 30, "y" * 30] * 5)), (8, "x" * 60 + "\n" + "x" * 60)]
+    check(spark, docs, 50)
+    kept = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame([(1, three)], "doc_id long, text string")).collect()}
+    assert kept == {1: three}
+
+
+def test_query(spark, sf):
+    """The whole table; line numbers of the deleted runs agree with the text that is left."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = dict(zip(docs, brute(list(docs.items()), linededup.MIN_CHARS), strict=True))
+    got = {r.doc_id: r for r in queries.op7_lines(spark, sf).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    for k, r in got.items():
+        lines = (docs[k] or "").split("\n")
+        gone = {i for x in r.deleted_runs or [] for i in range(x["first"], x["last"] + 1)}
+        assert r.deleted_runs is None or "\n".join(x for i, x in enumerate(lines) if i not in gone) == r.text
+        assert r.n_deleted_lines == sum(bool(re.search(r"[^\x20\x09-\x0D]", lines[i])) for i in gone)
+
+
+def test_very_long_text(spark):
+    long = "\n".join(f"{i % 700} a line of a very long text" for i in range(6000))
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame([(1, long), (0, "x")], "doc_id long, text string")).collect()}
+    assert got[1] == "\n".join(long.split("\n")[:700])
+
+
 def test_empty_table(spark):
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -1,3 +1,4 @@
+import math
 import re
 
 from pyspark.sql import functions as F
@@ -41,8 +42,7 @@ def test_query(spark, sf):
     assert sorted(map(tuple, got)) == sorted(map(tuple, queries.op4_mixing(spark, sf).collect()))
 
 
-def test_hot_and_odd_sources(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 7)
+def test_hot_and_odd_sources(spark):
     rows = [(i, "hot" if i % 3 else None, i % 11) for i in range(150)] + [(200, "é", 5), (201, "tiny", 1), (202, "", None), (203, "\U0001f600", 40), (204, "zero", 0)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long")
     got = mixing.mix(df, "doc_id", F.col("size"), F.col("source"), F.lit(None).cast("double")).collect()
@@ -60,3 +60,26 @@ def test_weights_favour_good_documents(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.mix(df, "doc_id", F.col("size"), F.col("source"), F.lit(1.0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids_draw_one_by_one(spark):
+    """A third of the rows alike: the mix takes some of them and leaves the others, as near to the target as it can."""
+    rows = [(None, "a", "same text") for _ in range(300)] + [(7, "a", "same text")] * 50 + [(i, "a", f"t{i}") for i in range(1000, 1650)] + [(i, "b", "x") for i in range(5000, 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, "doc_id", F.lit(10), F.col("source"), F.lit(1.0), weights=(1, 3), share=0.5, content=F.xxhash64("text")).collect()
+    taken = [r for r in got if r.doc_id is None and r.taken]
+    assert len(got) == len(rows) and 40 < len(taken) < 115
+    assert abs(sum(r.taken for r in got if r.doc_id is None or r.doc_id < 5000) - 2500) <= 5
+
+
+def test_the_keys_are_those_of_the_method(spark):
+    """Which documents are taken: those with the smallest exponential keys, by the same draw in plain Python."""
+    df = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 17 + 1).alias("size"), F.when(F.col("id") % 5 == 0, 1e6).otherwise(1.0).alias("w"))
+    keyed = df.withColumn("u", mixing.unit_interval(F.xxhash64(F.lit(0), F.col("doc_id"), F.col("size"), F.lit(0)))).collect()
+    order = sorted(keyed, key=lambda r: -math.log(r.u) / r.w)
+    want, before, rest = {}, 0, 0.5 * sum(r["size"] for r in keyed)
+    for r in order:
+        want[r.doc_id] = r["size"] if before + r["size"] / 2 <= rest else 0
+        before += r["size"]
+    got = mixing.mix(df, "doc_id", F.col("size"), F.lit("only"), F.col("w"), share=0.5).collect()
+    assert {r.doc_id: r.taken for r in got} == want
