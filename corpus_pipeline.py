@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regmill.llm import bpe, linededup, mixing, neardup, quality
-from regmill.llm.common import KEY, WORD, keyed, new_folder, ship
-from regmill.llm.queries import RANKS, quality_weight, table, with_quality
+from regmill.llm.common import WORD, fresh, keyed, new_folder, quoted, ship
+from regmill.llm.queries import RANKS, quality_weight, sized, table, with_quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,29 +24,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated line runs; a document of which no word is left goes. n_chars follows the text."""
     ship(spark)
-    left = linededup.dedup(docs)
-    changed = F.col("_runs").isNotNull()
+    (runs,) = fresh(docs.columns, "runs")
+    left = linededup.dedup(docs, into=runs)
+    changed = F.col(runs).isNotNull()
     left = left.where(~changed | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return left.select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, the one with the smallest id: five words, similarity 0.8."""
     ship(spark)
-    rows = keyed(docs)
-    gone = neardup.near_duplicates(rows.select("doc_id", "text", *KEY), size=5, percent=80).where(~F.col("first")).select(*KEY)
-    return rows.join(gone.hint("merge"), KEY, "left_anti").select(*docs.columns)
+    rows, keys = keyed(docs)
+    found = neardup.near_duplicates(rows.select("doc_id", "text", *keys), size=5, percent=80, keys=keys)
+    gone = found.where(~F.col("first")).select(*[F.col(own).alias(k) for own, k in zip(neardup.KEY, keys, strict=True)])
+    return rows.join(gone.hint("merge"), keys, "left_anti").select(*quoted(docs.columns))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix the sources to their target weights; a document that is taken n times gives n rows."""
     ship(spark)
-    rows = keyed(docs)
-    rated = with_quality(rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).alias("_words"), *KEY), spark, sf_dir)
-    taken = mixing.mix(rated, "doc_id", F.col("_words"), F.col("source"), quality_weight(), carry=tuple(KEY)).where("copies > 0").select(*KEY, "copies")
-    return rows.join(taken.hint("merge"), KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, keys = keyed(docs)
+    copies, copy = fresh(rows.columns, "copies", "copy")
+    rated = with_quality(rows.select("doc_id", "source", *sized("text"), *keys), spark, sf_dir)
+    taken = mixing.mix(rated, "doc_id", F.col("_words"), F.col("source"), quality_weight(), content=F.col("_content"), carry=tuple(keys)).where("copies > 0")
+    taken = taken.select(*keys, F.col("copies").alias(copies))
+    return rows.join(taken.hint("merge"), keys).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*quoted(docs.columns))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
