@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, col, collapse_ws, decode_entities
+from .text import bind, blank_to_null, col, collapse_ws, decode_entities
 
 #: A span whose first attribute is a quoted label id and whose body is text and line breaks only. Possessive, so long bodies need no stack.
 LABEL = r'(?i)<span\s+id="lbl[A-Za-z0-9]+"[^>]*>[^<]*+(?:<br\s*/?>[^<]*+)*+</span>'
@@ -13,19 +13,25 @@ LABEL = r'(?i)<span\s+id="lbl[A-Za-z0-9]+"[^>]*>[^<]*+(?:<br\s*/?>[^<]*+)*+</spa
 ANY_LABEL = r'(?is)<(\w+)\b[^>]*\bid="lbl[^"]*"[^>]*>.*?</\1>'
 
 
-def bind(value: Column, use) -> Column:
-    """use(value), with the value computed once: expressions inside a lambda are evaluated anew at every mention."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, whatever later steps do with it.
+
+    It comes from a generator of one row: filters and projections above are not merged into it, as they are into a
+    projection, where every mention of the column would compute it again.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def _last_wins(entries: Column) -> Column:
     """A map of (key, value) structs; of equal keys the last counts."""
 
-    def without_earlier(es: Column) -> Column:
+    def merged(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        repeated = F.size(F.array_distinct(keys)) < F.size(keys)
         last = lambda back: F.filter(es, lambda e, i: i == F.size(back) - F.array_position(back, e["key"]).cast("int"))
-        return F.map_from_entries(bind(F.reverse(F.transform(es, lambda e: e["key"])), last))
+        return F.map_from_entries(F.when(repeated, bind(F.reverse(keys), last)).otherwise(es))
 
-    return bind(entries, without_earlier)
+    return bind(entries, merged)
 
 
 def label_map(html: Column | str) -> Column:
@@ -35,16 +41,23 @@ def label_map(html: Column | str) -> Column:
     return _last_wins(F.transform(F.regexp_extract_all(col(html), F.lit(LABEL), F.lit(0)), entry))
 
 
-def lobbyist_label_map(html: Column | str) -> Column:
-    """Label id -> text of any element: entities decoded, one line for each text node, blank values left out."""
+#: White space other than a line feed.
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}&&[^\n]]"
+_ALL_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def lines_of(fragment: Column) -> Column:
+    """The text of an element, one line for each text node; inside a line only blanks and tabs are collapsed, and blank lines inside stay."""
+    nodes = decode_entities(F.regexp_replace(fragment, r"(?s)(?:<[^>]*>)+", "\n"))
+    broken = F.regexp_replace(nodes, r"\r\n|[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", "\n")
+    lines = F.regexp_replace(F.regexp_replace(broken, r"[ \t]+", " "), rf"{_BLANK}*\n{_BLANK}*", "\n")
+    return F.regexp_replace(lines, rf"^{_ALL_BLANK}+|{_ALL_BLANK}+$", "")
 
-    def value(m: Column) -> Column:
-        inner = F.regexp_extract(m, r"(?is)^<[^>]*>(.*)</\w+>$", 1)
-        lines = F.split(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*>", "\n")), "\n")
-        tidy = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t\r ]+", " ")))
-        return F.array_join(F.filter(tidy, lambda x: x != ""), "\n")
 
-    entry = lambda m: F.struct(F.regexp_extract(m, r'(?i)\bid="([^"]*)"', 1).alias("key"), value(m).alias("value"))
+def lobbyist_label_map(html: Column | str) -> Column:
+    """Label id -> text of any element: entities decoded, one line for each text node, blank values left out."""
+    inner = lambda m: F.regexp_extract(m, r"(?is)^<[^>]*>(.*)</\w+>$", 1)
+    entry = lambda m: F.struct(F.regexp_extract(m, r'(?i)\bid="([^"]*)"', 1).alias("key"), lines_of(inner(m)).alias("value"))
     found = F.transform(F.regexp_extract_all(col(html), F.lit(ANY_LABEL), F.lit(0)), entry)
     return _last_wins(F.filter(found, lambda e: e["key"].startswith("lbl") & (e["value"] != "")))
 
@@ -94,3 +107,9 @@ def row_text(row: Column) -> Column:
     """All text of a row."""
     inner = F.regexp_replace(F.get(F.split(row, r"(?i)</tr\b", 2), F.lit(0)), r"^[^>]*>", "")
     return collapse_ws(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*>", " ")))
+
+
+def anchor_text(row: Column, id_pattern: str) -> Column:
+    """The text of the first anchor whose id matches."""
+    inner = F.regexp_extract(row, rf'(?is)<a\b[^>]*\bid="?{id_pattern}\b[^>]*>(.*?)</a\b', 1)
+    return collapse_ws(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*>", "")))

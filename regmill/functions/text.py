@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """use(value), with the value computed once: expressions inside a lambda are evaluated anew at every mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_ws(c: Column | str) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(col(c), SPACES, " "))
@@ -101,14 +109,48 @@ def contains_ignoring_case(c: Column | str, query: str) -> Column:
     return F.ilike(col(c), F.lit("%" + query.replace("\\", "\\\\") + "%"))
 
 
-#: The entities that pages carry in practice; the ampersand's comes last, so that nothing is decoded twice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: Named entities with their semicolon, from the standard library's table; and those that need none.
+_NAMED = {k: v for k, v in entities.html5.items() if k.endswith(";")}
+_BARE = {k: v for k, v in entities.html5.items() if not k.endswith(";")}
+_BARE_NAMES = "|".join(sorted((k for k in entities.html5 if not k.endswith(";")), key=len, reverse=True))
+#: Numbers that stand for the characters of an old code page.
+_CODE_PAGE = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
-def decode_entities(c: Column | str, also: dict[str, str] | None = None) -> Column:
-    """Named entities as characters, in the JVM; `also` adds others."""
-    text = col(c)
-    out = text
-    for entity, char in ((also or {}) | ENTITIES).items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), out).otherwise(text)
+def _found(table: dict[str, str], key: Column) -> Column:
+    """The key's value in a table that the plan holds as one constant, or null."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point: none for control and non-characters, the replacement character where there is no such point."""
+    point = number.try_cast("long")
+    known = _found(_CODE_PAGE, point.cast("string"))
+    wrong = point.isNull() | (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    silent = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    return F.when(wrong, "\ufffd").when(known.isNotNull(), known).when(silent, "").otherwise(char)
+
+
+def _after_ampersand(piece: Column) -> Column:
+    """A piece of text behind an ampersand, with the entity that it begins with decoded."""
+    decimal, hexadecimal = F.regexp_extract(piece, "^#([0-9]+);?", 1), F.regexp_extract(piece, "^#[xX]([0-9A-Fa-f]+);?", 1)
+    rest = F.regexp_replace(piece, "^#[xX]?[0-9A-Fa-f]+;?", "")
+    named, bare = _found(_NAMED, F.regexp_extract(piece, "^[A-Za-z0-9]+;", 0)), F.regexp_extract(piece, f"^(?:{_BARE_NAMES})", 0)
+    return (
+        F.when(decimal != "", F.concat(_character(decimal), F.regexp_replace(piece, "^#[0-9]+;?", "")))
+        .when(hexadecimal != "", F.concat(_character(F.when(F.length(F.ltrim(hexadecimal, F.lit("0"))) <= 8, F.conv(hexadecimal, 16, 10))), rest))
+        .when(named.isNotNull(), F.concat(named, F.regexp_replace(piece, "^[A-Za-z0-9]+;", "")))
+        .when(bare != "", F.concat(_found(_BARE, bare), F.substring(piece, F.length(bare) + 1, F.length(piece))))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
+def decode_entities(c: Column | str) -> Column:
+    """Named, decimal and hexadecimal entities as characters, each decoded once, in the JVM."""
+
+    def joined(pieces: Column) -> Column:
+        later = F.transform(F.slice(pieces, 2, F.size(pieces) - 1), _after_ampersand)
+        return F.when(F.size(pieces) > 1, F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))).otherwise(F.get(pieces, F.lit(0)))
+
+    return bind(F.split(col(c), "&"), joined)

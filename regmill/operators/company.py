@@ -17,7 +17,7 @@ NO_NUMBER = "lblCompanyNumber is empty"
 NO_NAME = "lblCompanyName is empty"
 BAD_TYPE = "unknown CorporationType: "
 
-#: Column -> label.
+#: Column -> label of the pages.
 SIMPLE_FIELDS = {
     "status": "lblStatus",
     "business_type": "lblBusinessType",
@@ -91,13 +91,9 @@ def remarks(html: Column | str, include_panel_text: bool = False) -> Column:
     return _seq(kept, lambda t: [t.alias("remark")])
 
 
-def with_labels(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.withColumn("labels", L.label_map(html))
-
-
 def parse_companies(pages: DataFrame, include_panel_text: bool = False) -> DataFrame:
-    """pages (key, html, ...) with `company` (a struct, null on error) and `parse_error`."""
-    labelled = with_labels(pages)
+    """pages (key, html, ...) with `company` (a struct, null on error) and `parse_error`. Labels are extracted once a page."""
+    labelled = L.once(pages, "labels", L.label_map("html"))
     m = F.col("labels")
     text = lambda c: L.label_text(m, c)
     category = text("lblCategory")
@@ -116,12 +112,12 @@ def parse_companies(pages: DataFrame, include_panel_text: bool = False) -> DataF
     return judged.withColumn("company", F.when(F.col("parse_error").isNull(), record)).drop("labels")
 
 
-def company_rows(parsed: DataFrame) -> DataFrame:
-    """The flat parent rows of the good pages."""
+def company_rows(parsed: DataFrame, *more: str) -> DataFrame:
+    """The flat parent rows of the good pages, with more columns of theirs."""
     c = F.col("company")
     plain = ["number", "name", "corporation_type", "category", *SIMPLE_FIELDS, *DATES, "ma_same_as_registered"]
     addresses = [c[s][a].alias(f"{p}_{a}") for s, p in (("registered_office", "ro"), ("mailing_address", "ma")) for a in ADDRESS]
-    return parsed.where("parse_error IS NULL").select(*[c[x].alias(x) for x in plain], *addresses, page_sha256("html").alias("source_html_sha256"))
+    return parsed.where("parse_error IS NULL").select(*[c[x].alias(x) for x in plain], *addresses, page_sha256("html").alias("source_html_sha256"), *more)
 
 
 #: Child table -> list of the record.
@@ -130,7 +126,8 @@ CHILD_LISTS = {"company_directors": "directors", "company_previous_names": "prev
 
 def child_rows(parsed: DataFrame, table: str) -> DataFrame:
     """The rows of one child table."""
-    items = parsed.where("parse_error IS NULL").select(F.col("company.number").alias("company_number"), F.explode(F.col("company")[CHILD_LISTS[table]]).alias("x"))
+    good = parsed.where("parse_error IS NULL").select(F.col("company.number").alias("company_number"), F.col("company")[CHILD_LISTS[table]].alias("listed"))
+    items = L.once(good, "items", F.col("listed")).select("company_number", F.explode("items").alias("x"))
     return items.select("company_number", "x.*")
 
 
@@ -150,13 +147,14 @@ def search_totals(html: Column | str) -> Column:
 
 def search_hits(html: Column | str) -> Column:
     """The hits of a result page: five cells at least, and a valid company number."""
+    ident = r"rptCompanyNameSearchResults__ctl\d+_lbtCompanyNumber"
     anchor = r'(?i)id="?rptCompanyNameSearchResults__ctl(\d+)_lbtCompanyNumber\b'
     rows = F.filter(L.rows_of(_results(html)), lambda r: r.rlike(anchor))
 
     def hit(r: Column, cells: Column) -> Column:
         cell = lambda i: blank_to_null(F.get(cells, F.lit(i)))
         return F.struct(
-            F.regexp_extract(r, anchor, 1).try_cast("int").alias("row_index"), cell(0).alias("name"), cell(1).alias("status"), cell(2).alias("number"),
+            F.regexp_extract(r, anchor, 1).try_cast("int").alias("row_index"), blank_to_null(L.anchor_text(r, ident)).alias("name"), cell(1).alias("status"), cell(2).alias("number"),
             cell(3).alias("corporation_type"), cell(4).alias("date_text"), F.size(cells).alias("n"),
         )
 
@@ -171,4 +169,4 @@ def classify_page(url: Column | str, html: Column | str) -> Column:
 
 def explode_search_hits(pages: DataFrame) -> DataFrame:
     """One row for each hit: the page's key and the hit's fields."""
-    return pages.select("key", F.explode(search_hits("html")).alias("h")).select("key", "h.*")
+    return L.once(pages, "hits", search_hits("html")).select("key", F.explode("hits").alias("h")).select("key", "h.*")

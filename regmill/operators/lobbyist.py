@@ -11,7 +11,7 @@ from ..functions.text import blank_to_null, col, collapse_ws, page_sha256, toler
 #: Fixed value: the error text that goes to the log.
 NO_NUMBER = "page is not a lobbySummary.aspx (no lblRegistrationNumber)"
 
-#: Column -> label.
+#: Column -> label of the pages.
 TEXTS = {
     "contact_name": "lblContactName",
     "contact_line1": "lblContactAddressCI",
@@ -39,7 +39,7 @@ def lobbyist_type(labels: Column | str) -> Column:
 
 def parse_lobbyists(pages: DataFrame) -> DataFrame:
     """pages (key, html, ...) with `lobbyist` (a struct, null on error) and `parse_error`."""
-    labelled = pages.withColumn("labels", L.lobbyist_label_map("html"))
+    labelled = L.once(pages, "labels", L.lobbyist_label_map("html"))
     m = F.col("labels")
     record = F.struct(
         m["lblRegistrationNumber"].alias("registration_number"), lobbyist_type(m).alias("lobbyist_type"), F.coalesce(m["lblstatus"], m["lblStatus"]).alias("status"),
@@ -59,6 +59,7 @@ def raw_fields_json(fields: Column | str) -> Column:
 
 
 ANCHOR = r'(?i)id="?rptSearchResults__ctl(\d+)_lbtRegNum\b'
+ANCHOR_ID = r"rptSearchResults__ctl\d+_lbtRegNum"
 
 
 def search_hits(html: Column | str) -> Column:
@@ -68,13 +69,14 @@ def search_hits(html: Column | str) -> Column:
     def hit(r: Column, cells: Column) -> Column:
         cell = lambda i: blank_to_null(F.get(cells, F.lit(i)))
         names = ("registration_number", "name", "lobbyist_type", "client", "organization", "activity_date_text", "status")
-        return F.struct(F.regexp_extract(r, ANCHOR, 1).try_cast("int").alias("row_index"), *[cell(i).alias(n) for i, n in enumerate(names)], F.size(cells).alias("n"))
+        texts = [blank_to_null(L.anchor_text(r, ANCHOR_ID)), *[cell(i) for i in range(1, len(names))]]
+        return F.struct(F.regexp_extract(r, ANCHOR, 1).try_cast("int").alias("row_index"), *[t.alias(n) for t, n in zip(texts, names, strict=True)], F.size(cells).alias("n"))
 
     return F.transform(F.filter(F.transform(rows, lambda r: L.bind(L.cells(r), lambda c: hit(r, c))), lambda h: h["n"] >= 7), lambda h: h.dropFields("n"))
 
 
 def explode_hits(pages: DataFrame) -> DataFrame:
-    return pages.select("key", F.explode(search_hits("html")).alias("h")).select("key", "h.*")
+    return L.once(pages, "hits", search_hits("html")).select("key", F.explode("hits").alias("h")).select("key", "h.*")
 
 
 def hit_row_indices(html: Column | str) -> Column:

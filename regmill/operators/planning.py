@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from . import company, lobbyist
 
 FIRST, STOP = 1, 105_000
@@ -24,8 +25,8 @@ def crawl_frontier(spark: SparkSession, manifest: DataFrame, start: int = FIRST,
 
 def classify_responses(responses: DataFrame) -> DataFrame:
     """Fetched pages (number, url, html) with their kind, and the id that a detail page is saved under."""
-    kind = company.classify_page("url", "html")
-    return responses.withColumn("kind", kind).withColumn("saved_id", F.when(kind == "details", F.coalesce(company.page_key("html"), F.col("number"))))
+    classified = L.once(responses, "kind", company.classify_page("url", "html"))
+    return classified.withColumn("saved_id", F.when(F.col("kind") == "details", F.coalesce(company.page_key("html"), F.col("number"))))
 
 
 def drill_targets(pages: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def retry_list(errors: DataFrame) -> DataFrame:
 
 def lobbyist_index(pages: DataFrame) -> DataFrame:
     """(registration_number, page_no, row_index) of all hits on list pages (page_no, html)."""
-    return pages.select("page_no", F.explode(lobbyist.search_hits("html")).alias("h")).select("h.registration_number", "page_no", "h.row_index")
+    return L.once(pages, "hits", lobbyist.search_hits("html")).select("page_no", F.explode("hits").alias("h")).select("h.registration_number", "page_no", "h.row_index")
 
 
 def index_complete(pages: DataFrame) -> DataFrame:

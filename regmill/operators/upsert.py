@@ -1,4 +1,4 @@
-"""Replace-by-key loads with an audit log, published as one version."""
+"""Replace-by-key loads with an appended audit log, published as one version."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_sha256
 from ..sources.schemas import CHILDREN, TABLES, conform
-from ..sources.storage import Versions, scratch
+from ..sources.storage import Buckets, scratch
 from . import company, lobbyist
 
 
@@ -40,12 +40,11 @@ def log_rows(parsed: DataFrame, kind: str) -> DataFrame:
     return parsed.select(F.lit(kind).alias("kind"), F.col("key").alias("record_key"), ok.alias("parsed_ok"), F.col("parse_error").alias("error"), page_sha256("html").alias("source_html_sha256"))
 
 
-def append_ingest_log(log: DataFrame, rows: DataFrame) -> DataFrame:
-    """log and the new rows, numbered on from its highest id in the order of kind and key.
+def numbered_log(rows: DataFrame, last: int) -> tuple[DataFrame, int]:
+    """The new rows of the log, numbered on from the last id in the order of kind and key, and the last id now.
 
     The numbers come from counts of range partitions, so no task sees all rows.
     """
-    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     order = ["kind", "record_key", "source_html_sha256"]
     where = scratch(rows.sparkSession, "log")
     rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(where)
@@ -56,18 +55,18 @@ def append_ingest_log(log: DataFrame, rows: DataFrame) -> DataFrame:
         total += n
     offsets = rows.sparkSession.createDataFrame(starts or [(0, last)], "_part int, _start long")
     placed = ranged.withColumn("id", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return log.unionByName(conform(placed.join(offsets, "_part").withColumn("id", F.col("id") + F.col("_start")), "ingest_log"))
+    return conform(placed.join(offsets, "_part").withColumn("id", F.col("id") + F.col("_start")), "ingest_log"), total
 
 
 def ok_err_counts(log: DataFrame) -> DataFrame:
     return log.agg(F.count_if("parsed_ok").alias("ok"), F.count_if(~F.col("parsed_ok")).alias("err"))
 
 
-def _kept(parsed: DataFrame, name: str) -> DataFrame:
+def kept(parsed: DataFrame, name: str) -> DataFrame:
     """The parsed pages, written once: parent, children and log read them from there."""
     where = scratch(parsed.sparkSession, name)
     parsed.write.parquet(where)
-    return parsed.sparkSession.read.parquet(where)
+    return parsed.sparkSession.read.schema(parsed.schema).parquet(where)
 
 
 def company_tables(parsed: DataFrame, tables) -> dict[str, DataFrame]:
@@ -85,32 +84,56 @@ def lobbyist_tables(parsed: DataFrame, tables) -> dict[str, DataFrame]:
     return {"lobbyist_registrations": upsert_parent(tables("lobbyist_registrations"), rows, "lobbyist_registrations")}
 
 
-KINDS = {"company": (company.parse_companies, company_tables), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables)}
+#: Kind -> parser, tables, and where a parsed page has its key.
+KINDS = {"company": (company.parse_companies, company_tables, "company.number"), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables, "lobbyist.registration_number")}
+BUCKETS = 64
 
 
 class Store:
-    """The tables under a root folder."""
+    """The tables under a root folder, in buckets by the parent's key; the log is appended to."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.versions = Versions(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.versions, self.buckets = spark, Buckets(spark, root), buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("string")
 
     def table(self, name: str) -> DataFrame:
-        return self.versions.table(name, TABLES[name].schema)
+        return self.versions.read(name, TABLES[name].schema)
+
+    def rows_of(self, name: str, key: str) -> DataFrame:
+        """The rows of one parent's key, from its bucket's files alone."""
+        spec = TABLES[name]
+        bucket = self.spark.range(1).select(self._bucket(F.lit(key))).first()[0]
+        return self.versions.read(name, spec.schema, [bucket]).where(F.col(spec.parent or spec.key[0]) == key)
+
+    def ingest(self, pages: DataFrame, kind: str, log: bool = True, batch: tuple[str, int] | None = None) -> int:
+        """Load detail pages (key, html) and publish the next version, which is returned. A failed page leaves earlier rows as they are.
 
-    def ingest(self, pages: DataFrame, kind: str, log: bool = True) -> int:
-        """Load detail pages (key, html) and publish the next version, which is returned. A failed page leaves earlier rows as they are."""
+        Only the buckets of the loaded keys are written. `batch` names a stream and the number of its batch: one that
+        is published already is not loaded again, so a replay changes nothing.
+        """
         if kind not in KINDS:
             raise ValueError(f"unknown ingest kind: {kind!r}")
-        parse, build = KINDS[kind]
-        parsed = _kept(parse(pages.select("key", "html")), kind)
-        state = {name: self.table(name) for name in TABLES} | build(parsed, self.table)
+        state = self.versions.state()
+        if batch and state["notes"].get(f"batch {batch[0]}", -1) >= batch[1]:
+            return state["version"]
+        parse, build, number = KINDS[kind]
+        parsed = kept(parse(pages.select("key", "html")), kind)
+        touched = [r[0] for r in parsed.where("parse_error IS NULL").select(self._bucket(F.col(number))).distinct().collect()]  # as many as there are buckets
+        for name, df in build(parsed, lambda name: self.versions.read(name, TABLES[name].schema, touched, state)).items():
+            spec = TABLES[name]
+            self.versions.replace(state, name, df, self._bucket(F.col(spec.parent or spec.key[0])), touched)
         if log:
-            state["ingest_log"] = append_ingest_log(self.table("ingest_log"), log_rows(parsed, kind))
+            rows, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
+            self.versions.append(state, "ingest_log", rows)
+        if batch:
+            state["notes"][f"batch {batch[0]}"] = batch[1]
         return self.versions.publish(state)
 
     def ingest_one(self, kind: str, key: str, html: str) -> int:
         """One page, without the log."""
-        return self.ingest(self.versions.spark.createDataFrame([(key, html)], "key string, html string"), kind, log=False)
+        return self.ingest(self.spark.createDataFrame([(key, html)], "key string, html string"), kind, log=False)
 
     def ingest_all(self, companies: DataFrame, lobbyists: DataFrame) -> int:
         self.ingest(companies, "company")

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import company, lobbyist, planning, search, upsert
-from ..sources import files, pages, storage
-from ..sources.schemas import TABLES
-from ..streaming.incremental import incremental_ingest_table
+from ..sources import files, pages, schemas, storage
+from ..streaming.incremental import incremental_ingest, incremental_ingest_table
 from . import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,10 +28,11 @@ def query(sql: str | None = None, dates: tuple[str, ...] = ()):
             df = f(spark, sf_dir)
             return df.withColumns({c: F.col(c).cast("string") for c in dates})
 
-        QUERIES[f.__name__] = run if dates else f
+        name = f.__name__.rstrip("_")  # where the operator itself has the name
+        QUERIES[name] = run if dates else f
         if sql:
             as_text = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
-            ORACLES[f.__name__] = f"SELECT * REPLACE ({as_text}) FROM ({sql})" if dates else sql
+            ORACLES[name] = f"SELECT * REPLACE ({as_text}) FROM ({sql})" if dates else sql
         return f
 
     return register
@@ -60,24 +60,23 @@ page AS (
 
 DIRECTORS = (
     COMPANIES
-    + r""", four AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS seq FROM supplier) WHERE seq <= 4),
-dirs AS (
-  SELECT number AS company_number, CAST(seq AS INT) AS seq, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' ' || n_name ELSE '' END AS full_name
-  FROM co JOIN four ON s_nationkey = co.c_nationkey JOIN nation ON n_nationkey = co.c_nationkey
+    + r""", dirs AS (
+  SELECT number AS company_number, CAST(row_number() OVER (PARTITION BY k ORDER BY s_suppkey) AS INT) AS seq, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' ' || n_name ELSE '' END AS full_name
+  FROM co JOIN supplier ON floor(sqrt(s_suppkey)) = k JOIN nation ON n_nationkey = co.c_nationkey
 )"""
 )
 NAMES = (
     COMPANIES
     + r""", names AS (
   SELECT number AS company_number, CAST(1 AS INT) AS seq, p_name AS name, DATE '2001-02-03' AS effective_date FROM co JOIN part ON p_partkey = k WHERE k % 13 = 0
-  UNION ALL SELECT number, CAST(2 AS INT), p_name || ' & Sons', NULL FROM co JOIN part ON p_partkey = k + 1 WHERE k % 13 = 0
+  UNION ALL SELECT number, CAST(2 AS INT), p_name || ' & Söns', NULL FROM co JOIN part ON p_partkey = k + 1 WHERE k % 13 = 0
 )"""
 )
 REMARKS = (
     COMPANIES
     + r""", rem AS (
   SELECT number AS company_number, CAST(1 AS INT) AS seq, 'Remark "' || k || '" on file' AS remark FROM co WHERE k % 11 = 0
-  UNION ALL SELECT number, CAST(2 AS INT), 'Filed & closed' FROM co WHERE k % 11 = 0
+  UNION ALL SELECT number, CAST(2 AS INT), 'Filed & closed © — café' FROM co WHERE k % 11 = 0
 )"""
 )
 LOBBYISTS = r"""
@@ -85,15 +84,15 @@ WITH lob AS (
   SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'XX' WHEN o_orderkey % 2 = 0 THEN 'CL' ELSE 'IHL' END || '-' || o_orderkey || '-' || o_custkey AS registration_number,
     CASE WHEN o_orderkey % 19 = 0 THEN 'Consultant Lobbyist' WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'Consultant' ELSE 'In-House' END AS lobbyist_type,
     o_orderstatus AS status, CAST(o_orderdate AS DATE) AS registration_date, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS effective_date,
-    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Contact ' || o_custkey END AS contact_name, c_name || chr(10) || '& Co' AS firm_name,
-    'Priority:' || chr(10) || o_orderpriority || ' level' || chr(10) || 'end' AS organization_description,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Contact' || chr(160) || o_custkey END AS contact_name, c_name || chr(10) || '& Co' AS firm_name,
+    'Priority:' || chr(10) || o_orderpriority || ' level' || chr(10) || 'mid' || chr(10) || chr(10) || 'café' || chr(10) || chr(10) || chr(10) || '– end' AS organization_description,
     strftime(o_orderdate, '%Y-%m-%d') AS reg_text, CASE WHEN o_orderkey % 23 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%-m-%-d') END AS eff_text
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 103 <> 0
 )"""
 #: The rows of the rendered search results.
 HITS = r"""
 WITH hit AS (
-  SELECT 'n' || (c_custkey // 10 + 1) AS key, CAST(c_custkey % 10 + 1 AS INT) AS row_index, c_name AS name, c_mktsegment AS status,
+  SELECT 'n' || (c_custkey // 10 + 1) AS key, CAST(c_custkey % 10 + 1 AS INT) AS row_index, c_name || ' & Co' AS name, c_mktsegment AS status,
     c_custkey || CASE WHEN c_custkey % 50 = 0 THEN 'D' ELSE '' END AS number, 'Company' AS corporation_type, CASE WHEN c_custkey % 2 = 0 THEN '2004-7-3' END AS date_text, c_custkey AS k
   FROM customer WHERE c_custkey % 29 <> 0 AND c_custkey % 31 <> 0
 )"""
@@ -122,9 +121,8 @@ _PARSED = (
 
 @query(COMPANIES + f" SELECT {_PARSED}, CAST(NULL AS VARCHAR) AS filing_type, ma_city IS NULL AS ma_empty FROM co", dates=('incorporation_date',))
 def company_parse(spark, sf_dir):
-    parsed = parsed_companies(spark, sf_dir).where("parse_error IS NULL")
-    flat = company.company_rows(parsed).select("*", F.concat_ws("", *[F.col(f"ma_{a}") for a in ("contact", "line1", "city")]).alias("_ma"))
-    return flat.select(*_PARSED.split(", "), "filing_type", (F.col("_ma") == "").alias("ma_empty"))
+    parsed = parsed_companies(spark, sf_dir).withColumn("ma_empty", company.address_is_empty("company.mailing_address"))
+    return company.company_rows(parsed, "ma_empty").select(*_PARSED.split(", "), "filing_type", "ma_empty")
 
 
 @query(COMPANIES + " SELECT key, err AS parse_error, err IS NULL AS parsed_ok, CASE WHEN k % 103 <> 0 AND k % 101 <> 0 THEN key END AS page_key FROM page")
@@ -179,7 +177,7 @@ UNION ALL SELECT 'lobbyist_registrations', count(*) FROM orders JOIN customer ON
 UNION ALL SELECT 'companies/detail', count(*) FROM customer UNION ALL SELECT 'companies/list', (count(*) + 9) // 10 FROM customer"""
 )
 def table_counts(spark, sf_dir):
-    parsed = parsed_companies(spark, sf_dir)
+    parsed = upsert.kept(parsed_companies(spark, sf_dir), "parsed")
     tables = {"companies": company.company_rows(parsed)} | {t: company.child_rows(parsed, t) for t in ("company_directors", "company_previous_names")}
     details = render.company_pages(spark, sf_dir).select(F.lit("companies").alias("registry"), F.lit("detail").alias("kind"))
     listed = render.company_list_pages(spark, sf_dir).select(F.lit("companies").alias("registry"), F.lit("list").alias("kind"))
@@ -228,9 +226,9 @@ def company_lookup(spark, sf_dir):
     return search.key_lookup(companies(spark, sf_dir), "number", "50D").select(*search.COMPANY_COLUMNS)
 
 
-@query(DIRECTORS + " SELECT * FROM dirs WHERE company_number = '4' ORDER BY seq")
+@query(DIRECTORS + " SELECT * FROM dirs WHERE company_number = '3' ORDER BY seq")
 def lookup_directors(spark, sf_dir):
-    return search.lookup_children(directors(spark, sf_dir), "4").select("company_number", "seq", "full_name")
+    return search.lookup_children(directors(spark, sf_dir), "3").select("company_number", "seq", "full_name")
 
 
 @query(
@@ -242,7 +240,7 @@ def lookup_directors(spark, sf_dir):
 (SELECT string_agg(seq || ':' || remark, '|' ORDER BY seq) FROM rem WHERE company_number = number) AS remarks FROM co"""
 )
 def company_with_children(spark, sf_dir):
-    parsed = parsed_companies(spark, sf_dir)
+    parsed = upsert.kept(parsed_companies(spark, sf_dir), "parsed")
     full = search.company_with_children(company.company_rows(parsed), *[company.child_rows(parsed, t) for t in company.CHILD_LISTS])
     joined = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["seq"].cast("string"), *[F.coalesce(x[n].cast("string"), F.lit("")) for n in f])), "|").alias(c)
     return full.select("number", "name", joined("directors", "full_name"), joined("previous_names", "name", "effective_date"), joined("remarks", "remark"))
@@ -270,10 +268,10 @@ def lobbyist_raw_json(spark, sf_dir):
 
 @query(
     LOBBYISTS
-    + """ SELECT registration_number, lobbyist_type, status, contact_name, firm_name, effective_date FROM lob WHERE contact_name ILIKE '%contact 1%' OR firm_name ILIKE '%contact 1%'
-OR registration_number = 'Contact 1' ORDER BY effective_date DESC NULLS LAST, contact_name NULLS LAST, registration_number LIMIT 50""", dates=('effective_date',))
+    + """ SELECT registration_number, lobbyist_type, status, contact_name, firm_name, effective_date FROM lob WHERE contact_name ILIKE '%contact_1%' OR firm_name ILIKE '%contact_1%'
+OR registration_number = 'Contact_1' ORDER BY effective_date DESC NULLS LAST, contact_name NULLS LAST, registration_number LIMIT 50""", dates=('effective_date',))
 def search_lobbyists(spark, sf_dir):
-    return search.search_lobbyists(lobbyists(spark, sf_dir), "Contact 1")
+    return search.search_lobbyists(lobbyists(spark, sf_dir), "Contact_1")
 
 
 @query(LOBBYISTS + " SELECT registration_number, coalesce(contact_name, firm_name, registration_number) AS title FROM lob")
@@ -421,16 +419,21 @@ def ingest_lobbyists(spark, sf_dir):
 
 @query(
     COMPANIES
-    + """ SELECT rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('number is null'), ('name is null'), ('corporation_type is null'), ('ma_same_as_registered is null'), ('ingested_at is null'), ('number repeated')) v(rule)"""
+    + """ SELECT 'number is null' AS rule, count(*) FILTER (k % 6 = 1) AS violations FROM co UNION ALL SELECT 'name is null', count(*) FILTER (k % 5 = 1) FROM co
+UNION ALL SELECT 'corporation_type is null', count(*) FILTER (corporation_type = 'Condominium') FROM co UNION ALL SELECT 'ma_same_as_registered is null', 0 FROM co
+UNION ALL SELECT 'ingested_at is null', 0 FROM co
+UNION ALL SELECT 'number repeated', count(*) FILTER (k % 4 = 2 AND k % 6 <> 1) + (count(*) FILTER (k % 6 = 1) > 1)::INT FROM co"""
 )
 def constraints(spark, sf_dir):
-    from ..sources.schemas import check_constraints, conform
-
-    return check_constraints(conform(companies(spark, sf_dir), "companies"), "companies")
+    """Some numbers, names and types are taken away, and some rows stand twice."""
+    found = companies(spark, sf_dir).withColumn("k", F.regexp_extract("number", "^[0-9]+", 0).cast("long"))
+    broken = found.withColumns({"number": F.expr("if(k % 6 = 1, null, number)"), "name": F.expr("if(k % 5 = 1, null, name)"), "corporation_type": F.expr("nullif(corporation_type, 'Condominium')")})
+    planted = broken.unionByName(found.where("k % 4 = 2 AND k % 6 <> 1").withColumns({"name": F.lit("again"), "corporation_type": F.lit("Company")}))
+    return schemas.check_constraints(schemas.conform(planted, "companies"), "companies")
 
 
 @query(COMPANIES + " SELECT number, name, status, incorporation_date, ma_same_as_registered FROM co", dates=('incorporation_date',))
-def incremental_ingest(spark, sf_dir):
+def incremental_ingest_(spark, sf_dir):
     folder, marks, store = storage.scratch(spark, "arrivals"), storage.scratch(spark, "marks"), _store(spark, sf_dir)
     all_pages = render.company_pages(spark, sf_dir)
     for batch in (_even(all_pages), all_pages.where("c_custkey % 2 = 1")):
@@ -439,6 +442,48 @@ def incremental_ingest(spark, sf_dir):
     return store.table("companies").select("number", "name", "status", "incorporation_date", "ma_same_as_registered")
 
 
+@query(COMPANIES + " SELECT number, CASE WHEN number = '3' THEN 'Previous Name' ELSE status END AS status, (SELECT count(*) FROM page) AS logged FROM co")
+def ingest_one_page(spark, sf_dir):
+    """All pages, then one of them again in another state, which is not logged."""
+    store, all_pages = _store(spark, sf_dir), render.company_pages(spark, sf_dir)
+    store.ingest(all_pages, "company")
+    again = _without_lists(all_pages.where("key = '3'")).select("key", "html").first()
+    store.ingest_one("company", again.key, again.html)
+    logged = store.table("ingest_log").agg(F.count("*").alias("logged"), F.lit(1).alias("_one"))
+    return store.table("companies").select("number", "status", F.lit(1).alias("_one")).join(logged, "_one").drop("_one")
+
+
+@query(
+    COMPANIES
+    + """ SELECT 'companies' AS label, count(*) AS n FROM co UNION ALL SELECT 'lobbyist_registrations', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 103 <> 0
+UNION ALL SELECT 'company log', count(*) FROM page UNION ALL SELECT 'lobbyist log', count(*) FROM orders JOIN customer ON o_custkey = c_custkey"""
+)
+def ingest_all(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.ingest_all(render.company_pages(spark, sf_dir), render.lobbyist_pages(spark, sf_dir))
+    logged = {f"{kind} log": store.table("ingest_log").where(F.col("kind") == kind) for kind in ("company", "lobbyist")}
+    return search.table_counts({n: store.table(n) for n in ("companies", "lobbyist_registrations")} | logged)
+
+
+#: The suffix of the files that Spark's text writer makes.
+WRITTEN = ".txt.gz"
+
+
+def _as_files(html: DataFrame, folder: str) -> None:
+    """One gzipped file for each page, named by Spark."""
+    html.write.mode("append").options(compression="gzip", maxRecordsPerFile=1).text(folder)
+
+
+@query(COMPANIES + " SELECT number, name, status FROM co")
+def incremental_ingest_files(spark, sf_dir):
+    folder, marks, store = storage.scratch(spark, "arrivals"), storage.scratch(spark, "marks"), _store(spark, sf_dir)
+    all_pages = render.company_pages(spark, sf_dir)
+    for batch in (_even(all_pages), all_pages.where("c_custkey % 2 = 1")):
+        _as_files(batch.select("html"), folder)
+        incremental_ingest(spark, folder, store, "company", marks, suffix=WRITTEN)
+    return store.table("companies").select("number", "name", "status")
+
+
 # -- raw zone ---------------------------------------------------------------------------------------------------
 
 
@@ -463,11 +508,11 @@ def csv_round_trip(spark, sf_dir):
 
 @query("SELECT CAST(page_id AS VARCHAR) AS key, CASE WHEN page_id % 2 = 0 THEN 'again' ELSE sha256(html) END AS content FROM pages")
 def land_and_scan(spark, sf_dir):
-    first, second = storage.scratch(spark, "landed"), storage.scratch(spark, "landed")
+    where = storage.scratch(spark, "landed")
     raw = render.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("key"), "html", "url", F.lit("web").alias("registry"), F.lit("detail").alias("kind"))
-    pages.land_pages(pages.landed(spark, first), raw, first)
-    pages.land_pages(pages.landed(spark, first), raw.where("CAST(key AS INT) % 2 = 0").withColumn("html", F.lit("again")), second)
-    return pages.landed(spark, second).select("key", F.when(F.col("html") == "again", "again").otherwise(text.page_sha256("html")).alias("content"))
+    pages.land_pages(raw, where)
+    pages.land_pages(raw.where("CAST(key AS INT) % 2 = 0").withColumn("html", F.lit("again")), where)
+    return pages.landed(spark, where).select("key", F.when(F.col("html") == "again", "again").otherwise(text.page_sha256("html")).alias("content"))
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS key FROM pages WHERE page_id % 3 = 0")
@@ -494,6 +539,24 @@ def error_log_round_trip(spark, sf_dir):
     return files.read_error_log(spark, where)
 
 
+@query("SELECT sha256(html || chr(10)) AS content, count(*) AS n, count(*) AS keys FROM pages GROUP BY 1")
+def scan_detail_pages(spark, sf_dir):
+    """A folder of gzipped pages; list pages below it are not read."""
+    where, html = storage.scratch(spark, "raw"), render.table(spark, sf_dir, "pages").select("html")
+    _as_files(html, where)
+    _as_files(html, f"{where}/_list")
+    return pages.scan_detail_pages(spark, where, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query("SELECT sha256(html || chr(10)) AS content, 2 * count(*) AS n, 2 * count(*) AS keys FROM pages GROUP BY 1")
+def scan_list_pages(spark, sf_dir):
+    """Two list folders, each named itself."""
+    folders, html = [f"{storage.scratch(spark, 'raw')}/_list" for _ in range(2)], render.table(spark, sf_dir, "pages").select("html")
+    for where in folders:
+        _as_files(html, where)
+    return pages.scan_list_pages(spark, *folders, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
 # -- planning ---------------------------------------------------------------------------------------------------
 
 
@@ -570,9 +633,18 @@ def human_bytes(spark, sf_dir):
     return render.table(spark, sf_dir, "documents").select("doc_id", text.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"))
 
 
-@query("SELECT name, CAST(columns AS INT) AS columns, key FROM (VALUES ('companies', 32, 'number'), ('company_directors', 5, 'company_number,seq'), ('company_previous_names', 4, 'company_number,seq'), ('company_historical_remarks', 3, 'company_number,seq'), ('lobbyist_registrations', 23, 'registration_number'), ('ingest_log', 7, 'id')) t(name, columns, key) WHERE (SELECT count(*) FROM customer) > 0")
+@query(
+    DIRECTORS
+    + NAMES.removeprefix(COMPANIES)
+    + REMARKS.removeprefix(COMPANIES)
+    + """, held AS (SELECT 'companies' AS name, 32 AS columns, count(*) AS n, count(DISTINCT number) AS keys, 0 AS nulls FROM co
+UNION ALL SELECT 'company_directors', 5, count(*), count(DISTINCT company_number || '/' || seq), 0 FROM dirs
+UNION ALL SELECT 'company_previous_names', 4, count(*), count(DISTINCT company_number || '/' || seq), 0 FROM names
+UNION ALL SELECT 'company_historical_remarks', 3, count(*), count(DISTINCT company_number || '/' || seq), 0 FROM rem
+UNION ALL SELECT 'lobbyist_registrations', 23, 0, 0, 0 UNION ALL SELECT 'ingest_log', 7, count(*), count(*), 0 FROM page)
+SELECT name, CAST(columns AS INT) AS columns, n, keys, CAST(nulls AS BIGINT) AS nulls FROM held"""
+)
 def table_schemas(spark, sf_dir):
     store = _store(spark, sf_dir)
     store.ingest(render.company_pages(spark, sf_dir), "company")
-    rows = [(t.name, len(store.table(t.name).columns), ",".join(t.key)) for t in TABLES.values()]
-    return spark.createDataFrame(rows, "name string, columns int, key string")
+    return schemas.table_report({name: store.table(name) for name in schemas.TABLES})

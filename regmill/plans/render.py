@@ -33,10 +33,10 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(first, "c_custkey", "left")
 
 
-def _four_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four suppliers of each nation; the limit on the row number is applied before the shuffle too."""
-    ranked = table(spark, sf_dir, "supplier").withColumn("rn", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("rn <= 4")
-    return ranked.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("suppliers"))
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier, at the company whose key is the root of its own: lists get longer and longer."""
+    at = F.floor(F.sqrt(F.col("s_suppkey").cast("double"))).cast("long").alias("c_custkey")
+    return table(spark, sf_dir, "supplier").groupBy(at).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("suppliers"))
 
 
 def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = (
         _customers(spark, sf_dir)
-        .join(_four_suppliers(spark, sf_dir), F.col("c_nationkey") == F.col("s_nationkey"), "left")
+        .join(_suppliers(spark, sf_dir), "c_custkey", "left")
         .join(parts.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("name1")), "c_custkey", "left")
         .join(parts.select((F.col("p_partkey") - 1).alias("c_custkey"), F.col("p_name").alias("name2")), "c_custkey", "left")
     )
@@ -78,21 +78,21 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     listed = F.array_join(F.transform(F.coalesce("suppliers", F.array().cast("array<struct<s_suppkey:bigint,s_name:string>>")), director), "")
     directors = F.concat(
-        F.lit('<a name="Directors"></a><div id="pnlCurrentDirectors"><table><tr class="ROW"><td>Director Name</td></tr><tr class="row"><td>4 Records Found</td><td></td></tr>'),
+        F.lit('<a name="Directors"></a><div id="pnlCurrentDirectors"><table><tr class="ROW"><td>Director Name</td></tr><tr class="row"><td>Records Found</td><td></td></tr>'),
         listed, F.lit("</table></div>\n"),
     )
     names = F.when(
         every(13),
         F.concat(
             F.lit('<a name="Names"></a><div id=pnlPreviousCompanyNames><table><tr class="row"><td>Previous Company Name</td><td>Date</td></tr>'),
-            row_head, F.lit("<td>"), F.col("name1"), F.lit("</td><td>2001-02-03</td></tr>"), row_head, F.lit("<td>"), F.col("name2"), F.lit(" &amp; Sons</td><td>&nbsp;</td></tr></table></div>\n"),
+            row_head, F.lit("<td>"), F.col("name1"), F.lit("</td><td>2001-02-03</td></tr>"), row_head, F.lit("<td>"), F.col("name2"), F.lit(" &amp; S&ouml;ns</td><td>&nbsp;</td></tr></table></div>\n"),
         ),
     ).otherwise("")
     remarks = F.when(
         every(11),
         F.concat(
             F.lit('<a name="Remarks"></a><table id="tblHistoricalRemarks"><tr class="row"><td><table><tr class="row"><td>Historical Remarks</td></tr><!-- <tr class="row"><td>no</td></tr> -->'),
-            row_head, F.lit('<td>Remark "'), k.cast("string"), F.lit('" on file</td></tr>'), row_head, F.lit("<td>Filed &amp;\n closed</td></tr></table></td></tr></table>\n"),
+            row_head, F.lit('<td>Remark "'), k.cast("string"), F.lit('" on file</td></tr>'), row_head, F.lit("<td>Filed &amp;\n closed &copy; &#8212; caf&eacute;</td></tr></table></td></tr></table>\n"),
         ),
     ).otherwise("")
     html = F.concat(F.lit("<html><body>\n"), F.when(every(103), "").otherwise(labels), directors, names, remarks, F.lit('<div id="gnlfoot"><table><tr class="row"><td>footer</td></tr></table></div></body></html>'))
@@ -114,7 +114,7 @@ def lobbyist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 23 == 0, label("lblEffectiveDate", F.lit("soon"))).otherwise(label("lblEffectiveDate", F.date_format("o_orderdate", "yyyy-M-d"))),
         F.when(k % 5 == 0, "").otherwise(label("lblContactName", F.concat(F.lit("Contact&nbsp;"), F.col("o_custkey").cast("string")))),
         label("lblFirmName", F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b> &amp; Co"))), label("lblCityF", F.lit("  ")),
-        label("lblOrgDesc", F.concat(F.lit("Priority:<br>  "), F.col("o_orderpriority"), F.lit(" \t level <br/><br/>end"))), F.lit("</body></html>"),
+        label("lblOrgDesc", F.concat(F.lit("Priority:<br>  "), F.col("o_orderpriority"), F.lit(" \t level <br/><br/>mid\n\n caf&eacute; <br>\n<br> &#x2013; end"))), F.lit("</body></html>"),
     )
     return rows.select(number.alias("key"), html.alias("html"), "o_orderkey")
 
@@ -138,7 +138,7 @@ def company_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     number = F.concat(F.when(k % 29 == 0, "X").otherwise(""), k.cast("string"), F.when(k % 50 == 0, "D").otherwise(""))
     cell = lambda c: F.concat(F.when(_odd(k), "<TD>").otherwise('<td class="c">'), c, F.lit("</td>"))
-    anchor = F.concat(F.lit('<a id="rptCompanyNameSearchResults__ctl'), (k % PAGE + 1).cast("string"), F.lit('_lbtCompanyNumber" href="#">'), F.col("c_name"), F.lit("</a>"))
+    anchor = F.concat(F.lit('<a id="rptCompanyNameSearchResults__ctl'), (k % PAGE + 1).cast("string"), F.lit('_lbtCompanyNumber" href="#">'), F.col("c_name"), F.lit(" &#38; <b>Co</b></a> (note)"))
     line = F.concat(
         F.when(_odd(k), "<TR CLASS=row>").otherwise('<tr class="row">'), cell(anchor), cell(F.col("c_mktsegment")), cell(F.concat(F.lit("<b> "), number, F.lit("</b>"))),
         cell(F.lit("Company")), F.when(k % 31 == 0, "").otherwise(cell(F.when(k % 2 == 0, "2004-7-3").otherwise("&nbsp;"))), F.lit("</tr>\n"),
@@ -151,6 +151,6 @@ def lobbyist_list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_no and html of lobbyist search results: all customers, ten a page."""
     k = F.col("c_custkey")
     cells = [F.col("c_name"), F.lit("Consultant"), F.lit(" "), F.col("c_mktsegment"), F.lit("2020-01-02"), F.lit("Active")]
-    anchor = F.concat(F.lit('<a id="rptSearchResults__ctl'), (k % PAGE + 1).cast("string"), F.lit('_lbtRegNum">CL-'), k.cast("string"), F.lit("</a>"))
+    anchor = F.concat(F.lit('<a id="rptSearchResults__ctl'), (k % PAGE + 1).cast("string"), F.lit('_lbtRegNum">CL-'), k.cast("string"), F.lit("</a> &sect;"))
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in (anchor, *cells)], F.lit("</tr>"))
     return _pages_of(table(spark, sf_dir, "customer"), "c_custkey", line, F.lit("<html><table>"), "</table></html>")

@@ -1,43 +1,60 @@
-"""The raw zone: landed pages, as gzipped files or as a partitioned table."""
+"""The raw zone: landed pages, as gzipped files or as a table in shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_key, shard_key
-from .storage import exists
+from .storage import Buckets, exists, scratch
 
-#: Partition columns first in a path, so a lookup by key reads one shard.
 LANDED = "key string, html string, url string, registry string, kind string, shard string"
 DETAIL, LISTED = ".html.gz", ".list.html.gz"
 
 
 def _scan(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
-    return files.select(F.substring(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit(1), F.length(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))) - len(suffix)).alias("key"), F.col("value").alias("html"))
+    return files.select(file_key(F.col("_metadata.file_path"), suffix).alias("key"), F.col("value").alias("html"))
 
 
-def scan_detail_pages(spark: SparkSession, folder: str) -> DataFrame:
+def file_key(path: Column, suffix: str) -> Column:
+    """The key in a file's name, which Spark gives percent-encoded."""
+    name = F.url_decode(F.replace(F.regexp_extract(path, r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    return F.substring(name, F.lit(1), F.length(name) - len(suffix))
+
+
+def scan_detail_pages(spark: SparkSession, folder: str, suffix: str = DETAIL) -> DataFrame:
     """key and html of every detail page below a folder; list folders (_list) are hidden from Spark's listing."""
-    return _scan(spark, folder, DETAIL)
+    return _scan(spark, folder, suffix)
 
 
-def scan_list_pages(spark: SparkSession, *folders: str) -> DataFrame:
+def scan_list_pages(spark: SparkSession, *folders: str, suffix: str = LISTED) -> DataFrame:
     """The same for list folders, which are named themselves."""
-    found = [_scan(spark, f, LISTED) for f in folders]
+    found = [_scan(spark, f, suffix) for f in folders]
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)
     return out
 
 
-def landed(spark: SparkSession, table: str) -> DataFrame:
-    """The landed table, empty if there is none; the schema is given, or shard 00 would become a number."""
-    if not exists(spark, table):
-        return spark.createDataFrame([], LANDED)
-    return spark.read.schema(LANDED).parquet(table)
+#: The landed table in a store of buckets, one for each shard of a registry's kind.
+TABLE = "pages"
+
+
+def _bucket() -> Column:
+    return F.substring(F.sha2(F.concat_ws("/", "registry", "kind", "shard"), 256), 1, 16)
+
+
+def landed(spark: SparkSession, root: str) -> DataFrame:
+    """The landed pages, empty if there are none."""
+    return Buckets(spark, root).read(TABLE, LANDED)
+
+
+def landed_page(spark: SparkSession, root: str, registry: str, kind: str, key: str) -> DataFrame:
+    """One page, from its shard's files alone."""
+    wanted = to_land(spark.createDataFrame([(key, None, None, registry, kind)], "key string, html string, url string, registry string, kind string"))
+    row = wanted.select("key", _bucket().alias("bucket")).first()
+    return Buckets(spark, root).read(TABLE, LANDED, [row.bucket]).where((F.col("registry") == registry) & (F.col("kind") == kind) & (F.col("key") == row.key))
 
 
 def to_land(pages: DataFrame) -> DataFrame:
@@ -45,12 +62,23 @@ def to_land(pages: DataFrame) -> DataFrame:
     return pages.select(safe_key("key").alias("key"), "html", "url", "registry", "kind", shard_key(safe_key("key")).alias("shard"))
 
 
-def land_pages(old: DataFrame, pages: DataFrame, table: str) -> None:
-    """A new table of the old pages and the given ones, which replace those of the same registry, kind and key."""
-    new = to_land(pages)
-    kept = old.join(new.select("registry", "kind", "key").distinct(), ["registry", "kind", "key"], "left_anti")
-    both = kept.select(*new.columns).unionByName(new)
-    both.write.partitionBy("registry", "kind", "shard").parquet(table)
+def land_pages(pages: DataFrame, root: str) -> int:
+    """Put pages (registry, kind, key, html, url) into a landed table; they replace those of the same registry, kind and key.
+
+    Only the shards of the given pages are written again. Of several pages of one key the one with the greatest text stays.
+    """
+    spark, identity = pages.sparkSession, ["registry", "kind", "key"]
+    where = scratch(spark, "to-land")
+    to_land(pages).write.parquet(where)
+    sent = spark.read.schema(LANDED).parquet(where)
+    best = sent.groupBy(*identity, "shard").agg(F.max(F.struct("html", "url")).alias("p"))
+    new = best.select("key", F.col("p.html").alias("html"), F.col("p.url").alias("url"), "registry", "kind", "shard")
+    store = Buckets(spark, root)
+    state = store.state()
+    touched = [r[0] for r in sent.select(_bucket()).distinct().collect()]  # shards: two characters of a key each
+    kept = store.read(TABLE, LANDED, touched, state).join(sent.select(*identity).distinct(), identity, "left_anti")
+    store.replace(state, TABLE, kept.select(*new.columns).unionByName(new), _bucket(), touched)
+    return store.publish(state)
 
 
 def has_page(keys: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def path_of(spark: SparkSession, where: str):
@@ -21,38 +23,88 @@ def exists(spark: SparkSession, where: str) -> bool:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared one, removed when the session's JVM ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     where = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     fs, path = path_of(spark, where)
     fs.deleteOnExit(path)
     return where
 
 
-class Versions:
-    """Tables in numbered version folders. A version becomes current when its marker file is written, after all its tables."""
+class Conflict(RuntimeError):
+    """Another load published the version that this one was to become."""
+
+
+class Buckets:
+    """Tables in buckets of rows. A version lists the folder of every bucket, so a load writes the buckets that it changes only.
+
+    A version is a marker file that is created under the next number, or not at all if another load has that number;
+    folders of rows have names of their own, so loads at one time never write into one another's.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _markers(self) -> list[int]:
+        fs, path = path_of(self.spark, f"{self.root}/_versions")
+        return sorted((int(s.getPath().getName()) for s in fs.listStatus(path)), reverse=True) if fs.exists(path) else []
+
     def current(self) -> int:
         """The newest published version, 0 for none."""
-        if not exists(self.spark, f"{self.root}/_versions"):
-            return 0
-        fs, path = path_of(self.spark, f"{self.root}/_versions")
-        return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=0)
+        return self.state()["version"]
+
+    def state(self) -> dict:
+        """What the newest version lists; a marker that is still being written does not count."""
+        for version in self._markers():
+            fs, path = path_of(self.spark, f"{self.root}/_versions/{version}")
+            stream = fs.open(path)
+            try:
+                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if text.endswith("\n"):
+                return json.loads(text) | {"version": version}
+        return {"version": 0, "tables": {}, "appended": {}, "notes": {}}
 
-    def table(self, name: str, schema) -> DataFrame:
-        """A table of the current version, empty if there is none."""
-        where = f"{self.root}/v={self.current()}/{name}"
-        if not exists(self.spark, where):
+    def read(self, name: str, schema, buckets: list[str] | None = None, state: dict | None = None) -> DataFrame:
+        """A table of the current version, or some buckets of it; empty if there is none."""
+        state = state or self.state()
+        held = state["tables"].get(name, {})
+        folders = [f for b, f in held.items() if buckets is None or b in buckets] + (state["appended"].get(name, []) if buckets is None else [])
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(where)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def _written(self, df: DataFrame, name: str, bucket: Column | None) -> str:
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        if bucket is None:
+            df.write.parquet(f"{self.root}/{folder}")
+        else:
+            df.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        return folder
+
+    def replace(self, state: dict, name: str, df: DataFrame, bucket: Column, touched: list[str]) -> None:
+        """Put df in the place of the touched buckets; its rows belong to no others."""
+        folder = self._written(df, name, bucket)
+        fs, path = path_of(self.spark, f"{self.root}/{folder}")
+        made = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("_bucket=")]
+        held = {b: f for b, f in state["tables"].get(name, {}).items() if b not in touched}
+        state["tables"][name] = held | {m.removeprefix("_bucket="): f"{folder}/{m}" for m in made}
+
+    def append(self, state: dict, name: str, df: DataFrame) -> None:
+        state["appended"].setdefault(name, []).append(self._written(df, name, None))
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write all tables of the next version, then its marker; readers see all of them or none."""
-        version = self.current() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
+    def publish(self, state: dict) -> int:
+        """Make the state the next version; raises Conflict if another load was first."""
+        version = state["version"] + 1
         fs, marker = path_of(self.spark, f"{self.root}/_versions/{version}")
-        fs.create(marker, False).close()
+        if fs.exists(marker):
+            raise Conflict(f"version {version} is there already")
+        try:
+            stream = fs.create(marker, False)
+        except Exception as e:
+            raise Conflict(f"version {version} is there already") from e
+        stream.write((json.dumps({k: v for k, v in state.items() if k != "version"}) + "\n").encode())
+        stream.close()
         return version

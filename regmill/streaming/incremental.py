@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import Store
+from ..sources.pages import DETAIL, file_key
 
 
 def _run(stream: DataFrame, store: Store, kind: str, checkpoint: str) -> None:
+    """A batch that was published before a crash is not loaded again when the stream replays it."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: None if batch.isEmpty() else store.ingest(batch, kind))
+        stream.writeStream.foreachBatch(lambda batch, n: None if batch.isEmpty() else store.ingest(batch, kind, batch=(checkpoint, n)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -18,11 +20,10 @@ def _run(stream: DataFrame, store: Store, kind: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def incremental_ingest(spark: SparkSession, folder: str, store: Store, kind: str, checkpoint: str, files_per_batch: int = 100_000) -> None:
+def incremental_ingest(spark: SparkSession, folder: str, store: Store, kind: str, checkpoint: str, files_per_batch: int = 100_000, suffix: str = DETAIL) -> None:
     """Load the gzipped pages that are new in a folder. A page fetched again must come under a new file name, as read files are not read again."""
-    stream = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html.gz").option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.list)?\.html\.gz$", 1)
-    _run(stream.select(name.alias("key"), F.col("value").alias("html")), store, kind, checkpoint)
+    stream = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+    _run(stream.select(file_key(F.col("_metadata.file_path"), suffix).alias("key"), F.col("value").alias("html")), store, kind, checkpoint)
 
 
 def incremental_ingest_table(spark: SparkSession, folder: str, store: Store, kind: str, checkpoint: str, files_per_batch: int = 1_000) -> None:

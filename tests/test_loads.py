@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regmill.operators import search, upsert
-from regmill.sources import files, pages
+from regmill.sources import files, pages, storage
 from regmill.sources.schemas import TABLES, check_constraints, conform
 from regmill.streaming.incremental import incremental_ingest
 
@@ -96,13 +96,17 @@ def test_scans_of_gzipped_files(spark, tmp_path):
 
 
 def test_landing_replaces_by_key(spark, tmp_path):
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    a = str(tmp_path / "a")
     make = lambda rows: spark.createDataFrame(rows, "registry string, kind string, key string, html string, url string")
-    pages.land_pages(pages.landed(spark, a), make([("c", "detail", "00", "one", ""), ("c", "list", "00", "l", "")]), a)
-    pages.land_pages(pages.landed(spark, a), make([("c", "detail", "00", "two", "")]), b)
-    got = sorted((r.kind, r.key, r.html, r.shard) for r in pages.landed(spark, b).collect())
-    assert got == [("detail", "00", "two", "00"), ("list", "00", "l", "00")]
-    kept, gone = pages.drop_pages(pages.landed(spark, b), spark.createDataFrame([("list", "00"), ("list", "x")], "kind string, key string"))
+    pages.land_pages(make([("c", "detail", "00", "one", ""), ("c", "list", "00", "l", ""), ("c", "detail", "9/", "other", "")]), a)
+    before = pages.Buckets(spark, a).state()["tables"]["pages"]
+    pages.land_pages(make([("c", "detail", "00", "two", ""), ("c", "detail", "00", "three", "")]), a)
+    after = pages.Buckets(spark, a).state()["tables"]["pages"]
+    assert len(before) == 3 and sum(before[b] != after[b] for b in before) == 1
+    got = sorted((r.kind, r.key, r.html, r.shard) for r in pages.landed(spark, a).collect())
+    assert got == [("detail", "00", "two", "00"), ("detail", "9_", "other", "9_"), ("list", "00", "l", "00")]
+    assert [r.html for r in pages.landed_page(spark, a, "c", "detail", "9/").collect()] == ["other"]
+    kept, gone = pages.drop_pages(pages.landed(spark, a).where("key = '00'"), spark.createDataFrame([("list", "00"), ("list", "x")], "kind string, key string"))
     assert (kept.count(), gone.count()) == (1, 1)
 
 
@@ -131,6 +135,46 @@ def test_stream_takes_new_files_once(spark, store, tmp_path):
     assert store.versions.current() == 2
 
 
+def test_a_load_writes_the_buckets_of_its_keys_and_appends_to_the_log(spark, store):
+    store.ingest(frame(spark, [(str(i), page(str(i), directors=["A B"])) for i in range(40)]), "company")
+    before = store.versions.state()
+    store.ingest(frame(spark, [("7", page("7", "New"))]), "company")
+    after = store.versions.state()
+    changed = lambda name: {b for b in before["tables"][name] if before["tables"][name][b] != after["tables"][name].get(b)}
+    assert len(changed("companies")) == len(changed("company_directors")) == 1
+    assert after["appended"]["ingest_log"][:1] == before["appended"]["ingest_log"] and len(after["appended"]["ingest_log"]) == 2
+    assert [r.id for r in store.table("ingest_log").orderBy("id").collect()] == list(range(1, 42))
+    assert store.table("companies").count() == 40 and store.table("company_directors").count() == 39
+    assert store.rows_of("companies", "7").first().name == "New" and store.rows_of("company_directors", "7").count() == 0
+    assert [r.full_name for r in store.rows_of("company_directors", "8").collect()] == ["A B"]
+
+
+def test_two_loads_at_one_time(spark, store):
+    """The second to publish is told so, and what the first wrote stays."""
+    store.ingest(frame(spark, [("1", page("1"))]), "company")
+    late = store.versions.state()
+    store.ingest(frame(spark, [("2", page("2"))]), "company")
+    store.versions.replace(late, "companies", store.table("companies").limit(0), F.lit("0"), ["0"])
+    with pytest.raises(storage.Conflict):
+        store.versions.publish(late)
+    assert store.table("companies").count() == 2
+
+
+def test_a_replayed_batch_changes_nothing(spark, store):
+    batch = frame(spark, [("1", page("1"))])
+    assert store.ingest(batch, "company", batch=("s", 0)) == 1
+    assert store.ingest(batch, "company", batch=("s", 0)) == 1
+    assert store.ingest(batch, "company", batch=("s", 1)) == 2
+    assert store.table("ingest_log").count() == 2
+
+
+def test_everything_at_once(spark, store):
+    lobby = frame(spark, [("x", '<p id="lblRegistrationNumber">CL-1</p>'), ("y", "<p>")])
+    store.ingest_all(frame(spark, [("1", page("1"))]), lobby)
+    assert store.table("companies").count() == store.table("lobbyist_registrations").count() == 1
+    assert store.table("ingest_log").where("kind = 'lobbyist' AND NOT parsed_ok").count() == 1
+
+
 def test_search_order_and_totals(spark):
     rows = [(str(i), f"N{i % 3}", "Company", None, "Active" if i % 2 else None) for i in range(6)]
     df = spark.createDataFrame(rows, "number string, name string, corporation_type string, category string, status string")

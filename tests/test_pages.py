@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regmill.functions import labels as L
 from regmill.operators import company, lobbyist, planning
+from regmill.plans import queries as registry
 
 
 def one(spark, make, html):
@@ -32,6 +33,11 @@ def test_lobbyist_label_map(spark):
     assert one(spark, L.lobbyist_label_map, html) == {"lblA": "one\ntwo 2\nthree & 4"}
 
 
+def test_lobbyist_text_keeps_blank_lines_and_hard_blanks(spark):
+    html = '<div id="lblA">\u00a0 a\n\n b&nbsp;c \r\n<br/>\n<br/><i></i> caf&eacute;&#233;&#x2013;\t \t1 &copy 2 &amp;lt;\u00a0</div>'
+    assert one(spark, L.lobbyist_label_map, html) == {"lblA": "a\n\nb\u00a0c\n\n\n\ncaféé– 1 © 2 &lt;"}
+
+
 LABELS = '<span id="lblCompanyName">{name}</span><span id="lblCompanyNumber">{number}</span><span id="lblCorporationType">{kind}</span>'
 
 
@@ -102,6 +108,24 @@ def test_search_hits_and_classification(spark):
     assert [kind("x/CompanyDetails.aspx?a", HITS), kind("x", HITS), kind("x", "<p>"), kind("x", '<table id="tableSearchResults"></table>')] == ["details", "hits", "empty", "empty"]
 
 
+def test_hit_names_are_the_anchors_text(spark):
+    row = '<table id="tableSearchResults"><tr><td>x <a href="#" id="rptCompanyNameSearchResults__ctl4_lbtCompanyNumber">N&eacute; <b>&amp;</b> Co</a> note</td><td></td><td>1</td><td>Company</td><td></td></tr></table>'
+    assert [(h.row_index, h.name, h.status) for h in one(spark, company.search_hits, row)] == [(4, "Né & Co", None)]
+    cells = "<td>c</td>" * 6
+    row = f'<tr><td><a id="rptSearchResults__ctl2_lbtRegNum">CL-1</a> (old)</td>{cells}</tr>'
+    assert [(h.row_index, h.registration_number, h.name) for h in one(spark, lobbyist.search_hits, row)] == [(2, "CL-1", "c")]
+
+
+def extractions(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("regexp_extract_all")
+
+
+def test_labels_are_extracted_once_a_page(spark, sf):
+    for name, most in (("search_lobbyists", 1), ("directors", 1), ("search_companies", 1), ("lobbyist_parse", 1), ("company_parse", 1), ("company_with_children", 0)):
+        assert extractions(registry.QUERIES[name](spark, sf)) <= most, name
+
+
 def test_page_key(spark):
     assert one(spark, company.page_key, '<SPAN id="lblCompanyNumber" c=1> 2D\n</SPAN><span id="lblCompanyNumber">3</span>') == "2D"
     assert one(spark, company.page_key, '<span id="lblCompanyNumber"> </span>') is None

@@ -1,4 +1,5 @@
 import datetime
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,7 +63,8 @@ def test_ilike_wildcards_and_backslash(spark):
 
 
 def test_entities(spark):
-    assert values(spark, text.decode_entities, ["a &amp; b", "&amp;lt;", "x&nbsp;y", "R & D", None]) == ["a & b", "&lt;", "x\xa0y", "R & D", None]
+    texts = ["a &amp; b", "&amp;lt;", "x&nbsp;y", "R & D", None, "&eacute;&#233;&#xE9;&#x2014; &copy 2020 &#150; &#0; &#x110000; &#xD800; &notit; &bogus; &#; &#x; &", "&NotEqualTilde;x&#38;amp;", "&AMP;&ampx;", "&#1;&#xfffe;z"]
+    assert values(spark, text.decode_entities, texts) == [x if x is None else html.unescape(x) for x in texts]
 
 
 def test_limit_guard():
