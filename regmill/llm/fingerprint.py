@@ -2,18 +2,27 @@
 
 A sketch is the sorted array of the K smallest distinct 64-bit hashes of a text's shingles (five words; a shorter
 text is one shingle; a text without words has an empty sketch). Sketches of parts merge into the sketch of
-the whole, and estimate resemblance, containment and the number of distinct shingles. Null texts count as empty.
+the whole, and estimate resemblance, containment and the number of distinct shingles.
+
+Cases. Null texts count as empty. Equal texts have equal sketches. In the order of documents null ids come last, and
+rows that share an id, null or not, stand in an order of their places in the files, whatever their number; the next
+of a lone document is itself. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keyed, numbered
+
 K = 128
 SHINGLE = 5
-MAX_BLOCKS = 1 << 14
+#: Rows of a block, and how many blocks the driver lists at most; beyond 500 million rows blocks grow.
 ROWS_PER_BLOCK = 4096
+MAX_BLOCKS = 1 << 17
 
 
 def words(text: Column) -> Column:
@@ -59,64 +68,57 @@ def as_string(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
-def _block(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below the id, by bisection; null ids come last in descending order."""
-    if not bounds:
-        return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    known = F.array(*[F.lit(int(b)) for b in bounds])
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    ends = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+def _bounds(rows: DataFrame, place: list[str]) -> list[dict]:
+    """The first row of every block of the order: blocks of equal size, MAX_BLOCKS of them at most.
 
-    def halve(a: Column, _: Column) -> Column:
-        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        below = (a["lo"] < a["hi"]) & (F.get(known, mid) < doc_id)
-        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(below | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+    Rows are numbered by id and place alone, so no text moves, and rows that share an id are cut like any others.
+    """
+    each = max(ROWS_PER_BLOCK, -(-rows.count() // MAX_BLOCKS))
+    keys = rows.select(_order_key(place).alias("key"))
+    placed = numbered(keys, [F.asc("key")], "at", "order")
+    return [r.key.asDict() for r in placed.where(F.col("at") % each == 0).orderBy("at").select("key").collect()]
 
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.aggregate(steps, ends, halve)["lo"])
 
+def _order_key(place: list[str]) -> Column:
+    """Descending ids, null last, and rows of one id by a hash of their place, as one ascending value."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit(0)).alias("id"), F.xxhash64(*place).alias("tie"))
 
-def with_next(docs: DataFrame, make) -> DataFrame:
-    """doc_id, text and, in descending order of doc_id (null last; equal ids by text), what `make` gives for the next document.
 
-    The order is cut into blocks by approximate quantiles of the ids. A block is one group of a window; the first
-    row of each block, found by two aggregations, follows the last row of the block before. `make(rows, follow)` gets
-    the rows with `next_text`, and `follow(name)`, which adds the next row's value of a column that `head` has too.
-    """
-    n = docs.count()
-    blocks = min(MAX_BLOCKS, max(1, -(-n // ROWS_PER_BLOCK)))
-    cuts = [i / blocks for i in range(1, blocks)]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, 10 * blocks)).first()[0] if cuts else []
-    rows = docs.withColumn("_block", _block(F.col("doc_id"), sorted(set(found or []))))
-    tops = rows.groupBy("_block").agg(F.max("doc_id").alias("_top"))
-    at_top = rows.join(tops.withColumnRenamed("_block", "_b"), (F.col("_block") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_top")))
-    heads = at_top.groupBy("_block").agg(F.max("text").alias("_head"))
-    return make(rows, heads)
+def _block(key: Column, known: Column, n: int) -> Column:
+    """The block of a row: how many of the n sorted bounds after the first are not above its key, by bisection."""
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        open_ = a["lo"] < a["hi"]
+        right = open_ & (F.get(known, mid) <= key)
+        return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, n.bit_length()))), ends, halve)["lo"] - 1
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """For each row (doc_id, text): the text's sketch, its edited text's, the next document's, and the edited text's hash and length."""
-
-    def make(rows: DataFrame, heads: DataFrame) -> DataFrame:
-        order = Window.partitionBy("_block").orderBy(F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
-        # the block after a block is the one below it; after the lowest comes the highest
-        line = Window.orderBy(F.desc("_block"))
-        heads = heads.withColumn("_sketch", sketch(F.col("_head")))
-        after = heads.select(
-            "_block",
-            F.coalesce(F.lead("_block").over(line), F.first("_block").over(line)).alias("_next_block"),
-        )
-        follow = after.join(heads.withColumnRenamed("_block", "_next_block"), "_next_block").drop("_next_block")
-        paired = rows.withColumn("_is_last", F.lead(F.lit(1)).over(order).isNull()).withColumn("_next", F.lead("text").over(order))
-        paired = paired.join(follow, "_block")
-        n = F.length("text")
-        moved = F.floor(n / 3).cast("int")
-        following = F.coalesce(F.when(F.col("_is_last"), F.col("_head")).otherwise(F.col("_next")), F.lit(""))
-        edited = F.concat(F.substring(F.col("text"), F.lit(1), n - moved), F.substring(following, F.lit(1), moved))
-        sketched = paired.select(
-            "_block", "doc_id", "text", "_is_last", F.col("_sketch").alias("_head_sketch"),
-            n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), sketch(F.col("text")).alias("sketch"), sketch(edited).alias("edited_sketch"),
-        )
-        return sketched.withColumn("next_sketch", F.when(F.col("_is_last"), F.col("_head_sketch")).otherwise(F.lead("sketch").over(order)))
-
-    clean = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return with_next(clean, make).drop("_block", "_is_last", "_head_sketch", "text")
+    """For each row (doc_id, text): its sketch, its edited text's, the next document's, and the edited text's hash and the length.
+
+    The order is cut into blocks of rows, each one group of a window. The first row of each block is known by its key;
+    its text and sketch go to the last row of the block before it, and the first row of all follows the last.
+    """
+    rows, place = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    bounds = _bounds(rows, place)
+    n = max(1, len(bounds))
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<struct<none:boolean,id:bigint,tie:bigint>>")
+    rows = rows.withColumn("key", _order_key(place)).withColumn("block", _block(F.col("key"), known, len(bounds)))
+    heads = rows.where(F.col("key") == F.get(known, F.col("block")))
+    heads = heads.groupBy(F.pmod(F.col("block") - 1, F.lit(n)).alias("block")).agg(F.min("text").alias("head")).withColumn("head_sketch", sketch(F.col("head")))
+    order = Window.partitionBy("block").orderBy("key", *place)
+    paired = rows.withColumn("is_last", F.lead(F.lit(1)).over(order).isNull()).withColumn("next", F.lead("text").over(order)).join(heads, "block", "left")
+    length = F.length("text")
+    moved = F.floor(length / 3).cast("int")
+    following = F.when(F.col("is_last"), F.col("head")).otherwise(F.col("next"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), length - moved), F.substring(following, F.lit(1), moved))
+    sketched = paired.select(
+        "block", "key", *place, "doc_id", "is_last", "head_sketch",
+        length.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), sketch(F.col("text")).alias("sketch"), sketch(edited).alias("edited_sketch"),
+    )
+    following = F.when(F.col("is_last"), F.col("head_sketch")).otherwise(F.lead("sketch").over(order))
+    return sketched.withColumn("next_sketch", following).select("doc_id", "n_chars", "edited_sha256", "sketch", "edited_sketch", "next_sketch")
