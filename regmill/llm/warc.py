@@ -4,13 +4,15 @@ Writing: one record a page, the HTML in UTF-8 behind an HTTP head (null: an empt
 payloads are equal and have at least `least` bytes, the one with the largest page id is a response and the
 others revisit it; all else, null ids included, is a response, and so is each of several rows that share the
 largest id. Spark's text writer writes the archives, so they may lie in any store. Line breaks and blanks in
-URLs are percent-encoded; a null URL leaves the header out.
+URLs are percent-encoded; a null URL leaves the header out. Record ids hold the page id and the row's place, so
+those of rows without an id, or with one id, differ. An empty table gives one empty archive; other columns are not looked at.
 
 Reading: archives are parsed by their Content-Length headers; digests and lengths of responses are those of the
 payload that was read, revisits carry them in their headers. Every archive yields one run of captures, sorted by
 URL key, time and page id.
 
-Merging: runs are cut at common range boundaries, and each range merges its pieces with a k-way loser tree.
+Merging: runs are cut at common range boundaries, as many as the number of captures asks for, and each range, of
+bounded size, merges its pieces with a k-way loser tree.
 A URL that holds many captures is cut by time too. The result is globally ordered by (part, place).
 """
 
@@ -18,16 +20,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, keyed, new_folder
 
 ARCHIVE_BYTES = 32 << 20
+#: Captures that one task merges, about.
+ROWS_PER_RANGE = 100_000
 END = "\r\n\r\n"
 #: Captures without a time of their own are dated from here, one second for each page id.
 EPOCH = "2020-01-01 00:00:00"
@@ -50,14 +56,16 @@ def _head(name: str, value: Column) -> Column:
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Archives of pages (page_id, url, html) in a new folder."""
-    html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("bytes"), base32_sha1(html.cast("binary")).alias("digest"))
-    known = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
+    """Archives of pages (page_id, url, html) in a new folder, of about archive_bytes each, or one record if that is larger.
+
+    Records are written by size classes of four to one, each with as many records a file as fit; no page is moved.
+    """
+    pages, place = keyed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")))
+    rows = pages.select("page_id", "url", "html", F.concat_ws("-", *place).alias("place"), F.octet_length("html").cast("long").alias("bytes"), base32_sha1(F.col("html").cast("binary")).alias("digest"))
+    known = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))).alias("first"))
     copied = cut(known.where("n > 1 AND first IS NOT NULL").drop("n"), "copied")
-    n, total = rows.agg(F.count("*"), F.sum("bytes")).first()
-    linked = rows.join(copied, ["digest", "bytes"], "left").withColumn("revisit", F.coalesce(F.col("page_id") < F.col("first"), F.lit(False)))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    linked = rows.join(copied, ["digest", "bytes"], "left").withColumn("revisit", F.coalesce(F.col("page_id") < F.col("first.page_id"), F.lit(False)))
+    urn = lambda ident, at: F.concat(F.lit("<urn:page:"), F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), at, F.lit(">"))
     url = F.col("url")
     for char in "\r\n\t ":
         url = F.replace(url, F.lit(char), F.lit(f"%{ord(char):02X}"))
@@ -66,14 +74,19 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = AR
     block = F.concat(http, F.when(F.col("revisit"), "").otherwise(F.col("html")))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"), F.lit("\r\n"),
-        _head("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:>"))), _head("WARC-Date", when), _head("WARC-Target-URI", url),
+        _head("WARC-Record-ID", urn(F.col("page_id"), F.col("place"))), _head("WARC-Date", when), _head("WARC-Target-URI", url),
         _head("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        _head("WARC-Refers-To", F.when(F.col("revisit"), urn(F.col("first")))),
+        _head("WARC-Refers-To", F.when(F.col("revisit"), urn(F.col("first.page_id"), F.col("first.place")))),
         _head("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         F.lit("Content-Type: application/http;msgtype=response\r\n"), _head("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
     )
-    per_file = max(1, archive_bytes // max(1, (total or 0) // max(1, n) + 600))
-    linked.withColumn("block", block).select(F.concat(head, F.col("block")).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    # the page, and what stands around it
+    kind = F.floor(F.log(4.0, F.col("bytes") + F.coalesce(F.octet_length("url"), F.lit(0)) + 700)).cast("int")
+    kinds = sorted(r[0] for r in pages.select(F.floor(F.log(4.0, F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) + 700)).cast("int")).distinct().collect())  # sixteen at most
+    for k in kinds or [5]:
+        per_file = max(1, archive_bytes // 4 ** (k + 1))
+        some = linked.where(kind == k).withColumn("block", block).select(F.concat(head, F.col("block")).alias("value"))
+        some.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -102,7 +115,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]
 
 
 def _page(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+):[-\d]*>", urn or "")
     return int(found[1]) if found else None
 
 
@@ -137,7 +150,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 class LoserTree:
     """Merges sorted sequences: inner nodes hold the losers of their matches, so the next winner costs one path."""
 
-    def __init__(self, runs: list[list], key):
+    def __init__(self, runs: list[Sequence], key):
         self.runs, self.key, self.k = runs, key, max(1, len(runs))
         self.at = [0] * self.k
         self.heads = [self._head(i) for i in range(self.k)]
@@ -170,29 +183,32 @@ class LoserTree:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: its pieces of the runs, merged."""
-    runs: dict[str, list[tuple]] = {}
-    part, schema = 0, None
-    for b in batches:
-        schema = b.schema
-        columns = [b.column(c).to_pylist() for c in (*COLUMNS, "part")]
-        for *row, part in zip(*columns, strict=True):
-            runs.setdefault(row[8], []).append(tuple(row))
-    if schema is None:
+    """One range, about ROWS_PER_RANGE captures: its pieces of the runs lie behind one another, and are merged by their places."""
+    table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
         return
-    rows = list(LoserTree(list(runs.values()), _order))
-    for i in range(0, len(rows), 10_000):
-        chunk = rows[i : i + 10_000]
-        out = {c: pa.array(list(v), schema.field(c).type) for c, v in zip(COLUMNS, zip(*chunk, strict=True), strict=True)}
-        yield pa.record_batch(out | {"part": pa.array([part] * len(chunk), pa.int32()), "place": pa.array(range(i, i + len(chunk)), pa.int64())})
+    runs = table.column("archive").combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), table.num_rows]
+    url, time, page = (table.column(c).combine_chunks() for c in ("url_key", "captured_at", "page_id"))
+
+    def key(i: int) -> tuple:
+        """URL key, time, page id; null ids first."""
+        ident = page[i].as_py()
+        return url[i].as_py(), time[i].as_py(), ident is not None, ident or 0
+
+    merged = iter(LoserTree([range(a, b) for a, b in itertools.pairwise(starts)], key))
+    at = 0
+    while chunk := list(itertools.islice(merged, 10_000)):
+        (out,) = table.take(pa.array(chunk)).combine_chunks().to_batches()
+        yield pa.record_batch({c: out.column(c) for c in (*COLUMNS, "part")} | {"place": pa.array(range(at, at + len(chunk)), pa.int64())})
+        at += len(chunk)
 
 
-def merge(captures: DataFrame) -> DataFrame:
+def merge(captures: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """All runs as one history, ordered by URL key, time and page id: columns of captures, part, place."""
     runs = cut(captures, "runs")
     order = [F.asc("url_key"), F.asc("captured_at"), F.asc_nulls_first("page_id")]
-    width = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = runs.repartitionByRange(width, *order).withColumn("part", F.spark_partition_id())
+    ranges = runs.repartitionByRange(max(1, -(-runs.count() // rows_per_range)), *order).withColumn("part", F.spark_partition_id())
     # within a range each run keeps its own order
     return ranges.sortWithinPartitions("archive", *order).mapInArrow(_merged, CAPTURE + ", part int, place long")
 

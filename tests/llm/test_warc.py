@@ -36,6 +36,28 @@ def test_round_trip(spark):
     check(spark, rows, least=20)
 
 
+def test_a_page_larger_than_an_archive_and_many_ranges(spark, tmp_path, monkeypatch):
+    """Archives stay within their bytes but for one that holds a single larger record; small ranges merge to the same history."""
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}", f"<p>{i} " + "x" * (i % 5 * 700)) for i in range(200)] + [(500, "http://h1.org/0", "y" * 300_000), (501, "http://h1.org/0", "z" * 90_000)]
+    df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, part string, archive int").repartition(2)
+    folder = str(tmp_path / "warc")
+    warc.write(df, folder, archive_bytes=40_000)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "warc").iterdir() if f.name.startswith("part-"))
+    assert sum(n > 40_000 for n in sizes) == 2 and len(sizes) > 10
+    got = warc.merge(warc.read(spark, folder), rows_per_range=20).collect()
+    assert len({r.part for r in got}) > 5 and len(got) == len(rows)
+    history = [(r.url_key, r.captured_at, r.page_id) for r in got]
+    assert history == sorted(history) and [(r.part, r.place) for r in got] == sorted((r.part, r.place) for r in got)
+
+
+def test_record_ids_differ(spark, tmp_path):
+    df = spark.createDataFrame([(None, "http://a.b", "x"), (None, "http://a.b", "x"), (4, "http://a.b", "x"), (4, "http://a.b", "x"), (3, "http://a.b", "x")], "page_id long, url string, html string")
+    warc.write(df, str(tmp_path / "w"))
+    heads = [h for f in (tmp_path / "w").glob("part-*") for _, _, h, _ in warc.records(f.read_bytes())]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == 5 and {h["warc-refers-to"] for h in heads if "warc-refers-to" in h} <= set(ids)
+
+
 def test_empty(spark):
     assert warc.archive_and_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
