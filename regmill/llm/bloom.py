@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 8  # 64-bit words in a block: one cache line
 PROBES = 8
 BITS_PER_ENTRY = 16
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES = 8 << 20
 
 
 def _probe(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +29,7 @@ def _probe(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 class BlockedBloom:
     def __init__(self, entries: int):
-        self.table = np.zeros((max(1, entries * BITS_PER_ENTRY // (WORDS * 64)), WORDS), np.uint64)
+        self.table = np.zeros((size_of(entries), WORDS), np.uint64)
 
     def add(self, hashes: np.ndarray) -> None:
         block, masks = _probe(hashes, len(self.table))
@@ -40,23 +40,51 @@ class BlockedBloom:
         return ((self.table[block] & masks) == masks).all(axis=1)
 
 
-def built(hashes: DataFrame, entries: int) -> np.ndarray:
-    """The filter's table for a column of hashes; each task makes a part from its rows, and the parts, of bounded size, are united pairwise."""
+def size_of(entries: int) -> int:
+    """Blocks of the filter of so many entries."""
+    return max(1, entries * BITS_PER_ENTRY // (WORDS * 64))
+
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = BlockedBloom(entries)
+def blocks(hashes: DataFrame, entries: int) -> DataFrame:
+    """The filter for a column of hashes, as a table of its blocks that have bits: block, words."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bloom.add(b.column(0).to_numpy().astype(np.int64).view(np.uint64))
-        used = np.flatnonzero(bloom.table.any(axis=1))
-        yield pa.record_batch({"block": pa.array(used), "words": pa.array(bloom.table[used].view(np.int64).tolist(), pa.list_(pa.int64()))})
+            block, masks = _probe(b.column(0).to_numpy().astype(np.int64).view(np.uint64), size_of(entries))
+            yield pa.record_batch({"block": pa.array(block)} | {f"w{i}": pa.array(masks[:, i].view(np.int64)) for i in range(WORDS)})
+
+    names = [f"w{i}" for i in range(WORDS)]
+    rows = hashes.mapInArrow(bits, "block long, " + ", ".join(f"{w} long" for w in names))
+    return rows.groupBy("block").agg(*[F.bit_or(w).alias(w) for w in names]).select("block", F.array(*names).alias("words"))
 
-    words = [F.bit_or(F.element_at("words", i + 1)).alias(f"w{i}") for i in range(WORDS)]
-    rows = hashes.mapInArrow(part, "block long, words array<long>").groupBy("block").agg(*words).toPandas()
+
+def built(hashes: DataFrame, entries: int) -> np.ndarray:
+    """The filter's table on the driver; it has MAX_FILTER_BYTES at most."""
+    rows = blocks(hashes, entries).toPandas()
     bloom = BlockedBloom(entries)
-    bloom.table[rows["block"].to_numpy(np.int64)] = rows[[f"w{i}" for i in range(WORDS)]].to_numpy(np.int64).view(np.uint64)
+    if len(rows):
+        bloom.table[rows["block"].to_numpy(np.int64)] = np.stack(rows["words"].to_numpy()).astype(np.int64).view(np.uint64)
     return bloom.table
 
 
+def block_of(h: Column, entries: int) -> Column:
+    """The block of a hash, as _probe has it."""
+    return F.shiftrightunsigned(h, 32) % F.lit(size_of(entries))
+
+
+def in_block(h: Column, words: Column) -> Column:
+    """Whether a block's words hold the bits of a hash."""
+
+    @F.arrow_udf("boolean")
+    def held(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for hashes, rows in batches:
+            masks = _probe(hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 1)[1]
+            there = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, WORDS)
+            yield pa.array(((there & masks) == masks).all(axis=1))
+
+    return held(h, words)
+
+
 def fits(entries: int) -> bool:
     """Whether the filter of so many entries may be sent to every executor."""
     return entries * BITS_PER_ENTRY // 8 <= MAX_FILTER_BYTES

@@ -17,9 +17,11 @@ def plain(text):
                 mark[i : i + n] = [1] * n
         return sum(mark)
 
-    longest = 0
-    while len(w) > longest and max(Counter(tuple(w[i : i + longest + 1]) for i in range(len(w) - longest)).values()) > 1:
-        longest += 1
+    repeats = lambda n: n == 0 or (n <= len(w) and max(Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)).values(), default=0) > 1)
+    longest, over = 0, len(w) + 1
+    while over - longest > 1:
+        middle = (longest + over) // 2
+        longest, over = (middle, over) if repeats(middle) else (longest, middle)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), covered(3))
     failed = len(w) < 50 or 100 * base[4] > 50 * len(w)
@@ -29,11 +31,25 @@ def plain(text):
 
 
 def test_query(spark, sf):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text) < 8000}
+    """Every text, the longest too."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: tuple(r)[1:] for r in queries.op9_quality(spark, sf).collect()}
+    assert got.keys() == docs.keys() and max(map(len, docs.values())) > 8000
     assert all(got[k] == plain(v) for k, v in docs.items())
 
 
+def test_long_texts_with_long_repeats():
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(800)}"
+    passage = [word() for _ in range(260)]
+    texts = [" ".join([word() for _ in range(9000)]), " ".join([word() for _ in range(3000)] + passage + [word() for _ in range(3000)] + passage), " ".join(passage[:150] * 40)]
+    found = quality.measure(texts)
+    for i, t in enumerate(texts):
+        p = plain(t)
+        assert tuple(int(x[i]) for x in found.values()) == (*p[:5], *p[7:])
+    assert found["longest_repeat"][1] >= 260
+
+
 def test_random_texts_and_batches(monkeypatch):
     monkeypatch.setattr(quality, "BATCH_WORDS", 300)
     rng = random.Random(2)
