@@ -420,8 +420,8 @@ def ingest_lobbyists(spark, sf_dir):
 @query(
     COMPANIES
     + """ SELECT 'number is null' AS rule, count(*) FILTER (k % 6 = 1) AS violations FROM co UNION ALL SELECT 'name is null', count(*) FILTER (k % 5 = 1) FROM co
-UNION ALL SELECT 'corporation_type is null', count(*) FILTER (corporation_type = 'Condominium') FROM co UNION ALL SELECT 'ma_same_as_registered is null', 0 FROM co
-UNION ALL SELECT 'ingested_at is null', 0 FROM co
+UNION ALL SELECT 'corporation_type is null', count(*) FILTER (corporation_type = 'Condominium') FROM co UNION ALL SELECT 'ma_same_as_registered is null', count(*) FILTER (ma_same_as_registered IS NULL) FROM co
+UNION ALL SELECT 'ingested_at is null', count(*) FILTER (number IS NULL) FROM co
 UNION ALL SELECT 'number repeated', count(*) FILTER (k % 4 = 2 AND k % 6 <> 1) + (count(*) FILTER (k % 6 = 1) > 1)::INT FROM co"""
 )
 def constraints(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,21 @@ def exists(spark: SparkSession, where: str) -> bool:
     return fs.exists(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is named, local mode makes one of its own; a cluster raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="regmill-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one, removed when the session's JVM ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    where = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, removed when the session's JVM ends."""
+    where = f"{shared_dir(spark)}/regmill-{uuid.uuid4().hex[:12]}-{name}"
     fs, path = path_of(spark, where)
     fs.deleteOnExit(path)
     return where
