@@ -5,55 +5,33 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import path_of, scratch
+
 #: A word is a maximal run without blanks; the six blanks are the ASCII ones.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, local mode makes one of its own; a cluster raises."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="regmill-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/regmill-{uuid.uuid4().hex[:12]}-{name}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and go on from the files, so that lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/regmill-" in folder:
-            where = jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            fs, path = path_of(df.sparkSession, folder)
+            fs.delete(path, True)
 
 
 def unit_interval(*cols: Column) -> Column:

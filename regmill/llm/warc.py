@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, new_folder
+from ..sources.storage import scratch
+from .common import cut, keyed
 
 ARCHIVE_BYTES = 32 << 20
 #: Captures that one task merges, about.
@@ -216,6 +217,6 @@ def merge(captures: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
 def archive_and_index(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder, read them back, and merge their index."""
     spark = pages.sparkSession
-    folder = new_folder(spark, "warc")
+    folder = scratch(spark, "warc")
     write(pages, folder, least)
     return merge(read(spark, folder))

@@ -106,7 +106,7 @@ def test_fresh_names_and_keys(spark, docs):
 
 
 def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
-    from regmill.llm import common
+    from regmill.sources import storage
 
     class Conf:
         def get(self, *_):
@@ -122,5 +122,5 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
         conf, sparkContext = Conf(), Context()
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        common.shared_dir(Session())
-    assert os.path.exists(common.shared_dir(spark))
+        storage.shared_dir(Session())
+    assert os.path.exists(storage.shared_dir(spark))
