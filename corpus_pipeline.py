@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regmill.llm import bpe, linededup, mixing, neardup, quality
-from regmill.llm.common import WORD, fresh, keyed, new_folder, quoted, ship
+from regmill.llm.common import WORD, fresh, keyed, quoted, ship
 from regmill.llm.queries import RANKS, quality_weight, sized, table, with_quality
+from regmill.sources.storage import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = new_folder(spark, name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
