@@ -109,41 +109,56 @@ def contains_ignoring_case(c: Column | str, query: str) -> Column:
     return F.ilike(col(c), F.lit("%" + query.replace("\\", "\\\\") + "%"))
 
 
-#: Named entities with their semicolon, from the standard library's table; and those that need none.
-_NAMED = {k: v for k, v in entities.html5.items() if k.endswith(";")}
-_BARE = {k: v for k, v in entities.html5.items() if not k.endswith(";")}
+def _by_initial(names: dict[str, str]) -> dict[str, dict[str, str]]:
+    out: dict[str, dict[str, str]] = {}
+    for name, char in names.items():
+        out.setdefault(name[0], {})[name] = char
+    return out
+
+
+#: Named entities with their semicolon, from the standard library's table, and those that need none, by first letter.
+_NAMED = _by_initial({k: v for k, v in entities.html5.items() if k.endswith(";")})
+_BARE = _by_initial({k: v for k, v in entities.html5.items() if not k.endswith(";")})
 _BARE_NAMES = "|".join(sorted((k for k in entities.html5 if not k.endswith(";")), key=len, reverse=True))
 #: Numbers that stand for the characters of an old code page.
-_CODE_PAGE = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_CODE_PAGE = _by_initial({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
 
 
-def _found(table: dict[str, str], key: Column) -> Column:
-    """The key's value in a table that the plan holds as one constant, or null."""
-    return F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,string>"), key)
+def _found(table: dict[str, dict[str, str]], name: Column) -> Column:
+    """The name's value in a table that the plan holds as one constant, or null."""
+    some = F.try_element_at(F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>"), F.substring(name, 1, 1))
+    return F.try_element_at(some, name)
 
 
 def _character(number: Column) -> Column:
     """The character of a code point: none for control and non-characters, the replacement character where there is no such point."""
-    point = number.try_cast("long")
-    known = _found(_CODE_PAGE, point.cast("string"))
-    wrong = point.isNull() | (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
-    silent = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE)
-    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.when(wrong, "\ufffd").when(known.isNotNull(), known).when(silent, "").otherwise(char)
+
+    def of(point: Column) -> Column:
+        wrong = point.isNull() | (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+        silent = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (F.pmod(point, F.lit(0x10000)) >= 0xFFFE)
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        old = F.when(point.between(0x80, 0x9F), _found(_CODE_PAGE, point.cast("string")))
+        return F.when(wrong, "\ufffd").otherwise(F.coalesce(old, F.when(silent, "").otherwise(char)))
+
+    return bind(number.try_cast("long"), of)
 
 
 def _after_ampersand(piece: Column) -> Column:
     """A piece of text behind an ampersand, with the entity that it begins with decoded."""
-    decimal, hexadecimal = F.regexp_extract(piece, "^#([0-9]+);?", 1), F.regexp_extract(piece, "^#[xX]([0-9A-Fa-f]+);?", 1)
-    rest = F.regexp_replace(piece, "^#[xX]?[0-9A-Fa-f]+;?", "")
-    named, bare = _found(_NAMED, F.regexp_extract(piece, "^[A-Za-z0-9]+;", 0)), F.regexp_extract(piece, f"^(?:{_BARE_NAMES})", 0)
-    return (
-        F.when(decimal != "", F.concat(_character(decimal), F.regexp_replace(piece, "^#[0-9]+;?", "")))
-        .when(hexadecimal != "", F.concat(_character(F.when(F.length(F.ltrim(hexadecimal, F.lit("0"))) <= 8, F.conv(hexadecimal, 16, 10))), rest))
-        .when(named.isNotNull(), F.concat(named, F.regexp_replace(piece, "^[A-Za-z0-9]+;", "")))
-        .when(bare != "", F.concat(_found(_BARE, bare), F.substring(piece, F.length(bare) + 1, F.length(piece))))
-        .otherwise(F.concat(F.lit("&"), piece))
-    )
+    digits = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0)
+
+    def numeric(d: Column) -> Column:
+        number = F.rtrim(F.substring(d, F.lit(2), F.length(d)), F.lit(";"))
+        hexadecimal = F.ltrim(F.lower(number), F.lit("x0"))
+        point = F.when(F.lower(number).startswith("x"), F.when(hexadecimal == "", "0").when(F.length(hexadecimal) <= 8, F.conv(hexadecimal, 16, 10))).otherwise(number)
+        return F.when(d != "", F.concat(_character(point), F.substring(piece, F.length(d) + 1, F.length(piece))))
+
+    def after(name: Column, table: dict[str, dict[str, str]]) -> Column:
+        return bind(name, lambda n: F.concat(_found(table, n), F.substring(piece, F.length(n) + 1, F.length(piece))))
+
+    named = after(F.regexp_extract(piece, "^[A-Za-z0-9]+;", 0), _NAMED)
+    bare = after(F.regexp_extract(piece, f"^(?:{_BARE_NAMES})", 0), _BARE)
+    return F.coalesce(F.when(piece.startswith("#"), bind(digits, numeric)), named, bare, F.concat(F.lit("&"), piece))
 
 
 def decode_entities(c: Column | str) -> Column:
