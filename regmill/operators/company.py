@@ -37,6 +37,11 @@ def page_key(html: Column | str) -> Column:
     return blank_to_null(collapse_ws(F.regexp_extract(col(html), r'(?i)<span\s+id="lblCompanyNumber"[^>]*>([^<]*)</span>', 1)))
 
 
+def pages_of(pages: DataFrame, number: str) -> DataFrame:
+    """The pages that say they are a company's: one short match a page, before any label is extracted."""
+    return pages.where(page_key("html") == number)
+
+
 def address_struct(labels: Column | str, prefix: str) -> Column:
     return F.struct(*[L.label_text(labels, f"lbl{prefix}{x}").alias(c) for c, x in ADDRESS_LABELS.items()])
 

@@ -52,7 +52,10 @@ page AS (
     CASE WHEN k % 89 = 0 THEN NULL WHEN c_nationkey < 5 THEN 'Extra-Provincial' ELSE 'Local' END AS category,
     CASE c_mktsegment WHEN 'BUILDING' THEN 'Active' WHEN 'AUTOMOBILE' THEN 'Dissolved - Voluntary' WHEN 'MACHINERY' THEN 'Cancelled' WHEN 'HOUSEHOLD' THEN 'Discontinued'
       ELSE 'Dissolved (Prior To June 2004)' END AS status,
-    CASE WHEN k % 43 = 0 THEN NULL ELSE d END AS incorporation_date, 'With ' || c_mktsegment AS business_type, c_mktsegment AS additional_info,
+    CASE WHEN k % 43 = 0 THEN NULL ELSE d END AS incorporation_date, d + 30 AS registration_date, CASE WHEN k % 3 = 0 THEN d + 365 END AS last_annual_return,
+    r_name || ' / ' || n_name AS incorporation_jurisdiction, '1 - ' || (k % 9 + 1) AS min_max_directors,
+    'c/o ' || c_mktsegment AS ro_contact, CASE WHEN k % 4 <> 0 THEN 'Floor ' || (k % 7) END AS ro_line2, CAST(NULL AS VARCHAR) AS ro_line3, 'Canada' AS ro_country, 'A1A ' || (k % 10) AS ro_postal_zip,
+    CASE WHEN c_acctbal >= 0 THEN 'B2B' END AS ma_postal_zip, 'With ' || c_mktsegment AS business_type, c_mktsegment AS additional_info,
     'Unit ' || k || ' Main Street' AS ro_line1, n_name AS ro_city, r_name AS ro_province_state,
     CASE WHEN c_acctbal >= 0 THEN n_name END AS ma_city, c_acctbal < 0 AS ma_same_as_registered, c_nationkey
   FROM page WHERE err IS NULL
@@ -115,11 +118,12 @@ def lobbyists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PARSED = (
-    "number, name, corporation_type, category, status, incorporation_date, business_type, additional_info, ro_line1, ro_city, ro_province_state, ma_city, ma_same_as_registered"
+    "number, name, corporation_type, category, status, incorporation_date, registration_date, last_annual_return, incorporation_jurisdiction, min_max_directors, business_type, additional_info, "
+    "ro_contact, ro_line1, ro_line2, ro_line3, ro_city, ro_province_state, ro_country, ro_postal_zip, ma_city, ma_postal_zip, ma_same_as_registered"
 )
 
 
-@query(COMPANIES + f" SELECT {_PARSED}, CAST(NULL AS VARCHAR) AS filing_type, ma_city IS NULL AS ma_empty FROM co", dates=('incorporation_date',))
+@query(COMPANIES + f" SELECT {_PARSED}, CAST(NULL AS VARCHAR) AS filing_type, ma_city IS NULL AS ma_empty FROM co", dates=('incorporation_date', 'registration_date', 'last_annual_return'))
 def company_parse(spark, sf_dir):
     parsed = parsed_companies(spark, sf_dir).withColumn("ma_empty", company.address_is_empty("company.mailing_address"))
     return company.company_rows(parsed, "ma_empty").select(*_PARSED.split(", "), "filing_type", "ma_empty")
@@ -223,12 +227,15 @@ def search_docs_ilike(spark, sf_dir):
 
 @query(COMPANIES + f" SELECT {_SHOWN} FROM co WHERE number = '50D'", dates=('incorporation_date',))
 def company_lookup(spark, sf_dir):
-    return search.key_lookup(companies(spark, sf_dir), "number", "50D").select(*search.COMPANY_COLUMNS)
+    page = company.pages_of(render.company_pages(spark, sf_dir), "50D")
+    return search.key_lookup(company.company_rows(company.parse_companies(page)), "number", "50D").select(*search.COMPANY_COLUMNS)
 
 
 @query(DIRECTORS + " SELECT * FROM dirs WHERE company_number = '3' ORDER BY seq")
 def lookup_directors(spark, sf_dir):
-    return search.lookup_children(directors(spark, sf_dir), "3").select("company_number", "seq", "full_name")
+    page = company.pages_of(render.company_pages(spark, sf_dir), "3")
+    found = company.child_rows(company.parse_companies(page), "company_directors")
+    return search.lookup_children(found, "3").select("company_number", "seq", "full_name")
 
 
 @query(
@@ -617,7 +624,7 @@ def work_plan(spark, sf_dir):
 # -- display ----------------------------------------------------------------------------------------------------
 
 
-@query(COMPANIES + " SELECT number, ro_city || ', ' || ro_province_state AS location, ro_line1 || chr(10) || ro_city || ', ' || ro_province_state AS address FROM co")
+@query(COMPANIES + " SELECT number, ro_city || ', ' || ro_province_state AS location, concat_ws(chr(10), ro_contact, ro_line1, ro_line2, ro_city || ', ' || ro_province_state, ro_country, ro_postal_zip) AS address FROM co")
 def location_labels(spark, sf_dir):
     office = F.col("company.registered_office")
     good = parsed_companies(spark, sf_dir).where("parse_error IS NULL")

@@ -63,8 +63,12 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         label("lblCompanyName", F.when(every(97), "  ").otherwise(F.concat(F.when(every(7), 'STUDIO "C" & ').otherwise(""), F.col("c_name")))),
         label("lblCompanyNumber", F.when(every(101), "").otherwise(number)),
         label("lblCorporationType", kind), label("lblCategory", category), label("lblStatus", status), label("lblIncorporationDate", incorporated),
+        label("lblRegistrationDate", F.date_format(F.date_add(date, 30), "yyyy-MM-dd")), label("lblLastAnnualReturn", F.when(every(3), F.date_format(F.date_add(date, 365), "yyyy-M-d"))),
+        label("lblIncorporationJurisdiction", F.concat(F.col("r_name"), F.lit(" / "), F.col("n_name"))), label("lblMinMaxDirectors", F.concat(F.lit("1 -\n"), (k % 9 + 1).cast("string"))),
         label("lblBusinessType", F.concat(F.lit("\n  With "), F.col("c_mktsegment"), F.lit("\t"))), label("lblFilingType", F.lit(" ")),
         label("lblROAddress1", F.concat(F.lit("Unit "), k.cast("string"), F.lit("<br>Main Street<BR/>"))),
+        label("lblROContact", F.concat(F.lit("c/o "), F.col("c_mktsegment"))), label("lblROAddress2", F.when(every(4), "").otherwise(F.concat(F.lit("Floor "), (k % 7).cast("string")))), label("lblROAddress3", F.lit("\u00a0")),
+        label("lblROCountry", F.lit("Canada")), label("lblROPostalZipCode", F.concat(F.lit("A1A "), (k % 10).cast("string"))), label("lblMAPostalZipCode", F.when(F.col("c_acctbal") >= 0, F.lit("B2B"))),
         label("lblROCity", F.concat(F.when(every(5), " ").otherwise(""), F.col("n_name"), F.lit("<br />"))),
         label("lblROProvinceState", F.concat(F.col("r_name"), F.lit(" "))),
         F.when(F.col("c_acctbal") >= 0, label("lblMACity", F.col("n_name"))).otherwise(label("lblMASameAsRegistered", F.lit("Same as Registered Office"))),

@@ -148,6 +148,20 @@ def test_lobbyist_paging(spark):
     assert one(spark, lobbyist.total_records, page("", "n/a")) is None
 
 
+def test_index_is_complete_or_not(spark):
+    anchor = '<tr><td><a id="rptSearchResults__ctl{0}_lbtRegNum">CL-{0}</a></td>' + "<td>c</td>" * 6 + "</tr>"
+    page = lambda n, shown, hits: (n, f'<span id="lblViewingRecords">{shown}</span><span id="lblRecordsFound">3</span><table>{"".join(anchor.format(h) for h in hits)}</table>')
+    complete = lambda *rows: planning.index_complete(spark.createDataFrame(rows, "page_no int, html string")).first().complete
+    first, last = page(1, "1-2", (1, 2)), page(2, "3-3", (3,))
+    assert complete(first, last)
+    assert not complete(first) and not complete(last) and not complete(first, page(3, "3-3", (3,))) and not complete(first, page(2, "3-3", ()))
+
+
+def test_pages_of_one_company(spark):
+    pages = spark.createDataFrame([("a", LABELS.format(name="N", number=n, kind="Company")) for n in ("1", " 2D ", "3")], "key string, html string")
+    assert [c.company.number for c in company.parse_companies(company.pages_of(pages, "2D")).collect()] == ["2D"]
+
+
 def test_planning(spark):
     pages = spark.createDataFrame([("69236", HITS)], "key string, html string")
     assert [tuple(r) for r in planning.drill_targets(pages).collect()] == [("69236", 1, "1D")]
