@@ -2,7 +2,7 @@
 
 Longest-common-prefix intervals give the maximal repeated word runs; their spans are united, and a document
 fails if the union covers too much of it or the longest repeat is too long. Null texts have no words. A
-document without words, or with fewer than `MIN_WORDS`, fails the base rules. Equal texts get equal rows. A very
+document with fewer than `min_words` fails the base rules. Equal texts get equal rows. A very
 long text is a batch of its own. An empty table gives an empty result; other columns stay, whatever their names.
 """
 
@@ -84,26 +84,26 @@ def _measured(text: Column) -> Column:
     return F.arrow_udf(_in_batches, SCHEMA)(text)
 
 
-def _judged(df: DataFrame, text: str) -> tuple[DataFrame, str, Column, Column]:
+def _judged(df: DataFrame, text: str, min_words: int) -> tuple[DataFrame, str, Column, Column]:
     """df with a column of its measures, that column's name, and two verdicts on it: base rules failed, kept."""
     (name,) = fresh(df.columns, "measures")
     m = lambda x: F.col(f"{name}.{x}")
     words = m("n_words")
-    failed = (words < MIN_WORDS) | (100 * m("n_repeat_words") > MAX_TRIGRAM_PERCENT * words)
+    failed = (words < min_words) | (100 * m("n_repeat_words") > MAX_TRIGRAM_PERCENT * words)
     repeats = (100 * m("covered_words") > MAX_COVERED_PERCENT * words) | (m("longest_repeat") > MAX_REPEAT)
     return df.withColumn(name, _measured(quoted([text])[0].cast("string"))), name, failed, ~failed & ~repeats
 
 
-def judge(df: DataFrame, text: str = "text") -> DataFrame:
+def judge(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with the measures of SCHEMA, base_failed and kept; columns of these names are replaced."""
-    judged, name, failed, kept = _judged(df, text)
+    judged, name, failed, kept = _judged(df, text, min_words)
     measures = [f.split()[0] for f in SCHEMA.split(", ")]
     made = {*measures, "base_failed", "kept"}
     own = quoted([c for c in df.columns if c.lower() not in made])
     return judged.select(*own, *[F.col(f"{name}.{c}").alias(c) for c in measures], failed.alias("base_failed"), kept.alias("kept"))
 
 
-def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents that the rules keep, columns unchanged."""
-    judged, name, _, kept = _judged(docs, text)
+    judged, name, _, kept = _judged(docs, text, min_words)
     return judged.where(kept).drop(name)

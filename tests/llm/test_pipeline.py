@@ -18,7 +18,10 @@ def test_stages_against_plain_python(spark, sf, tmp_path):
     raw, good, lines, unlike, mixed, encoded = ([r.asDict() for r in f.collect()] for f in frames)
     assert all(f.columns == columns for f in frames[:-1])
 
-    assert {r["doc_id"] for r in good} == {r["doc_id"] for r in raw if plain(r["text"])[6]}
+    assert {r["doc_id"] for r in good} == {r["doc_id"] for r in raw if plain(r["text"], pipeline.MIN_WORDS)[6]}
+
+    short = [r for r in raw if 1 <= len((r["text"] or "").split()) < 20]
+    assert short and sum(r["doc_id"] in {g["doc_id"] for g in good} for r in short) > 0.9 * len(short)
 
     want = {r["doc_id"]: t for r, t in zip(good, line_brute([(r["doc_id"], r["text"]) for r in good], 50), strict=True) if t == r["text"] or re.search(r"[^\x20\x09-\x0D]", t)}
     assert {r["doc_id"]: r["text"] for r in lines} == want

@@ -5,7 +5,7 @@ from collections import Counter
 from regmill.llm import quality, queries
 
 
-def plain(text):
+def plain(text, min_words=50):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
 
@@ -24,7 +24,7 @@ def plain(text):
         longest, over = (middle, over) if repeats(middle) else (longest, middle)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     base = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), covered(3))
-    failed = len(w) < 50 or 100 * base[4] > 50 * len(w)
+    failed = len(w) < min_words or 100 * base[4] > 50 * len(w)
     long = longest if longest >= quality.MIN_REPEAT else 0
     kept = not failed and 100 * covered(10) <= quality.MAX_COVERED_PERCENT * len(w) and long <= quality.MAX_REPEAT
     return (*base, failed, kept, covered(10), long)
