@@ -16,10 +16,14 @@ from regmill.llm.queries import RANKS, quality_weight, sized, table, with_qualit
 from regmill.sources.storage import scratch
 
 
+#: A short document may be a clean one, so the first stage asks for a word only; what it rejects, it rejects for repetition.
+MIN_WORDS = 1
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality rules reject."""
     ship(spark)
-    return quality.keep(docs)
+    return quality.keep(docs, min_words=MIN_WORDS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
