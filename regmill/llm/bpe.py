@@ -23,8 +23,9 @@ from .common import fresh, quoted
 
 #: White space as the pattern's \s knows it.
 _SPACE = "\t-\r \x85\xa0  -     　"
-#: Between a word character and a blank a match always ends, and what follows is matched as if it stood alone.
-_SAFE = re.compile(r"[A-Za-z0-9](?=[ \n])")
+#: Between a character that is no white space and a blank a match always ends, and what follows is matched as if it stood
+#: alone; so it is between letters of scripts that are written without blanks and their stops.
+_SAFE = re.compile("[^\\s](?=[ \\n])|[\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3](?=[\u3001\u3002\uff0c\uff01\uff1f\uff1a\uff1b])")
 #: Runs of white space too long for a backtracking matcher.
 _LONG_RUN = re.compile(f"[{_SPACE}]{{20000,}}")
 WINDOW = 1 << 16

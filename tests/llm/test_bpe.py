@@ -21,6 +21,17 @@ def enc():
 TEXTS = ["", "a", "don't stop  \n\n now 123abc", "<|endoftext|>", "ünï 漢字 𝒳\u2003x\x85\x1c ", " \n" * 50 + "x", "it's " * 400 + "\t\n end", "x" * 3000, "!?" * 900, "a\n\nb \n c's'll 'S"]
 
 
+TEXTS += ["漢字かな、カナ。한국어，" * 60 + "'s ok！", "é\u0301 ñ! \n?漢 字。' d\u2003\x1c \x1d\n", "١٢٣ ٤٥ \n٦。"]
+
+
+def test_long_texts_of_any_script_are_cut(enc):
+    """No text needs ASCII letters for its cuts."""
+    for text in ("漢字が続く文、" * 30_000, "Ünïçödé — \n" * 30_000, "??? !!!\n" * 40_000):
+        parts = list(bpe.safe_parts(text))
+        assert max(len(p) for p, _ in parts) < bpe.WINDOW + 20 and "".join(p for p, _ in parts) == text
+        assert np.frombuffer(bpe.encode_text(enc, text), "<u4").tolist() == enc.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("window", [1, 7, 64, 10**6])
 def test_parts_give_the_ids_of_the_whole(enc, window):
     for text in TEXTS:
