@@ -29,15 +29,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value), with the value computed once, as lambdas do not share subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sketch(text: Column, k: int = K, shingle: int = SHINGLE) -> Column:
-    """The bottom-k sketch of a text. The words are bound once by a one-element transform, as lambdas do not share subexpressions."""
+    """The bottom-k sketch of a text. Every word is hashed once, and a shingle is the hash of its words' hashes."""
 
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (shingle - 1))), lambda i: F.xxhash64(F.slice(w, i, shingle)))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.array_sort(F.array_distinct(hashes)), 1, k))
+    def of(h: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(h) - shingle)
+        shingles = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(shingle)]))
+        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(F.sort_array(F.array_distinct(shingles)), 1, k))
 
-    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
+    return _bind(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:

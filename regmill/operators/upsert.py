@@ -86,7 +86,7 @@ def lobbyist_tables(parsed: DataFrame, tables) -> dict[str, DataFrame]:
 
 #: Kind -> parser, tables, and where a parsed page has its key.
 KINDS = {"company": (company.parse_companies, company_tables, "company.number"), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables, "lobbyist.registration_number")}
-BUCKETS = 64
+BUCKETS = 32
 
 
 class Store:

@@ -27,12 +27,12 @@ def expected(rows):
 
 
 def bottom(text, k=fingerprint.K):
-    """The plain bottom-k sketch: chained hashes of each shingle's words, as signed numbers."""
+    """The plain bottom-k sketch: chained hashes of the hashes of each shingle's words, as signed numbers."""
     found = set()
     for shingle in shingles(text):
         h = 42
         for w in shingle:
-            h = xxhash.xxh64_intdigest(w.encode(), h)
+            h = xxhash.xxh64_intdigest(xxhash.xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), h)
         found.add(h - 2**64 if h >= 2**63 else h)
     return sorted(found)[:k]
 
