@@ -49,33 +49,35 @@ class Conflict(RuntimeError):
 class Buckets:
     """Tables in buckets of rows. A version lists the folder of every bucket, so a load writes the buckets that it changes only.
 
-    A version is a marker file that is created under the next number, or not at all if another load has that number;
-    folders of rows have names of their own, so loads at one time never write into one another's.
+    A version is a file that gets the next number as its name when it is whole, or not at all if another load has that
+    number; folders of rows have names of their own, so loads at one time never write into one another's, and a load
+    that breaks off leaves nothing that a later one would stumble over.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _markers(self) -> list[int]:
+    def _numbers(self) -> list[int]:
         fs, path = path_of(self.spark, f"{self.root}/_versions")
-        return sorted((int(s.getPath().getName()) for s in fs.listStatus(path)), reverse=True) if fs.exists(path) else []
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(n) for n in names if n.isdigit()]
 
     def current(self) -> int:
         """The newest published version, 0 for none."""
         return self.state()["version"]
 
     def state(self) -> dict:
-        """What the newest version lists; a marker that is still being written does not count."""
-        for version in self._markers():
-            fs, path = path_of(self.spark, f"{self.root}/_versions/{version}")
-            stream = fs.open(path)
-            try:
-                text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            if text.endswith("\n"):
-                return json.loads(text) | {"version": version}
-        return {"version": 0, "tables": {}, "appended": {}, "notes": {}}
+        """What the newest version lists."""
+        version = max(self._numbers(), default=0)
+        if not version:
+            return {"version": 0, "tables": {}, "appended": {}, "notes": {}}
+        fs, path = path_of(self.spark, f"{self.root}/_versions/{version}")
+        stream = fs.open(path)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) | {"version": version}
 
     def read(self, name: str, schema, buckets: list[str] | None = None, state: dict | None = None) -> DataFrame:
         """A table of the current version, or some buckets of it; empty if there is none."""
@@ -107,14 +109,17 @@ class Buckets:
 
     def publish(self, state: dict) -> int:
         """Make the state the next version; raises Conflict if another load was first."""
-        version = state["version"] + 1
-        fs, marker = path_of(self.spark, f"{self.root}/_versions/{version}")
-        if fs.exists(marker):
-            raise Conflict(f"version {version} is there already")
+        version, context = state["version"] + 1, self.spark.sparkContext
+        fs, made = path_of(self.spark, f"{self.root}/_versions/.{uuid.uuid4().hex}")
+        stream = fs.create(made, False)
+        stream.write(json.dumps({k: v for k, v in state.items() if k != "version"}).encode())
+        stream.close()
+        hadoop = context._jvm.org.apache.hadoop.fs
+        names = hadoop.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration())
+        never_over = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
         try:
-            stream = fs.create(marker, False)
+            names.rename(made, hadoop.Path(f"{self.root}/_versions/{version}"), never_over)
         except Exception as e:
+            fs.delete(made, False)
             raise Conflict(f"version {version} is there already") from e
-        stream.write((json.dumps({k: v for k, v in state.items() if k != "version"}) + "\n").encode())
-        stream.close()
         return version
