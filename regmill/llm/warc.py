@@ -100,12 +100,15 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (found[2] or "/").lower()
 
 
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
-    """Offset, length, headers and block of each record of an archive."""
+_BLANK_LINE = re.compile(rb"\r\n\r\n")
+
+
+def records(data: bytes | memoryview) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
+    """Offset, length, headers and block of each record of an archive, of which nothing is copied but the headers."""
     view, at = memoryview(data), 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at)
-        lines = data[at:head_end].decode().split("\r\n")
+    while at < len(view):
+        head_end = _BLANK_LINE.search(view, at).start()
+        lines = bytes(view[at:head_end]).decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at {at}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -129,9 +132,10 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted run of each archive."""
     for b in batches:
         for path, content in zip(b.column("path"), b.column("content"), strict=True):
-            rows, data = [], content.as_py()
-            for offset, length, h, block in records(data):
-                http, _, payload = bytes(block).partition(b"\r\n\r\n")
+            rows = []
+            for offset, length, h, block in records(memoryview(content.as_buffer())):
+                http_end = _BLANK_LINE.search(block)
+                http, payload = block[: http_end.start()], block[http_end.end() :]
                 revisit = h["warc-type"] == "revisit"
                 size = int(re.search(rb"(?i)content-length: (\d+)", http)[1]) if revisit else len(payload)
                 digest = h["warc-payload-digest"].removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
