@@ -67,6 +67,14 @@ def decode_ids(enc: tiktoken.Encoding, ids: bytes | None) -> bytes:
     return enc.decode_bytes(np.frombuffer(ids or b"", "<u4").tolist())
 
 
+def _joined(parts: list[bytes]) -> pa.Array:
+    """The parts as one binary array: their bytes are copied once."""
+    ends = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=ends[1:])
+    array = pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
+    return array.cast(pa.binary())
+
+
 def _udf(spark: SparkSession, rank_path: str, pattern: str, one):
     with open(rank_path, "rb") as f:  # a vocabulary file, of fixed size
         ranks = spark.sparkContext.broadcast(f.read())
@@ -75,7 +83,7 @@ def _udf(spark: SparkSession, rank_path: str, pattern: str, one):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoding(ranks.value, pattern)
         for batch in batches:
-            yield pa.array((one(enc, x.as_py()) for x in batch), pa.binary())
+            yield _joined([one(enc, x.as_py()) for x in batch])
 
     return run
 
@@ -99,8 +107,8 @@ def round_trip(df: DataFrame, rank_path: str, pattern: str, text: str = "text")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoding(ranks.value, pattern)
         for batch in batches:
-            ids = pa.array((encode_text(enc, x.as_py()) for x in batch), pa.binary())
-            decoded = pa.array((decode_ids(enc, x.as_py()) for x in ids), pa.binary())
+            ids = _joined([encode_text(enc, x.as_py()) for x in batch])
+            decoded = _joined([decode_ids(enc, x.as_py()) for x in ids])
             yield pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
 
     names = [c for c in df.columns if c.lower() not in ("ids", "decoded")]
