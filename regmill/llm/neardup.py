@@ -50,6 +50,8 @@ KNOWN_WORDS = 100_000
 BLOCK_BYTES, LEAST_BYTES = 1 << 20, 1 << 12
 #: Columns of a table of members by values that a task holds at once.
 VALUES_AT_ONCE = 1 << 13
+#: Rows whose sets a task makes before it passes them on.
+ROWS_AT_ONCE = 512
 #: Names of the columns that tell rows apart, in this module.
 KEY = ["_file", "_row"]
 
@@ -81,10 +83,17 @@ def shingle_set(text: str | None, size: int, known: dict[bytes, int]) -> np.ndar
     return np.unique(_chained([w[i : len(w) - n + 1 + i] for i in range(n)]))
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of what is made from them is held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def _nodes_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for b in batches:
+        for b in _in_parts(batches):
             rows = []
             for x in b.column("text"):  # one text and one set at a time
                 s = shingle_set(x.as_py(), size, known)
@@ -99,7 +108,7 @@ def _nodes_of(size: int):
 def _sets_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for b in batches:
+        for b in _in_parts(batches):
             sets = pa.array((shingle_set(x.as_py(), size, known).tobytes() for x in b.column("text")), pa.binary())
             yield pa.record_batch({"nid": b.column("nid"), "set": sets})
 
@@ -125,14 +134,19 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return np.count_nonzero(both <= union[-1]) / len(union) if len(union) else 0.0
 
 
+def _numbers(x: pa.BinaryScalar) -> np.ndarray:
+    """A packed set, where it lies."""
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
 def _estimated(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
-        yield pa.array([estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+        yield pa.array([estimate(_numbers(x), _numbers(y)) for x, y in zip(a, b, strict=True)], pa.float64())
 
 
 def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
-        yield pa.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+        yield pa.array([len(np.intersect1d(_numbers(x), _numbers(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], pa.int64())
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
