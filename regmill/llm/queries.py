@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, license, linededup, mixing, neardup, quality, sharding, urlfilter, warc
+from . import alignment, bpe, classifier, collocation, fingerprint, license, linededup, mixing, neardup, quality, sharding, urlfilter, warc
 from .common import WORD, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -79,8 +79,6 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce((SELECT v FROM r WHERE h || t = rule), 'allow') AS verdict FROM j
 """
 
-OP9_SQL = None
-
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -120,6 +118,57 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").alias("n_licenses"), "licenses")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocation.best(collocation.mine(table(spark, sf_dir, "documents").select("lang", "text")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), started AS (
+  SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, range(1, 5) t(k)
+), f AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM started GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1
+), cand AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS c FROM cand
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, a, c, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f::HUGEINT + q.f))::BIGINT AS score
+  FROM cuts JOIN f p ON p.lang = cuts.lang AND p.phrase = array_to_string(ws[1 : c], ' ') AND p.k = c
+    JOIN f q ON q.lang = cuts.lang AND q.phrase = array_to_string(ws[c + 1 : cuts.k], ' ') AND q.k = cuts.k - c
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), sizes AS (
+  SELECT lang, ws, a, k, unnest(range(2, k)) AS s FROM cand WHERE k > 2
+), starts AS (
+  SELECT lang, ws, a, s, unnest(range(1, k - s + 2)) AS i FROM sizes
+), around AS (
+  SELECT lang, array_to_string(ws[i : i + s - 1], ' ') AS phrase, max(a) AS most FROM starts GROUP BY 1, 2
+), open AS (
+  SELECT lang, phrase, a, l, r, n, score FROM lowest LEFT JOIN around USING (lang, phrase) JOIN total USING (lang) WHERE most IS NULL OR 100 * most < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM open QUALIFY rank <= 2000
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.documents.select("doc_id", *alignment.RESULT)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -131,5 +180,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
+    "op11_phrases": op11_phrases,
+    "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
-ORACLES: dict[str, str] = {"op5_urls": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op11_phrases": OP11_SQL}

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 import public_tokenizers
-from regmill.llm import bpe, fingerprint, license, linededup, mixing, neardup, quality, queries, sharding, urlfilter, warc
+from regmill.llm import alignment, bpe, classifier, collocation, fingerprint, license, linededup, mixing, neardup, quality, queries, sharding, urlfilter, warc
 from regmill.llm.common import fresh, keyed
 
 #: Names that some operator gives a column on its way.
 TAKEN = (
     "_file _row _FILE __file _runs _both _measures _m _rid _part _edges _place _block _start _step _copies _copy copies copy first ids decoded shard slot nid label key block at h w again carried "
-    "pairs one keys hits count r seq no s m ra rb p v c n sig sketch size taken target source_size hub tie none id _words _content quality base_failed kept n_words licenses _metadata"
+    "pairs one keys hits count r seq no s m ra rb p v c n sig sketch size taken target source_size hub tie none id _words _content quality score _own _id _label _x _text kind plane a b bits groups n_a n_best base_failed kept n_words licenses _metadata"
 ).split()
 TEXTS = ["a line of words that stands in several documents, long enough to count\nown words here", None, "", " \n\t", "short", "x " * 3000, "é 𝒳 \x00 odd", "line\n" * 400]
 
@@ -55,16 +55,21 @@ OPERATORS = {
     "fingerprint": (fingerprint.fingerprints, None),
     "quality": (quality.judge, {"n_words", "base_failed", "kept", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"}),
     "neardup": (neardup.near_duplicates, None),
+    "alignment": (lambda df: alignment.align(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents, {*alignment.RESULT}),
+    "classifier": (lambda df: classifier.score(df, classifier.train(df, df.selectExpr("doc_id", "doc_id % 2 AS quality"))), {"score"}),
 }
 
 
+DROPPED = {"alignment": ("text",)}
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_columns_with_the_operators_own_names(spark, docs, name):
     operator, made = OPERATORS[name]
     out = operator(docs)
     assert out.count() == docs.count()
     if made is not None:
-        kept = [c for c in docs.columns if c not in made]
+        kept = [c for c in docs.columns if c not in made and c not in DROPPED.get(name, ())]
         assert set(kept) | made == set(out.columns)
         of = lambda df: sorted(str(r) for r in df.select(*[f"`{c}`" for c in kept]).collect())
         assert of(out) == of(docs)
@@ -78,6 +83,8 @@ def test_results_do_not_depend_on_other_columns(spark, docs):
     columns = ["doc_id", "n_shingles", "component_id"]
     assert of(wide.select(*columns)) == of(narrow.select(*columns))
     assert wide.where("first").count() == narrow.where("first").count()
+    assert sorted(map(tuple, collocation.mine(docs, least=3).collect())) == sorted(map(tuple, collocation.mine(docs.select("text", "lang"), least=3).collect()))
+    assert collocation.mine(docs.limit(0)).count() == 0
     assert of(fingerprint.fingerprints(docs).select("doc_id", "sketch")) == of(fingerprint.fingerprints(plain).select("doc_id", "sketch"))
 
 
