@@ -362,7 +362,7 @@ def align(docs: DataFrame, json_path: str, model_path: str, text: str = "text",
     spark = docs.sparkSession
     with open(json_path, encoding="utf-8") as f, open(model_path, "rb") as g:  # vocabulary files, of fixed size
         a, b = f.read(), g.read()
-    names = [c for c in docs.columns if c != text and c.lower() not in (*RESULT, "groups")]
+    names = [c for c in docs.columns if c != text and c.lower() not in (RESULT + ("groups",) if keep_groups else RESULT)]
     own = F.struct(*quoted(names)) if names else F.struct(F.lit(None).cast("int").alias("none"))
     packed = docs.select(own.alias("_own"), quoted([text])[0].cast("string").alias("text"))
     more = [x.split() for x in f"kind string, {_DOC}, {_POSTING}".split(", ")]
