@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .elements import elements
 from .text import bind, blank_to_null, col, collapse_ws, decode_entities
 
 #: A span whose first attribute is a quoted label id and whose body is text and line breaks only. Possessive, so long bodies need no stack.
 LABEL = r'(?i)<span\s+id="lbl[A-Za-z0-9]+"[^>]*>[^<]*+(?:<br\s*/?>[^<]*+)*+</span>'
-#: Any element whose id begins like a label's, up to the next end tag of its kind.
-ANY_LABEL = r'(?is)<(\w+)\b[^>]*\bid="lbl[^"]*"[^>]*>.*?</\1>'
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -48,18 +47,16 @@ _ALL_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 def lines_of(fragment: Column) -> Column:
     """The text of an element, one line for each text node; inside a line only blanks and tabs are collapsed, and blank lines inside stay."""
-    nodes = decode_entities(F.regexp_replace(fragment, r"(?s)(?:<[^>]*>)+", "\n"))
+    nodes = decode_entities(F.regexp_replace(fragment, r"(?s)(?:<[^>]*+>)++", "\n"))
     broken = F.regexp_replace(nodes, r"\r\n|[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", "\n")
     lines = F.regexp_replace(F.regexp_replace(broken, r"[ \t]+", " "), rf"{_BLANK}*\n{_BLANK}*", "\n")
     return F.regexp_replace(lines, rf"^{_ALL_BLANK}+|{_ALL_BLANK}+$", "")
 
 
 def lobbyist_label_map(html: Column | str) -> Column:
-    """Label id -> text of any element: entities decoded, one line for each text node, blank values left out."""
-    inner = lambda m: F.regexp_extract(m, r"(?is)^<[^>]*>(.*)</\w+>$", 1)
-    entry = lambda m: F.struct(F.regexp_extract(m, r'(?i)\bid="([^"]*)"', 1).alias("key"), lines_of(inner(m)).alias("value"))
-    found = F.transform(F.regexp_extract_all(col(html), F.lit(ANY_LABEL), F.lit(0)), entry)
-    return _last_wins(F.filter(found, lambda e: e["key"].startswith("lbl") & (e["value"] != "")))
+    """Label id -> text of any element, nested ones too: entities decoded, one line for each text node, blank values left out."""
+    found = F.transform(elements(html, lambda i: i.startswith("lbl")), lambda e: F.struct(e["id"].alias("key"), lines_of(e["inner"]).alias("value")))
+    return _last_wins(F.filter(found, lambda e: e["value"] != ""))
 
 
 def label_text(labels: Column | str, name: str) -> Column:
@@ -74,9 +71,9 @@ def has_label(labels: Column | str, name: str) -> Column:
 def section(html: Column | str, element_id: str) -> Column:
     """From an element's id to the next section anchor or the footer, without comments; null if the id is not there."""
     page = col(html)
-    at = F.regexp_instr(page, F.lit(rf'(?i)\bid="?{element_id}["\s>]'))
+    at = F.regexp_instr(page, F.lit(rf"""(?i)\bid\s*=\s*["']?{element_id}["'\s>]"""))
     rest = F.substring(page, at, F.length(page))
-    cut = F.get(F.split(rest, r'(?i)<a\s+name=|\bid="?gnlfoot\b', 2), F.lit(0))
+    cut = F.get(F.split(rest, r"""(?i)<a\s+name=|\bid\s*=\s*["']?gnlfoot\b""", 2), F.lit(0))
     return F.when(page.contains(element_id) & (at > 0), F.regexp_replace(cut, r"(?s)<!--.*?-->", ""))
 
 
@@ -88,7 +85,7 @@ def rows_of(part: Column) -> Column:
 
 def leaf_rows(html: Column | str, element_id: str) -> Column:
     """Rows of class row or rowalt in a section; the attribute name may be in any case, its value not."""
-    return F.filter(rows_of(section(html, element_id)), lambda r: r.rlike(r'^[^>]*\b(?i:class)="?(row|rowalt)["\s>]'))
+    return F.filter(rows_of(section(html, element_id)), lambda r: r.rlike(r"""^[^>]*\b(?i:class)\s*=\s*["']?(row|rowalt)["'\s>]"""))
 
 
 def cells(row: Column) -> Column:
@@ -111,5 +108,5 @@ def row_text(row: Column) -> Column:
 
 def anchor_text(row: Column, id_pattern: str) -> Column:
     """The text of the first anchor whose id matches."""
-    inner = F.regexp_extract(row, rf'(?is)<a\b[^>]*\bid="?{id_pattern}\b[^>]*>(.*?)</a\b', 1)
+    inner = F.regexp_extract(row, rf"""(?is)<a\b[^>]*\bid\s*=\s*["']?{id_pattern}\b[^>]*>(.*?)</a\b""", 1)
     return collapse_ws(decode_entities(F.regexp_replace(inner, r"(?s)<[^>]*>", "")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import elements as E
 from ..functions import labels as L
 from ..functions.text import blank_to_null, col, collapse_ws, page_sha256, quoted, split_person_name, tolerant_date
 from ..sources.schemas import ADDRESS
@@ -143,17 +144,19 @@ def _results(html: Column | str) -> Column:
 def search_totals(html: Column | str) -> Column:
     """total and viewing of a result page; 0 and 0-0 without a result table."""
 
-    def measured(part: Column) -> Column:
-        text = lambda name: collapse_ws(F.regexp_extract(part, rf'(?i)<span\s+id="{name}"[^>]*>([^<]*)</span>', 1))
+    def measured(table: Column) -> Column:
+        text = lambda name: E.text_of(E.first_of(table, name))
         return F.struct(F.coalesce(text("lblRecordsFound").try_cast("int"), F.lit(0)).alias("total"), F.coalesce(blank_to_null(text("lblViewingRecords")), F.lit("0-0")).alias("viewing"))
 
-    return L.bind(F.coalesce(_results(html), F.lit("")), measured)
+    # the same ids stand in other tables too
+    within = lambda found: L.bind(E.inside(found, E.first_of(found, RESULTS)), measured)
+    return L.bind(E.elements(html, lambda i: i.isin(RESULTS, "lblRecordsFound", "lblViewingRecords")), within)
 
 
 def search_hits(html: Column | str) -> Column:
     """The hits of a result page: five cells at least, and a valid company number."""
     ident = r"rptCompanyNameSearchResults__ctl\d+_lbtCompanyNumber"
-    anchor = r'(?i)id="?rptCompanyNameSearchResults__ctl(\d+)_lbtCompanyNumber\b'
+    anchor = r"""(?i)id\s*=\s*["']?rptCompanyNameSearchResults__ctl(\d+)_lbtCompanyNumber\b"""
     rows = F.filter(L.rows_of(_results(html)), lambda r: r.rlike(anchor))
 
     def hit(r: Column, cells: Column) -> Column:

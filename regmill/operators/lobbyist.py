@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import elements as E
 from ..functions import labels as L
-from ..functions.text import blank_to_null, col, collapse_ws, page_sha256, tolerant_date
+from ..functions.text import bind, blank_to_null, col, page_sha256, tolerant_date
 
 #: Fixed value: the error text that goes to the log.
 NO_NUMBER = "page is not a lobbySummary.aspx (no lblRegistrationNumber)"
@@ -58,7 +59,7 @@ def raw_fields_json(fields: Column | str) -> Column:
     return F.to_json(col(fields))
 
 
-ANCHOR = r'(?i)id="?rptSearchResults__ctl(\d+)_lbtRegNum\b'
+ANCHOR = r"""(?i)id\s*=\s*["']?rptSearchResults__ctl(\d+)_lbtRegNum\b"""
 ANCHOR_ID = r"rptSearchResults__ctl\d+_lbtRegNum"
 
 
@@ -83,20 +84,33 @@ def hit_row_indices(html: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(1)), lambda x: x.try_cast("int"))
 
 
-def _span(html: Column | str, name: str) -> Column:
-    return collapse_ws(F.regexp_extract(col(html), rf'(?i)<span\s+id="{name}"[^>]*>([^<]*)</span>', 1))
+#: The ids of the counts on a result page.
+TOTAL, VIEWING = "lblRecordsFound", "lblViewingRecords"
+
+
+def page_marks(html: Column | str) -> Column:
+    """total, first, last (of the records shown; null unless both are given) and more of a result page, from one pass over its elements.
+
+    Use it behind `labels.once` where several of them are asked for.
+    """
+
+    def of(total: Column, shown: Column) -> Column:
+        part = lambda i: F.when(shown.rlike(r"^\d+-\d+$"), F.regexp_extract(shown, r"^(\d+)-(\d+)$", i).try_cast("int"))
+        number = total.try_cast("int")
+        return F.struct(number.alias("total"), part(1).alias("first"), part(2).alias("last"), F.coalesce(part(2) < number, F.lit(False)).alias("more"))
+
+    texts = lambda found: bind(E.text_of(E.first_of(found, TOTAL)), lambda t: bind(E.text_of(E.first_of(found, VIEWING)), lambda v: of(t, v)))
+    return bind(E.elements(html, lambda i: i.isin(TOTAL, VIEWING)), texts)
 
 
 def total_records(html: Column | str) -> Column:
-    return _span(html, "lblRecordsFound").try_cast("int")
+    return page_marks(html)["total"]
 
 
 def viewing_range(html: Column | str) -> Column:
     """first and last of the records shown, null unless both are given."""
-    text = _span(html, "lblViewingRecords")
-    part = lambda i: F.regexp_extract(text, r"^(\d+)-(\d+)$", i).try_cast("int")
-    return F.when(text.rlike(r"^\d+-\d+$"), F.struct(part(1).alias("first"), part(2).alias("last")))
+    return bind(page_marks(html), lambda m: F.when(m["first"].isNotNull() & m["last"].isNotNull(), F.struct(m["first"], m["last"])))
 
 
 def has_next_page(html: Column | str) -> Column:
-    return F.coalesce(viewing_range(html)["last"] < total_records(html), F.lit(False))
+    return page_marks(html)["more"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..sources.storage import kept
 from . import company, lobbyist
 
 FIRST, STOP = 1, 105_000
@@ -66,11 +67,69 @@ def lobbyist_index(pages: DataFrame) -> DataFrame:
     return L.once(pages, "hits", lobbyist.search_hits("html")).select("page_no", F.explode("hits").alias("h")).select("h.registration_number", "page_no", "h.row_index")
 
 
+def _index_pages(pages: DataFrame) -> DataFrame:
+    """What each list page (page_no, html) says: its marks and its hits, from one pass over it."""
+    marked = L.once(L.once(pages.select("page_no", "html"), "marks", lobbyist.page_marks("html")), "hits", lobbyist.search_hits("html"))
+    return kept(marked.select(F.col("page_no").cast("long").alias("page_no"), "marks.total", "marks.more", F.transform("hits", lambda h: h["registration_number"]).alias("numbers")), "index-pages")
+
+
+def _distinct_pages(found: DataFrame) -> DataFrame:
+    """One row a page number, however often the page was fetched."""
+    return found.groupBy("page_no").agg(F.count("*").alias("times"), F.min("total").alias("low"), F.max("total").alias("high"), F.max("more").alias("more"), F.array_distinct(F.flatten(F.collect_set("numbers"))).alias("numbers"))
+
+
+def _of_index(pages: DataFrame, totals: DataFrame) -> DataFrame:
+    """entries, total and whether the index is complete, from distinct pages and the number of distinct entries."""
+    span = pages.agg(
+        F.count("*").alias("pages"), F.min("page_no").alias("first"), F.max("page_no").alias("last"), F.min("low").alias("low"), F.max("high").alias("total"),
+        F.count_if(~F.col("more")).alias("ends"), F.max(F.when(~F.col("more"), F.col("page_no"))).alias("end"), F.lit(1).alias("_one"),
+    )
+    c = F.col
+    whole = (c("entries") == c("total")) & (c("low") == c("total")) & (c("first") == 1) & (c("pages") == c("last")) & (c("ends") == 1) & (c("end") == c("last"))
+    return span.join(totals.withColumn("_one", F.lit(1)), "_one").select("entries", "total", F.coalesce(whole, F.lit(False)).alias("complete"))
+
+
 def index_complete(pages: DataFrame) -> DataFrame:
-    """Whether the listing is whole: entries equal the total, pages follow one another, and only the last has no next page."""
-    measured = pages.select("page_no", F.size(lobbyist.search_hits("html")).alias("n"), lobbyist.total_records("html").alias("total"), lobbyist.has_next_page("html").alias("more"))
-    found = measured.agg(F.sum("n").alias("entries"), F.max("total").alias("total"), F.count("*").alias("pages"), F.max("page_no").alias("last"), F.count_if(~F.col("more")).alias("ends"))
-    return found.select("entries", "total", ((F.col("entries") == F.col("total")) & (F.col("pages") == F.col("last")) & (F.col("ends") == 1)).alias("complete"))
+    """Whether a listing (page_no, html) is whole: distinct entries equal the total that every page names, and the pages run from 1
+    to the only one without a next. Pages that were fetched twice count once; without pages the listing is not complete."""
+    distinct = kept(_distinct_pages(_index_pages(pages)), "distinct-pages")
+    return _of_index(distinct, distinct.select(F.explode("numbers").alias("number")).agg(F.count_distinct("number").alias("entries")))
+
+
+def missing_ranges(numbers: DataFrame, column: str = "page_no", least: int = 1) -> DataFrame:
+    """first and last of every gap between the numbers (longs), and before the smallest, from `least` on.
+
+    The distinct numbers are put into ranges; each range looks back inside itself, and its smallest at the largest of those before
+    it, so that no task sees all numbers and one row for each range is all that meets.
+    """
+    ranged = kept(numbers.select(F.col(column).cast("long").alias("n")).where(F.col("n") >= least).distinct().repartitionByRange("n").withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ranged.groupBy("_part").agg(F.max("n").alias("_most")).select("_part", F.max("_most").over(before).alias("_back"))  # a row for each partition
+    back = F.coalesce(F.lag("n").over(Window.partitionBy("_part").orderBy("n")), F.col("_back"), F.lit(least - 1))
+    gaps = ranged.join(heads, "_part").select("n", back.alias("back")).where("n > back + 1")
+    return gaps.select((F.col("back") + 1).alias("first"), (F.col("n") - 1).alias("last"))
+
+
+def index_gaps(pages: DataFrame) -> DataFrame:
+    """What is wrong with a listing (page_no, html), a row for each fault: problem, first and last page, registration number, times.
+
+    Problems: `missing` pages, a page `fetched again`, an entry `repeated` on several places of distinct pages, an `end` before the last page,
+    and `no end`, where the last page has a next.
+    """
+    found = _index_pages(pages)
+    distinct = kept(found.groupBy("page_no").agg(F.count("*").alias("times"), F.max("more").alias("more"), F.max("numbers").alias("numbers")), "distinct-pages")
+    nothing = F.lit(None).cast("string")
+    fault = lambda df, name, first, last, number=nothing, times=F.lit(1).cast("long"): df.select(F.lit(name).alias("problem"), first.alias("first"), last.alias("last"), number.alias("registration_number"), times.alias("times"))
+    page, last = F.col("page_no"), distinct.agg(F.max("page_no").alias("last"), F.lit(1).alias("_one"))
+    ends = distinct.select("page_no", "more", F.lit(1).alias("_one")).join(last, "_one")
+    places = distinct.select("page_no", F.explode("numbers").alias("number")).groupBy("number").agg(F.count("*").alias("times"), F.min("page_no").alias("low"), F.max("page_no").alias("high")).where("times > 1")
+    return (
+        fault(missing_ranges(distinct), "missing", F.col("first"), F.col("last"))
+        .unionByName(fault(distinct.where("times > 1"), "fetched again", page, page, times=F.col("times")))
+        .unionByName(fault(places, "repeated", F.col("low"), F.col("high"), F.col("number"), F.col("times")))
+        .unionByName(fault(ends.where("NOT more AND page_no < last"), "end", page, page))
+        .unionByName(fault(ends.where("more AND page_no = last"), "no end", page, page))
+    )
 
 
 def page_work_plan(index: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_sha256
 from ..sources.schemas import CHILDREN, TABLES, conform
-from ..sources.storage import Buckets, scratch
+from ..sources.storage import BUCKET_BYTES, Tables, kept, scratch
 from . import company, lobbyist
 
 
@@ -62,74 +62,81 @@ def ok_err_counts(log: DataFrame) -> DataFrame:
     return log.agg(F.count_if("parsed_ok").alias("ok"), F.count_if(~F.col("parsed_ok")).alias("err"))
 
 
-def kept(parsed: DataFrame, name: str) -> DataFrame:
-    """The parsed pages, written once: parent, children and log read them from there."""
-    where = scratch(parsed.sparkSession, name)
-    parsed.write.parquet(where)
-    return parsed.sparkSession.read.schema(parsed.schema).parquet(where)
+def company_tables(parsed: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The numbers of the good pages, and their rows in each company table."""
+    good = kept(dedupe_batch(parsed, F.col("company.number")), "good")
+    rows = {"companies": conform(company.company_rows(good), "companies")}
+    return good.select("company.number"), rows | {t.name: conform(company.child_rows(good, t.name), t.name) for t in CHILDREN}
 
 
-def company_tables(parsed: DataFrame, tables) -> dict[str, DataFrame]:
-    """The new state of the company tables; `tables` gives the old state by name."""
-    good = dedupe_batch(parsed, F.col("company.number"))
-    rows = company.company_rows(good)
-    out = {"companies": upsert_parent(tables("companies"), rows, "companies")}
-    for t in CHILDREN:
-        out[t.name] = replace_children(tables(t.name), rows, "number", company.child_rows(good, t.name), t.name)
-    return out
+def lobbyist_tables(parsed: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    good = kept(dedupe_batch(parsed, F.col("lobbyist.registration_number")), "good")
+    return good.select("lobbyist.registration_number"), {"lobbyist_registrations": conform(lobbyist.lobbyist_rows(good), "lobbyist_registrations")}
 
 
-def lobbyist_tables(parsed: DataFrame, tables) -> dict[str, DataFrame]:
-    rows = lobbyist.lobbyist_rows(dedupe_batch(parsed, F.col("lobbyist.registration_number")))
-    return {"lobbyist_registrations": upsert_parent(tables("lobbyist_registrations"), rows, "lobbyist_registrations")}
+#: Kind -> parser, and what the tables get.
+KINDS = {"company": (company.parse_companies, company_tables), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables)}
+LOG = "ingest_log"
 
 
-#: Kind -> parser, tables, and where a parsed page has its key.
-KINDS = {"company": (company.parse_companies, company_tables, "company.number"), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables, "lobbyist.registration_number")}
-BUCKETS = 32
+def replaced_by(name: str) -> tuple[str, ...]:
+    """The column whose values a load replaces: the key, or a child's parent; none for the log."""
+    spec = TABLES[name]
+    return () if name == LOG else (spec.parent or spec.key[0],)
 
 
 class Store:
-    """The tables under a root folder, in buckets by the parent's key; the log is appended to."""
+    """The tables under a root folder. A load adds a run to the tables of its kind; the log is appended to."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.versions, self.buckets = spark, Buckets(spark, root), buckets
-
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("string")
+    def __init__(self, spark: SparkSession, root: str, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.versions = spark, Tables(spark, root, bucket_bytes)
 
     def table(self, name: str) -> DataFrame:
-        return self.versions.read(name, TABLES[name].schema)
+        return self.versions.read(name, TABLES[name].schema, replaced_by(name))
 
     def rows_of(self, name: str, key: str) -> DataFrame:
-        """The rows of one parent's key, from its bucket's files alone."""
-        spec = TABLES[name]
-        bucket = self.spark.range(1).select(self._bucket(F.lit(key))).first()[0]
-        return self.versions.read(name, spec.schema, [bucket]).where(F.col(spec.parent or spec.key[0]) == key)
+        """The rows of one parent's key, from its bucket's files and the runs alone."""
+        return self.versions.read(name, TABLES[name].schema, replaced_by(name), values=(key,))
 
     def ingest(self, pages: DataFrame, kind: str, log: bool = True, batch: tuple[str, int] | None = None) -> int:
         """Load detail pages (key, html) and publish the next version, which is returned. A failed page leaves earlier rows as they are.
 
-        Only the buckets of the loaded keys are written. `batch` names a stream and the number of its batch: one that
-        is published already is not loaded again, so a replay changes nothing.
+        What is written grows with the pages, not with the tables. If another load publishes meanwhile, this one goes on top of it.
+        `batch` names a stream and the number of its batch: one that is published already is not loaded again, so a replay
+        changes nothing.
         """
         if kind not in KINDS:
             raise ValueError(f"unknown ingest kind: {kind!r}")
-        state = self.versions.state()
-        if batch and state["notes"].get(f"batch {batch[0]}", -1) >= batch[1]:
+        done = lambda state: bool(batch) and state["notes"].get(f"batch {batch[0]}", -1) >= batch[1]
+        if done(state := self.versions.state()):
             return state["version"]
-        parse, build, number = KINDS[kind]
+        parse, rows_for = KINDS[kind]
         parsed = kept(parse(pages.select("key", "html")), kind)
-        touched = [r[0] for r in parsed.where("parse_error IS NULL").select(self._bucket(F.col(number))).distinct().collect()]  # as many as there are buckets
-        for name, df in build(parsed, lambda name: self.versions.read(name, TABLES[name].schema, touched, state)).items():
-            spec = TABLES[name]
-            self.versions.replace(state, name, df, self._bucket(F.col(spec.parent or spec.key[0])), touched)
-        if log:
-            rows, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
-            self.versions.append(state, "ingest_log", rows)
-        if batch:
-            state["notes"][f"batch {batch[0]}"] = batch[1]
-        return self.versions.publish(state)
+        keys, rows = rows_for(parsed)
+        named = self.versions.write_keys(keys, kind)
+        written = {name: self.versions.write(df, name) for name, df in rows.items()}
+
+        def change(state: dict) -> bool | None:
+            if done(state):
+                return False
+            for name, run in written.items():
+                self.versions.add(state, name, run, named)
+            if log:
+                made, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
+                self.versions.append(state, LOG, self.versions.write(made, LOG))
+            if batch:
+                state["notes"][f"batch {batch[0]}"] = batch[1]
+
+        version = self.versions.commit(change)
+        for name in (*written, LOG):
+            self.versions.tend(name, TABLES[name].schema, replaced_by(name))
+        return version
+
+    def merge(self) -> None:
+        """Merge the runs of all tables into their bases."""
+        for name in TABLES:
+            if key := replaced_by(name):
+                self.versions.merge(name, TABLES[name].schema, key)
 
     def ingest_one(self, kind: str, key: str, html: str) -> int:
         """One page, without the log."""

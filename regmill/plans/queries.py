@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text
 from ..operators import company, lobbyist, planning, search, upsert
 from ..sources import files, pages, schemas, storage
@@ -273,6 +274,15 @@ def lobbyist_raw_json(spark, sf_dir):
     return raw.select("registration_number", field("registration_text", "lblRegistrationDate"), field("effective_text", "lblEffectiveDate"), field("firm", "lblFirmName"), "n_fields")
 
 
+@query(
+    """SELECT 'CL-' || o_orderkey AS registration_number, o_orderpriority AS city, CASE WHEN o_orderkey % 5 = 0 THEN 'open' || chr(10) || 'still' ELSE o_orderstatus END AS status,
+'a' || chr(10) || 'b' || chr(10) || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'c' || chr(10) || '<' || chr(10) || 'd' AS organization_description, CAST(o_orderdate AS DATE) AS amended_date,
+CASE WHEN o_orderkey % 5 = 0 THEN 'next' END AS particulars, CAST(5 + (o_orderkey % 5 = 0)::INT AS INT) AS n_fields FROM orders""", dates=('amended_date',))
+def lobbyist_nested(spark, sf_dir):
+    found = lobbyist.lobbyist_rows(lobbyist.parse_lobbyists(render.nested_pages(spark, sf_dir)))
+    return found.select("registration_number", F.col("firm_city").alias("city"), "status", "organization_description", "amended_date", "particulars", F.size("raw_fields").alias("n_fields"))
+
+
 @query(
     LOBBYISTS
     + """ SELECT registration_number, lobbyist_type, status, contact_name, firm_name, effective_date FROM lob WHERE contact_name ILIKE '%contact_1%' OR firm_name ILIKE '%contact_1%'
@@ -312,17 +322,13 @@ def lobbyist_hits(spark, sf_dir):
 SELECT CAST(p + 1 AS INT) AS page_no, CAST(n AS INT) AS total, CAST(p * 10 + 1 AS INT) AS first, CAST(p * 10 + rows AS INT) AS last, p * 10 + rows < n AS has_next, CAST(rows AS INT) AS hits FROM p, t"""
 )
 def paging(spark, sf_dir):
-    shown = lobbyist.viewing_range("html")
-    return render.lobbyist_list_pages(spark, sf_dir).select(
-        "page_no", lobbyist.total_records("html").alias("total"), shown["first"].alias("first"), shown["last"].alias("last"), lobbyist.has_next_page("html").alias("has_next"),
-        F.size(lobbyist.hit_row_indices("html")).alias("hits"),
-    )
+    marked = L.once(render.lobbyist_list_pages(spark, sf_dir), "marks", lobbyist.page_marks("html"))
+    return marked.select("page_no", "marks.total", "marks.first", "marks.last", F.col("marks.more").alias("has_next"), F.size(lobbyist.hit_row_indices("html")).alias("hits"))
 
 
 @query("WITH t AS (SELECT count(*) AS n FROM customer), p AS (SELECT c_custkey // 10 AS p, count(*) AS r FROM customer GROUP BY 1) SELECT 'n' || (p + 1) AS key, CAST(n AS INT) AS total, (p * 10 + 1) || '-' || (p * 10 + r) AS viewing FROM p, t")
 def search_totals(spark, sf_dir):
-    totals = company.search_totals("html")
-    return render.company_list_pages(spark, sf_dir).select("key", totals["total"].alias("total"), totals["viewing"].alias("viewing"))
+    return L.once(render.company_list_pages(spark, sf_dir), "totals", company.search_totals("html")).select("key", "totals.total", "totals.viewing")
 
 
 @query(r"SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages")
@@ -378,6 +384,14 @@ def upsert_replace(spark, sf_dir):
     return two_runs(spark, sf_dir).table("companies").select("number", "name", "status", "ro_city")
 
 
+@query(COMPANIES + " SELECT number, name, CASE WHEN k % 2 = 0 THEN 'Previous Name' ELSE status END AS status, ro_city FROM co")
+def upsert_merged(spark, sf_dir):
+    """The same after the runs were merged into a base."""
+    store = two_runs(spark, sf_dir)
+    store.merge()
+    return store.table("companies").select("number", "name", "status", "ro_city")
+
+
 @query(
     DIRECTORS
     + NAMES.removeprefix(COMPANIES)
@@ -530,6 +544,22 @@ def pages_dropped(spark, sf_dir):
     return pages.drop_pages(manifest, unwanted)[1].select("key")
 
 
+@query(
+    """SELECT 'left in web' AS what, count(*) FILTER (page_id % 3 <> 0) AS n, sum(page_id) FILTER (page_id % 3 <> 0)::BIGINT AS ids FROM pages UNION ALL SELECT 'left in other', count(*), sum(page_id)::BIGINT FROM pages
+UNION ALL SELECT 'removed', count(*) FILTER (page_id % 3 = 0), sum(page_id) FILTER (page_id % 3 = 0)::BIGINT FROM pages"""
+)
+def pages_removed(spark, sf_dir):
+    """Pages of two registries; every third of one is removed, and keys that no page has; then all is merged and read again."""
+    where, key = storage.scratch(spark, "landed"), F.col("page_id").cast("string").alias("key")
+    raw = render.table(spark, sf_dir, "pages").select(key, "html", "url", F.explode(F.array(F.lit("web"), F.lit("other"))).alias("registry"), F.lit("detail").alias("kind"))
+    pages.land_pages(raw, where)
+    unwanted = raw.where("registry = 'web' AND CAST(key AS BIGINT) % 3 = 0").withColumn("key", F.explode(F.array("key", F.concat(F.lit("absent-"), "key"))))
+    gone = pages.remove_pages(spark, where, unwanted)
+    pages.merge_pages(spark, where)
+    left = pages.landed(spark, where).select(F.concat(F.lit("left in "), "registry").alias("what"), "key")
+    return left.unionByName(gone.select(F.lit("removed").alias("what"), "key")).groupBy("what").agg(F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("ids"))
+
+
 @query("SELECT sum(octet_length(encode(html)) + 1)::BIGINT AS bytes FROM pages")
 def landing_size(spark, sf_dir):
     where = storage.scratch(spark, "files")
@@ -610,6 +640,24 @@ def index_complete(spark, sf_dir):
     return planning.index_complete(render.lobbyist_list_pages(spark, sf_dir))
 
 
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_custkey // 10 + 1 AS p FROM customer WHERE (c_custkey // 10 + 1) % 7 NOT IN (3, 4)), d AS (SELECT DISTINCT p FROM c),
+last AS (SELECT max(p) AS l, (SELECT max(c_custkey // 10 + 1) FROM customer) AS whole FROM d), back AS (SELECT p, coalesce(lag(p) OVER (ORDER BY p), 0) AS b FROM d)
+SELECT 'missing' AS problem, b + 1 AS first, p - 1 AS last, CAST(NULL AS VARCHAR) AS registration_number, 1 AS times FROM back WHERE p > b + 1
+UNION ALL SELECT 'fetched again', p, p, NULL, 2 FROM d WHERE p % 5 = 0
+UNION ALL SELECT 'repeated', min(p), max(p), 'CL-' || k, 2 FROM (SELECT k, p FROM c UNION ALL SELECT k, 1000000 + p FROM c WHERE p % 6 = 1) GROUP BY k HAVING count(*) > 1
+UNION ALL SELECT 'no end', 1000000 + max(p), 1000000 + max(p), NULL, 1 FROM d, last WHERE p % 6 = 1 HAVING max(p) < max(whole)
+UNION ALL SELECT 'end', p, p, NULL, 1 FROM d, last WHERE p = whole AND EXISTS (SELECT 1 FROM d WHERE d.p % 6 = 1)
+UNION ALL SELECT 'missing', l + 1, 1000000 + (SELECT min(p) FROM d WHERE p % 6 = 1) - 1, NULL, 1 FROM last WHERE EXISTS (SELECT 1 FROM d WHERE d.p % 6 = 1)
+UNION ALL SELECT 'missing', 1000000 + b + 1, 1000000 + p - 1, NULL, 1 FROM (SELECT p, lag(p) OVER (ORDER BY p) AS b FROM d WHERE p % 6 = 1) WHERE p > b + 1"""
+)
+def index_gaps(spark, sf_dir):
+    """Some pages are missing, some were fetched twice, and some stand a second time under far numbers, with the same entries."""
+    whole = render.lobbyist_list_pages(spark, sf_dir).withColumn("page_no", F.col("page_no").cast("long")).where("page_no % 7 NOT IN (3, 4)")
+    far = whole.where("page_no % 6 = 1").withColumn("page_no", F.col("page_no") + 1_000_000)
+    return planning.index_gaps(whole.unionByName(whole.where("page_no % 5 = 0")).unionByName(far))
+
+
 @query(
     """SELECT CAST(c_custkey // 10 + 1 AS INT) AS page_no, string_agg((c_custkey % 10 + 1) || ':CL-' || c_custkey, ' ' ORDER BY c_custkey) AS entries
 FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1"""

@@ -47,6 +47,7 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(_suppliers(spark, sf_dir), "c_custkey", "left")
         .join(parts.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("name1")), "c_custkey", "left")
         .join(parts.select((F.col("p_partkey") - 1).alias("c_custkey"), F.col("p_name").alias("name2")), "c_custkey", "left")
+        .repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # small rows that become large pages: not for one task
     )
     k = F.col("c_custkey")
     every = lambda n: k % n == 0
@@ -109,7 +110,8 @@ def lobbyist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     prefix = F.when(k % 17 == 0, "XX").when(k % 2 == 0, "CL").otherwise("IHL")
     number = F.concat_ws("-", prefix, k.cast("string"), F.col("o_custkey").cast("string"))
-    label = lambda name, value: F.concat(F.lit(f'<p class="x" id="{name}">'), value, F.lit("</p>\n"))
+    head = lambda name: F.when(k % 3 == 0, f"<P ID='{name}' class=x>").otherwise(f'<p class="x" id="{name}">')
+    label = lambda name, value: F.concat(head(name), value, F.lit("</p>\n"))
     html = F.concat(
         F.lit("<html><body>\n"),
         F.when(k % 103 == 0, label("lblRegistrationNumber", F.lit(" "))).otherwise(label("lblRegistrationNumber", number)),
@@ -123,6 +125,28 @@ def lobbyist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number.alias("key"), html.alias("html"), "o_orderkey")
 
 
+def _opening(key: Column, name: str) -> Column:
+    """A begin tag with an id, in shapes that browsers take: other attributes before it, other quotes or none, other elements."""
+    return F.when(key % 3 == 0, f"<SPAN class=\"v\" id='{name}'>").when(key % 3 == 1, f'<div title="a > b" ID = {name}>').otherwise(f'<span id="{name}">')
+
+
+def _closing(key: Column) -> Column:
+    return F.when(key % 3 == 1, "</DIV>").otherwise("</span>")
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, html and o_orderkey of registrations whose labels stand in labels and hold elements of their own kind, one for each order."""
+    k, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    label = lambda name, *parts: F.concat(_opening(k, name), *parts, _closing(k))
+    inner = label("lblAmendedDate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    body = F.concat(
+        F.lit("<table><tr><td>"), label("lblRegistrationNumber", F.lit("CL-"), text("o_orderkey")), F.lit("<td id=lblCityF>"), F.col("o_orderpriority"), F.lit("<tr><td>"),
+        label("lblOrgDesc", F.lit("a"), _opening(k, "x"), F.lit("b<br>"), inner, _closing(k), F.lit("c <script>var t = '<p id=lblNone>no</p>';</script>&lt;<!-- <b id=\"lblNone\">no</b> -->d")),
+        F.lit("</table>"), F.when(k % 5 == 0, F.lit("<p id='lblStatus'>open <br>still<p id='lblParticulars'>next")).otherwise(label("lblStatus", F.col("o_orderstatus"))),
+    )
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("CL-"), text("o_orderkey")).alias("key"), body.alias("html"), "o_orderkey")
+
+
 PAGE = 10
 
 
@@ -131,7 +155,8 @@ def _pages_of(rows: DataFrame, key: str, line: Column, head: Column, tail: str)
     total = rows.agg(F.count("*").alias("total"), F.lit(1).alias("_one"))
     grouped = rows.select(F.col(key).alias("k"), line.alias("line"), F.floor(F.col(key) / PAGE).alias("p")).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("ls"))
     first, last = F.col("p") * PAGE + 1, F.col("p") * PAGE + F.size("ls")
-    shown = F.concat(F.lit('<span id="lblViewingRecords">'), first.cast("string"), F.lit("-"), last.cast("string"), F.lit('</span><span id="lblRecordsFound"> '), F.col("total").cast("string"), F.lit("</span>"))
+    mark = lambda name, value: F.concat(_opening(F.col("p"), name), F.lit("<!-- x --><i> </i>"), value, _closing(F.col("p")))
+    shown = F.concat(mark("lblViewingRecords", F.concat(first.cast("string"), F.lit("-<b>"), last.cast("string"), F.lit("</b>"))), mark("lblRecordsFound", F.col("total").cast("string")))
     html = F.concat(head, shown, F.array_join(F.transform("ls", lambda x: x["line"]), ""), F.lit(tail))
     return grouped.withColumn("_one", F.lit(1)).join(total, "_one").select((F.col("p") + 1).cast("int").alias("page_no"), html.alias("html"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import safe_key, shard_key
-from .storage import Buckets, exists, scratch
+from .storage import Tables, exists, kept
 
-LANDED = "key string, html string, url string, registry string, kind string, shard string"
+LANDED = StructType([StructField(c, StringType()) for c in ("key", "html", "url", "registry", "kind", "shard")])
 DETAIL, LISTED = ".html.gz", ".list.html.gz"
 
 
@@ -37,24 +38,19 @@ def scan_list_pages(spark: SparkSession, *folders: str, suffix: str = LISTED) ->
     return out
 
 
-#: The landed table in a store of buckets, one for each shard of a registry's kind.
-TABLE = "pages"
-
-
-def _bucket() -> Column:
-    return F.substring(F.sha2(F.concat_ws("/", "registry", "kind", "shard"), 256), 1, 16)
+#: The landed table; its key.
+TABLE, KEY = "pages", ("registry", "kind", "key")
 
 
 def landed(spark: SparkSession, root: str) -> DataFrame:
     """The landed pages, empty if there are none."""
-    return Buckets(spark, root).read(TABLE, LANDED)
+    return Tables(spark, root).read(TABLE, LANDED, KEY)
 
 
 def landed_page(spark: SparkSession, root: str, registry: str, kind: str, key: str) -> DataFrame:
-    """One page, from its shard's files alone."""
-    wanted = to_land(spark.createDataFrame([(key, None, None, registry, kind)], "key string, html string, url string, registry string, kind string"))
-    row = wanted.select("key", _bucket().alias("bucket")).first()
-    return Buckets(spark, root).read(TABLE, LANDED, [row.bucket]).where((F.col("registry") == registry) & (F.col("kind") == kind) & (F.col("key") == row.key))
+    """One page, from its bucket's files and the latest loads alone."""
+    safe = spark.range(1).select(safe_key(F.lit(key))).first()[0]
+    return Tables(spark, root).read(TABLE, LANDED, KEY, values=(registry, kind, safe))
 
 
 def to_land(pages: DataFrame) -> DataFrame:
@@ -65,30 +61,50 @@ def to_land(pages: DataFrame) -> DataFrame:
 def land_pages(pages: DataFrame, root: str) -> int:
     """Put pages (registry, kind, key, html, url) into a landed table; they replace those of the same registry, kind and key.
 
-    Only the shards of the given pages are written again. Of several pages of one key the one with the greatest text stays.
+    Only the given pages are written. Of several pages of one key the one with the greatest text stays.
     """
-    spark, identity = pages.sparkSession, ["registry", "kind", "key"]
-    where = scratch(spark, "to-land")
-    to_land(pages).write.parquet(where)
-    sent = spark.read.schema(LANDED).parquet(where)
-    best = sent.groupBy(*identity, "shard").agg(F.max(F.struct("html", "url")).alias("p"))
+    best = to_land(pages).groupBy(*KEY, "shard").agg(F.max(F.struct("html", "url")).alias("p"))
     new = best.select("key", F.col("p.html").alias("html"), F.col("p.url").alias("url"), "registry", "kind", "shard")
-    store = Buckets(spark, root)
-    state = store.state()
-    touched = [r[0] for r in sent.select(_bucket()).distinct().collect()]  # shards: two characters of a key each
-    kept = store.read(TABLE, LANDED, touched, state).join(sent.select(*identity).distinct(), identity, "left_anti")
-    store.replace(state, TABLE, kept.select(*new.columns).unionByName(new), _bucket(), touched)
-    return store.publish(state)
+    tables = Tables(pages.sparkSession, root)
+    rows = tables.write(new, TABLE)
+    keys = tables.write_keys(pages.sparkSession.read.schema(LANDED).parquet(f"{tables.root}/{rows['folder']}").select(*KEY), TABLE)
+    version = tables.commit(lambda state: tables.add(state, TABLE, rows, keys))
+    tables.tend(TABLE, LANDED, KEY)
+    return version
+
+
+def remove_pages(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """Take the pages with the given (registry, kind, key) out of a landed table; returns those of them that were there.
+
+    Their keys are written as a run without rows; the pages themselves go at the next merge.
+    """
+    tables = Tables(spark, root)
+    wanted = kept(keys.select("registry", "kind", safe_key("key").alias("key")).distinct(), "unwanted")
+    there = kept(wanted.join(landed(spark, root).select(*KEY), list(KEY), "left_semi"), "removed")
+    named = tables.write_keys(wanted.select(*KEY), TABLE)
+    tables.commit(lambda state: tables.add(state, TABLE, None, named))
+    tables.tend(TABLE, LANDED, KEY)
+    return there
+
+
+def merge_pages(spark: SparkSession, root: str) -> int:
+    """Merge the latest loads and removals into the landed table's base."""
+    return Tables(spark, root).merge(TABLE, LANDED, KEY)
+
+
+def _shared_key(a: DataFrame, b: DataFrame) -> list[str]:
+    return [c for c in KEY if c in a.columns and c in b.columns]
 
 
 def has_page(keys: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Of (kind, key), those that are landed."""
-    return keys.join(manifest.select("kind", "key"), ["kind", "key"], "left_semi")
+    """Of (registry, kind, key), those that are landed; where neither side names a registry, (kind, key) decides."""
+    on = _shared_key(keys, manifest)
+    return keys.join(manifest.select(*on), on, "left_semi")
 
 
 def drop_pages(table: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The table without the given (kind, key), and those of them that were there."""
-    return table.join(keys, ["kind", "key"], "left_anti"), has_page(keys, table)
+    """A frame of pages without the given keys, and those of them that were there."""
+    return table.join(keys, _shared_key(table, keys), "left_anti"), has_page(keys, table)
 
 
 def landing_size(spark: SparkSession, folder: str) -> DataFrame:

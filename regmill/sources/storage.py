@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+#: Bytes that a bucket of a base has, about; runs that a table may have before they are folded; tries to publish a change.
+BUCKET_BYTES, RUNS, ATTEMPTS = 128 << 20, 16, 8
 
 
 def path_of(spark: SparkSession, where: str):
@@ -42,33 +49,48 @@ def scratch(spark: SparkSession, name: str) -> str:
     return where
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder: what is made from it reads it from there."""
+    where = scratch(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 class Conflict(RuntimeError):
     """Another load published the version that this one was to become."""
 
 
-class Buckets:
-    """Tables in buckets of rows. A version lists the folder of every bucket, so a load writes the buckets that it changes only.
+class Tables:
+    """Tables that are replaced by key and merged on read.
 
-    A version is a file that gets the next number as its name when it is whole, or not at all if another load has that
-    number; folders of rows have names of their own, so loads at one time never write into one another's, and a load
-    that breaks off leaves nothing that a later one would stumble over.
+    A table is a base, in buckets of its keys' hashes, and runs on top of it. A load adds one run: new rows, and the keys whose
+    earlier rows they take the place of; a key without rows is deleted. Reading keeps each key's rows of the last run that names it, and the
+    base's rows of all other keys. So a load writes in proportion to itself, and loads of different keys do not disturb
+    each other. `tend` folds runs when there are many, and merges them into a new base when they have become large beside it; a
+    base has as many buckets as its bytes ask for.
+
+    A version is a file that lists all of this. It gets the next number as its name when it is whole, or not at all if another load
+    has that number; a change that comes too late is made again on the newer version. Folders have names of their own, so a
+    load that breaks off leaves nothing that a later one would stumble over; `sweep` removes such folders.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.root, self.bucket_bytes = spark, root.rstrip("/"), bucket_bytes
+
+    # -- versions
 
     def _numbers(self) -> list[int]:
         fs, path = path_of(self.spark, f"{self.root}/_versions")
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return [int(n) for n in names if n.isdigit()]
+        return sorted(int(n) for n in names if n.isdigit())
 
     def current(self) -> int:
         """The newest published version, 0 for none."""
-        return self.state()["version"]
+        return max(self._numbers(), default=0)
 
-    def state(self) -> dict:
-        """What the newest version lists."""
-        version = max(self._numbers(), default=0)
+    def state(self, version: int | None = None) -> dict:
+        """What a version lists, the newest if none is named."""
+        version = self.current() if version is None else version
         if not version:
             return {"version": 0, "tables": {}, "appended": {}, "notes": {}}
         fs, path = path_of(self.spark, f"{self.root}/_versions/{version}")
@@ -79,34 +101,6 @@ class Buckets:
             stream.close()
         return json.loads(text) | {"version": version}
 
-    def read(self, name: str, schema, buckets: list[str] | None = None, state: dict | None = None) -> DataFrame:
-        """A table of the current version, or some buckets of it; empty if there is none."""
-        state = state or self.state()
-        held = state["tables"].get(name, {})
-        folders = [f for b, f in held.items() if buckets is None or b in buckets] + (state["appended"].get(name, []) if buckets is None else [])
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
-
-    def _written(self, df: DataFrame, name: str, bucket: Column | None) -> str:
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        if bucket is None:
-            df.write.parquet(f"{self.root}/{folder}")
-        else:
-            df.withColumn("_bucket", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
-        return folder
-
-    def replace(self, state: dict, name: str, df: DataFrame, bucket: Column, touched: list[str]) -> None:
-        """Put df in the place of the touched buckets; its rows belong to no others."""
-        folder = self._written(df, name, bucket)
-        fs, path = path_of(self.spark, f"{self.root}/{folder}")
-        made = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("_bucket=")]
-        held = {b: f for b, f in state["tables"].get(name, {}).items() if b not in touched}
-        state["tables"][name] = held | {m.removeprefix("_bucket="): f"{folder}/{m}" for m in made}
-
-    def append(self, state: dict, name: str, df: DataFrame) -> None:
-        state["appended"].setdefault(name, []).append(self._written(df, name, None))
-
     def publish(self, state: dict) -> int:
         """Make the state the next version; raises Conflict if another load was first."""
         version, context = state["version"] + 1, self.spark.sparkContext
@@ -123,3 +117,176 @@ class Buckets:
             fs.delete(made, False)
             raise Conflict(f"version {version} is there already") from e
         return version
+
+    def commit(self, change: Callable[[dict], bool | None]) -> int:
+        """Publish the newest version with a change made to it, again on a newer one if another load was first. A change that
+        returns False is none."""
+        for left in reversed(range(ATTEMPTS)):
+            state = self.state()
+            if change(state) is False:
+                return state["version"]
+            try:
+                return self.publish(state)
+            except Conflict:
+                if not left:
+                    raise
+
+    # -- writing
+
+    def write(self, df: DataFrame, name: str) -> dict:
+        """A new folder with the rows of df, and its bytes; no version lists it yet."""
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return self._measured(folder)
+
+    def _measured(self, folder: str) -> dict:
+        fs, path = path_of(self.spark, f"{self.root}/{folder}")
+        return {"folder": folder, "bytes": fs.getContentSummary(path).getLength()}
+
+    def write_keys(self, keys: DataFrame, name: str) -> dict:
+        """A new folder with keys, whatever their columns are called."""
+        return self.write(keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys.columns)]).distinct(), f"{name}-keys")
+
+    @staticmethod
+    def add(state: dict, name: str, rows: dict | None, keys: dict) -> None:
+        """Put a run on top of a table: rows (None to delete the keys only) and the keys that they replace."""
+        state["tables"].setdefault(name, {"base": None, "runs": []})["runs"].append({"rows": rows, "keys": keys})
+
+    @staticmethod
+    def append(state: dict, name: str, rows: dict) -> None:
+        """Put rows behind those of a table without a key."""
+        state["appended"].setdefault(name, []).append(rows)
+
+    # -- reading
+
+    def _read(self, schema, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def _runs(self, runs: list[dict], part: str, schema) -> DataFrame | None:
+        """The rows or keys of runs with the run's number under _run."""
+        parts = [self._read(schema, [r[part]["folder"]]).withColumn("_run", F.lit(i)) for i, r in enumerate(runs) if r[part]]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _last(self, runs: list[dict], schema: StructType, key: tuple[str, ...]) -> DataFrame:
+        """The keys of runs, under their names in the table, with the number of the last run of each."""
+        named = StructType([StructField(f"_k{i}", schema[c].dataType) for i, c in enumerate(key)])
+        keys = self._runs(runs, "keys", named)
+        return keys.groupBy(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(key)]).agg(F.max("_run").alias("_run"))
+
+    def _newest(self, runs: list[dict], schema: StructType, key: tuple[str, ...]) -> DataFrame | None:
+        rows = self._runs(runs, "rows", schema)
+        return rows.join(self._last(runs, schema, key), [*key, "_run"]).select(*schema.names) if rows is not None else None
+
+    def read(self, name: str, schema: StructType, key: tuple[str, ...] = (), state: dict | None = None, values: tuple | None = None) -> DataFrame:
+        """A table of a version, the newest if none is given; with `values` the rows of that key only, from its bucket and the runs."""
+        state = self.state() if state is None else state
+        if not key:
+            folders = [x["folder"] for x in state["appended"].get(name, [])]
+            return self._read(schema, folders) if folders else self.spark.createDataFrame([], schema)
+        held = state["tables"].get(name, {"base": None, "runs": []})
+        parts = []
+        if held["base"]:
+            bucket = "" if values is None else f"/_bucket={self._bucket_of(values, held['base']['buckets'])}"
+            fs, path = path_of(self.spark, f"{self.root}/{held['base']['folder']}{bucket}")
+            if fs.exists(path):
+                base = self._read(schema, [f"{held['base']['folder']}{bucket}"])
+                parts.append(base.join(self._last(held["runs"], schema, key), list(key), "left_anti") if held["runs"] else base)
+        newest = self._newest(held["runs"], schema, key) if held["runs"] else None
+        parts = [p.select(*schema.names) for p in (*parts, newest) if p is not None]
+        found = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        for c, v in zip(key, values or (), strict=False):
+            found = found.where(F.col(c) == v)
+        return found
+
+    def _bucket_of(self, values: tuple, buckets: int) -> int:
+        return self.spark.range(1).select(F.pmod(F.xxhash64(*[F.lit(v) for v in values]), F.lit(buckets))).first()[0]
+
+    # -- keeping in shape
+
+    def merge(self, name: str, schema: StructType, key: tuple[str, ...]) -> int:
+        """Make all rows of a table its base, in buckets of about bucket_bytes; runs that are added meanwhile stay on top."""
+        held = self.state()["tables"].get(name)
+        if not held or not held["runs"]:
+            return self.current()
+        size = sum(x["bytes"] for x in (held["base"], *[r["rows"] for r in held["runs"]]) if x)
+        buckets = 1 << max(0, (size // self.bucket_bytes).bit_length())
+        rows = self.read(name, schema, key, {"tables": {name: held}}).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        # the planner splits a bucket that is much larger than others
+        rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *key).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        base, done = self._measured(folder) | {"buckets": buckets}, len(held["runs"])
+
+        def change(state: dict) -> bool | None:
+            now = state["tables"][name]
+            if now["base"] != held["base"] or now["runs"][:done] != held["runs"]:
+                return False  # another merge was first
+            state["tables"][name] = {"base": base, "runs": now["runs"][done:]}
+
+        return self.commit(change)
+
+    def fold(self, name: str, schema: StructType, key: tuple[str, ...]) -> int:
+        """Make all runs of a table one."""
+        runs = self.state()["tables"].get(name, {"runs": []})["runs"]
+        if len(runs) < 2:
+            return self.current()
+        newest = self._newest(runs, schema, key)
+        folded = {"rows": newest if newest is None else self.write(newest, name), "keys": self.write_keys(self._last(runs, schema, key).select(*key), name)}
+
+        def change(state: dict) -> bool | None:
+            now = state["tables"][name]
+            if now["runs"][: len(runs)] != runs:
+                return False
+            now["runs"] = [folded, *now["runs"][len(runs) :]]
+
+        return self.commit(change)
+
+    def pack(self, name: str, schema: StructType) -> int:
+        """Put the small folders of an appended table into one."""
+        small = [x for x in self.state()["appended"].get(name, []) if 4 * x["bytes"] < self.bucket_bytes]
+        if len(small) < 2:
+            return self.current()
+        packed = self.write(self._read(schema, [x["folder"] for x in small]).hint("rebalance"), name)
+
+        def change(state: dict) -> bool | None:
+            now = state["appended"].get(name, [])
+            if any(x not in now for x in small):
+                return False
+            state["appended"][name] = [packed, *[x for x in now if x not in small]]
+
+        return self.commit(change)
+
+    def tend(self, name: str, schema: StructType, key: tuple[str, ...] = ()) -> None:
+        """Fold, merge or pack a table that has more than RUNS runs, or small folders."""
+        state = self.state()
+        if not key:
+            if sum(4 * x["bytes"] < self.bucket_bytes for x in state["appended"].get(name, [])) > RUNS:
+                self.pack(name, schema)
+            return
+        held = state["tables"].get(name, {"base": None, "runs": []})
+        if len(held["runs"]) > RUNS:
+            on_top, below = sum(r["rows"]["bytes"] for r in held["runs"] if r["rows"]), held["base"]["bytes"] if held["base"] else 0
+            (self.merge if 2 * on_top >= below else self.fold)(name, schema, key)
+
+    def sweep(self, keep: int = 2, grace: float = 86_400.0) -> list[str]:
+        """Remove the versions before the last `keep`, and the folders that none of those list and that are `grace` seconds old.
+
+        The grace covers loads that have written but not published, and readers of the versions that go. One name for each folder is
+        what the driver sees.
+        """
+        numbers = self._numbers()
+        kept_, listed = numbers[-keep:], set()
+        for n in kept_:
+            state = self.state(n)
+            runs = [r for t in state["tables"].values() for r in ({"rows": t["base"], "keys": None}, *t["runs"])]
+            listed |= {x["folder"] for r in runs for x in (r["rows"], r["keys"]) if x} | {x["folder"] for xs in state["appended"].values() for x in xs}
+        fs, data = path_of(self.spark, f"{self.root}/data")
+        before, gone = (time.time() - grace) * 1000, []
+        for table in fs.listStatus(data) if fs.exists(data) else []:
+            for made in fs.listStatus(table.getPath()):
+                folder = f"data/{table.getPath().getName()}/{made.getPath().getName()}"
+                if folder not in listed and made.getModificationTime() <= before:
+                    fs.delete(made.getPath(), True)
+                    gone.append(folder)
+        for n in numbers[:-keep]:
+            fs.delete(path_of(self.spark, f"{self.root}/_versions/{n}")[1], False)
+        return gone

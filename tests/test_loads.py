@@ -99,10 +99,8 @@ def test_landing_replaces_by_key(spark, tmp_path):
     a = str(tmp_path / "a")
     make = lambda rows: spark.createDataFrame(rows, "registry string, kind string, key string, html string, url string")
     pages.land_pages(make([("c", "detail", "00", "one", ""), ("c", "list", "00", "l", ""), ("c", "detail", "9/", "other", "")]), a)
-    before = pages.Buckets(spark, a).state()["tables"]["pages"]
     pages.land_pages(make([("c", "detail", "00", "two", ""), ("c", "detail", "00", "three", "")]), a)
-    after = pages.Buckets(spark, a).state()["tables"]["pages"]
-    assert len(before) == 3 and sum(before[b] != after[b] for b in before) == 1
+    assert len(storage.Tables(spark, a).state()["tables"]["pages"]["runs"]) == 2
     got = sorted((r.kind, r.key, r.html, r.shard) for r in pages.landed(spark, a).collect())
     assert got == [("detail", "00", "two", "00"), ("detail", "9_", "other", "9_"), ("list", "00", "l", "00")]
     assert [r.html for r in pages.landed_page(spark, a, "c", "detail", "9/").collect()] == ["other"]
@@ -110,6 +108,24 @@ def test_landing_replaces_by_key(spark, tmp_path):
     assert (kept.count(), gone.count()) == (1, 1)
 
 
+def test_removed_pages_are_gone_before_and_after_a_merge(spark, tmp_path):
+    a = str(tmp_path / "a")
+    make = lambda rows: spark.createDataFrame(rows, "registry string, kind string, key string, html string, url string")
+    keys = lambda *rows: spark.createDataFrame(rows, "registry string, kind string, key string")
+    left = lambda: sorted((r.registry, r.kind, r.key, r.html) for r in pages.landed(spark, a).collect())
+    assert pages.remove_pages(spark, a, keys(("c", "detail", "1"))).count() == 0 and left() == []
+    pages.land_pages(make([(r, k, n, r + k + n, "") for r in "cd" for k in ("detail", "list") for n in ("1", "2/")]), a)
+    pages.merge_pages(spark, a)
+    gone = pages.remove_pages(spark, a, keys(("c", "detail", "2/"), ("c", "detail", "2/"), ("c", "list", "9"), ("d", "list", "1"))).collect()
+    assert sorted(map(tuple, gone)) == [("c", "detail", "2_"), ("d", "list", "1")]
+    want = sorted((r, k, n, r + k + n.replace("_", "/")) for r in "cd" for k in ("detail", "list") for n in ("1", "2_") if (r, k, n) not in (("c", "detail", "2_"), ("d", "list", "1")))
+    assert left() == want and pages.landed_page(spark, a, "d", "list", "1").count() == 0
+    pages.merge_pages(spark, a)
+    assert left() == want and [r.html for r in pages.landed_page(spark, a, "d", "list", "2/").collect()] == ["dlist2/"]
+    pages.land_pages(make([("d", "list", "1", "back", "")]), a)
+    assert ("d", "list", "1", "back") in left() and pages.has_page(keys(("d", "list", "1"), ("x", "list", "1")), pages.landed(spark, a)).count() == 1
+
+
 def test_csv_and_error_log(spark, tmp_path):
     schema = "a string, d date, b boolean, n int"
     rows = spark.sql("SELECT 'say \"x\",\n\\\\ y' AS a, date'2004-07-03' AS d, true AS b, 1 AS n UNION ALL SELECT null, null, false, null UNION ALL SELECT 'é', null, null, 3")
@@ -135,31 +151,108 @@ def test_stream_takes_new_files_once(spark, store, tmp_path):
     assert store.versions.current() == 2
 
 
-def test_a_load_writes_the_buckets_of_its_keys_and_appends_to_the_log(spark, store):
-    store.ingest(frame(spark, [(str(i), page(str(i), directors=["A B"])) for i in range(40)]), "company")
-    before = store.versions.state()
-    store.ingest(frame(spark, [("7", page("7", "New"))]), "company")
+def _names(store, name="companies"):
+    return {(r.number, r.name) for r in store.table(name).collect()}
+
+
+def test_a_load_writes_in_proportion_to_itself(spark, store):
+    store.ingest(frame(spark, [(str(i), page(str(i), f"name {i}", directors=["A B"])) for i in range(4000)]), "company")
+    store.merge()
+    before, base = store.versions.state(), store.versions.state()["tables"]["companies"]["base"]
+    store.ingest(frame(spark, [("7", page("7", "New")), ("70", page("70", "New", directors=["X", "Y"]))]), "company")
     after = store.versions.state()
-    changed = lambda name: {b for b in before["tables"][name] if before["tables"][name][b] != after["tables"][name].get(b)}
-    assert len(changed("companies")) == len(changed("company_directors")) == 1
-    assert after["appended"]["ingest_log"][:1] == before["appended"]["ingest_log"] and len(after["appended"]["ingest_log"]) == 2
-    assert [r.id for r in store.table("ingest_log").orderBy("id").collect()] == list(range(1, 42))
-    assert store.table("companies").count() == 40 and store.table("company_directors").count() == 39
+    written = [x for t in after["tables"].values() for r in t["runs"] for x in (r["rows"], r["keys"])]
+    assert after["tables"]["companies"]["base"] == base and all(20 * x["bytes"] < base["bytes"] for x in written if "companies" in x["folder"] or "keys" in x["folder"])
+    assert len(after["appended"]["ingest_log"]) == len(before["appended"]["ingest_log"]) + 1
+    assert [r.id for r in store.table("ingest_log").orderBy("id").collect()] == list(range(1, 4003))
+    assert store.table("companies").count() == 4000 and store.table("company_directors").count() == 4000
     assert store.rows_of("companies", "7").first().name == "New" and store.rows_of("company_directors", "7").count() == 0
-    assert [r.full_name for r in store.rows_of("company_directors", "8").collect()] == ["A B"]
+    assert sorted(r.full_name for r in store.rows_of("company_directors", "70").collect()) == ["X", "Y"]
+    assert store.rows_of("companies", "none").count() == 0
+
+
+def test_bases_have_as_many_buckets_as_their_bytes_ask_for(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "small"), bucket_bytes=20_000)
+    store.ingest(frame(spark, [(str(i), page(str(i), f"name {i}")) for i in range(3000)]), "company", log=False)
+    store.merge()
+    base = store.versions.state()["tables"]["companies"]["base"]
+    assert 4 <= base["buckets"] <= 64 and base["buckets"] == 1 << (base["buckets"].bit_length() - 1)
+    assert store.table("companies").count() == 3000 and store.rows_of("companies", "77").first().name == "name 77"
+    read = store.rows_of("companies", "77").inputFiles()
+    assert 0 < len(read) < base["buckets"] and len({f.split("_bucket=")[1].split("/")[0] for f in read}) == 1
+
+
+def test_many_small_loads_are_folded_and_merged(spark, store, monkeypatch):
+    monkeypatch.setattr(storage, "RUNS", 3)
+    store.ingest(frame(spark, [(str(i), page(str(i), f"n{i}", directors=["A"])) for i in range(300)]), "company")
+    store.merge()
+    want = {(str(i), f"n{i}") for i in range(300)}
+    for n in range(7):
+        store.ingest(frame(spark, [(str(n), page(str(n), f"new {n}")), ("5", page("5", f"last {n}", directors=["B"] * n))]), "company")
+        want = {x for x in want if x[0] not in (str(n), "5")} | {(str(n), f"new {n}"), ("5", f"last {n}")} - ({("5", "new 5")} if n == 5 else set())
+        held = store.versions.state()["tables"]["companies"]
+        assert len(held["runs"]) <= 3 and held["base"]
+    found = {k: v for k, v in _names(store)}
+    assert {k: v for k, v in found.items() if k != "5"} == {k: v for k, v in want if k != "5"} and len(found) == 300 and found["5"] == "last 6"
+    assert store.table("company_directors").where("company_number = '5'").count() == 6 and len(store.versions.state()["appended"]["ingest_log"]) <= 4
+    assert store.table("ingest_log").count() == 300 + 14 and store.table("ingest_log").agg(F.count_distinct("id")).first()[0] == 314
 
 
 def test_two_loads_at_one_time(spark, store, tmp_path):
-    """The second to publish is told so, and what the first wrote stays."""
+    """The second to publish goes on top of the first; a state that is published as it was is refused."""
     store.ingest(frame(spark, [("1", page("1"))]), "company")
-    late = store.versions.state()
-    store.ingest(frame(spark, [("2", page("2"))]), "company")
-    store.versions.replace(late, "companies", store.table("companies").limit(0), F.lit("0"), ["0"])
+    late, calls = store.versions.state(), []
+
+    def change(state):
+        if not calls:  # another load comes first
+            calls.append(store.ingest(frame(spark, [("2", page("2")), ("1", page("1", "other"))]), "company"))
+        store.versions.add(state, "companies", None, store.versions.write_keys(spark.createDataFrame([("1",)], "number string"), "company"))
+
+    assert store.versions.commit(change) == 3 and _names(store) == {("2", "N")}
     with pytest.raises(storage.Conflict):
         store.versions.publish(late)
-    assert store.table("companies").count() == 2
     (tmp_path / "tables/_versions/.broken").write_text("{")  # what a load leaves that breaks off while it publishes
-    assert store.ingest(frame(spark, [("3", page("3"))]), "company") == 3 and store.table("companies").count() == 3
+    assert store.ingest(frame(spark, [("3", page("3"))]), "company") == 4 and store.table("companies").count() == 2
+
+
+def test_a_load_during_a_merge_stays_on_top(spark, store, monkeypatch):
+    store.ingest(frame(spark, [("1", page("1")), ("2", page("2"))]), "company")
+    commit, first = store.versions.commit, []
+
+    def late(change):
+        if not first:
+            first.append(1)
+            store.ingest(frame(spark, [("2", page("2", "New"))]), "company")
+        return commit(change)
+
+    monkeypatch.setattr(store.versions, "commit", late)
+    store.versions.merge("companies", TABLES["companies"].schema, ("number",))
+    held = store.versions.state()["tables"]["companies"]
+    assert held["base"] and len(held["runs"]) == 1 and _names(store) == {("1", "N"), ("2", "New")}
+
+
+def test_sweeping_keeps_what_versions_list(spark, store):
+    for n in range(3):
+        store.ingest(frame(spark, [("1", page("1", f"n{n}")), (str(n), page(str(n)))]), "company")
+    spark.range(3).write.parquet(f"{store.versions.root}/data/companies/broken")  # a load that broke off
+    earlier = store.table("companies")  # a reader of the version before the merge
+    store.merge()
+    assert store.versions.sweep(keep=100) == [] and earlier.count() == 3
+    gone = store.versions.sweep(keep=100, grace=0)
+    assert gone == ["data/companies/broken"] and earlier.count() == 3
+    gone = store.versions.sweep(keep=1, grace=0)
+    assert len(gone) > 6 and store.versions.sweep(keep=1, grace=0) == [] and store.versions._numbers() == [store.versions.current()]
+    assert len(_names(store)) == 3 and store.table("ingest_log").count() == 6
+    assert store.ingest(frame(spark, [("9", page("9"))]), "company") and store.table("companies").count() == 4
+
+
+def test_replacing_rows_of_plain_frames(spark):
+    old = conform(spark.createDataFrame([("1", "a", "Company"), ("2", "b", "Company")], "number string, name string, corporation_type string"), "companies")
+    new = old.where("number = '2'").withColumn("name", F.lit("c"))
+    assert {(r.number, r.name) for r in upsert.upsert_parent(old, new, "companies").collect()} == {("1", "a"), ("2", "c")}
+    children = conform(spark.createDataFrame([("1", 1, "x"), ("2", 1, "y"), ("2", 2, "z")], "company_number string, seq int, full_name string"), "company_directors")
+    kept = upsert.replace_children(children, new, "number", children.where("seq = 5"), "company_directors")
+    assert [(r.company_number, r.seq) for r in kept.collect()] == [("1", 1)]
 
 
 def test_a_replayed_batch_changes_nothing(spark, store):

@@ -33,6 +33,32 @@ def test_lobbyist_label_map(spark):
     assert one(spark, L.lobbyist_label_map, html) == {"lblA": "one\ntwo 2\nthree & 4"}
 
 
+@pytest.mark.parametrize(
+    "html,labels",
+    [
+        ('<div id="lblOrgDesc">a<div>b</div>c</div>', {"lblOrgDesc": "a\nb\nc"}),
+        ('<div id="lblA">x <span id="lblB">y</span></div>', {"lblA": "x\ny", "lblB": "y"}),
+        ("<p id='lblA'>q</p><P x=1 ID = lblB>r</P>", {"lblA": "q", "lblB": "r"}),
+        ("""<DIV title="a > id='lblX' b" data-id="lblZ" ID=lblQ>1 < 2 <!-- <b id="lblC">c</b> --><script>x="<p id=lblS>"</script>z</DIV>""", {"lblQ": "1 < 2\nz"}),
+        ("<table><tr><td id=lblA>a<td id=lblB>b<tr><td id=lblC>c</table>d", {"lblA": "a", "lblB": "b", "lblC": "c"}),
+        ('<span id="lblA">x<div>y</span>z</div>w</span>v', {"lblA": "x\ny\nz\nw"}),
+        ('<p id="lblA">a<p id="lblB">b<div>c</div>', {"lblA": "a", "lblB": "b"}),
+        ("</b></i><ul><li id=lblA>q<li id=lblB>r</ul><b id=lblC>open", {"lblA": "q", "lblB": "r", "lblC": "open"}),
+        ('<input id="lblI"/>t<span id="lblT"/>u<br id=lblU>', {}),
+        ('<p id="lbl1" x="unclosed>a</p><p id="lbl2">b</p>', {"lbl1": "a", "lbl2": "b"}),
+        ('<i id="lblA">x<b id="lblB">y</i>z', {"lblA": "x\ny", "lblB": "y"}),
+    ],
+)
+def test_labels_of_any_shape(spark, html, labels):
+    assert one(spark, L.lobbyist_label_map, html) == labels
+
+
+def test_labels_of_large_pages(spark):
+    html = '<div id="lblA">' + "x" * 700_000 + "<i>" * 500 + "</i>" * 500 + '<span id="lblB">' + "y z " * 1000 + "</span>" + "<p>t</p>" * 3000 + "</div>"
+    found = one(spark, L.lobbyist_label_map, html)
+    assert len(found["lblB"]) == 3999 and len(found["lblA"]) == 700_000 + 1 + 3999 + 3000 * 2
+
+
 def test_lobbyist_text_keeps_blank_lines_and_hard_blanks(spark):
     html = '<div id="lblA">\u00a0 a\n\n b&nbsp;c \r\n<br/>\n<br/><i></i> caf&eacute;&#233;&#x2013;\t \t1 &copy 2 &amp;lt;\u00a0</div>'
     assert one(spark, L.lobbyist_label_map, html) == {"lblA": "a\n\nb\u00a0c\n\n\n\ncaféé– 1 © 2 &lt;"}
@@ -148,12 +174,32 @@ def test_lobbyist_paging(spark):
     assert one(spark, lobbyist.total_records, page("", "n/a")) is None
 
 
+def test_marks_of_any_shape(spark):
+    html = '<SPAN class="x" id="lblRecordsFound"> 1<b>2</b> </SPAN><b ID=lblViewingRecords>1-<!-- x -->10</b><i id="lblRecordsFound">99</i>'
+    assert tuple(one(spark, lobbyist.page_marks, html)) == (12, 1, 10, True)
+    assert (one(spark, lobbyist.total_records, html), tuple(one(spark, lobbyist.viewing_range, html)), one(spark, lobbyist.has_next_page, html)) == (12, (1, 10), True)
+    assert one(spark, lobbyist.viewing_range, html.replace("10", "x")) is None
+    table = "<p id=lblRecordsFound>7</p><TABLE x=y id='tableSearchResults'><tr><td><b id='lblRecordsFound'>3</b><table><tr><td></table><i id=lblViewingRecords>1-3</i></table><p id=lblViewingRecords>no</p>"
+    assert tuple(one(spark, company.search_totals, table)) == (3, "1-3")
+    assert tuple(one(spark, company.search_totals, "<p id=lblRecordsFound>7</p>")) == (0, "0-0")
+
+
 def test_index_is_complete_or_not(spark):
     anchor = '<tr><td><a id="rptSearchResults__ctl{0}_lbtRegNum">CL-{0}</a></td>' + "<td>c</td>" * 6 + "</tr>"
     page = lambda n, shown, hits: (n, f'<span id="lblViewingRecords">{shown}</span><span id="lblRecordsFound">3</span><table>{"".join(anchor.format(h) for h in hits)}</table>')
     complete = lambda *rows: planning.index_complete(spark.createDataFrame(rows, "page_no int, html string")).first().complete
     first, last = page(1, "1-2", (1, 2)), page(2, "3-3", (3,))
     assert complete(first, last)
+    assert complete(last, first, last)
+    ten = lambda n, at, shown: (n, page(n, shown, range(at, at + 10))[1].replace(">3<", ">30<"))
+    pages = [ten(1, 1, "1-10"), ten(2, 11, "11-20"), ten(3, 21, "21-30")]
+    assert complete(*pages) and not complete(pages[0], pages[0], pages[2]) and not complete(pages[0], (2, pages[0][1]), pages[2]) and not complete(*pages[1:])
+    faults = planning.index_gaps(spark.createDataFrame([pages[0], pages[0], pages[2], (9, pages[1][1]), (12, pages[1][1])], "page_no int, html string")).collect()
+    assert sorted((f.problem, f.first, f.last) for f in faults if f.problem != "repeated") == [("end", 3, 3), ("fetched again", 1, 1), ("missing", 2, 2), ("missing", 4, 8), ("missing", 10, 11), ("no end", 12, 12)]
+    assert sorted(f.registration_number for f in faults if f.problem == "repeated") == sorted(f"CL-{i}" for i in range(11, 21))
+    assert planning.index_gaps(spark.createDataFrame([], "page_no int, html string")).count() == 0
+    numbers = spark.createDataFrame([(n,) for n in (2, 3, 7, 7, 50, 0)], "page_no long").repartition(3)
+    assert sorted(map(tuple, planning.missing_ranges(numbers).collect())) == [(1, 1), (4, 6), (8, 49)]
     assert not complete(first) and not complete(last) and not complete(first, page(3, "3-3", (3,))) and not complete(first, page(2, "3-3", ()))
 
 
