@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import page_sha256
 from ..sources.schemas import CHILDREN, TABLES, conform
 from ..sources.storage import BUCKET_BYTES, Tables, kept, scratch
-from . import company, lobbyist
+from . import company, lobbyist, trigrams
 
 
 def delete_matching(target: DataFrame, keys: DataFrame, column: str, key: str) -> DataFrame:
@@ -115,12 +115,17 @@ class Store:
         keys, rows = rows_for(parsed)
         named = self.versions.write_keys(keys, kind)
         written = {name: self.versions.write(df, name) for name, df in rows.items()}
+        grams: dict[str, dict] = {}
 
         def change(state: dict) -> bool | None:
             if done(state):
                 return False
             for name, run in written.items():
                 self.versions.add(state, name, run, named)
+                if name in trigrams.SEARCHED and state["notes"].get("search index"):
+                    if name not in grams:  # of the rows as they were written
+                        grams[name] = self._indexed(self.spark.read.schema(TABLES[name].schema).parquet(f"{self.versions.root}/{run['folder']}"), name)
+                    self._add_index(state, name, named, grams[name])
             if log:
                 made, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
                 self.versions.append(state, LOG, self.versions.write(made, LOG))
@@ -130,13 +135,66 @@ class Store:
         version = self.versions.commit(change)
         for name in (*written, LOG):
             self.versions.tend(name, TABLES[name].schema, replaced_by(name))
+        for name in grams:
+            self.versions.tend(trigrams.index_name(name), trigrams.POSTINGS, ("key",), ("gram",))
+            self.versions.tend(trigrams.counts_name(name), trigrams.COUNTS)
         return version
 
+    def _indexed(self, rows: DataFrame, name: str) -> dict:
+        made = self.versions.write(trigrams.postings(rows, name), trigrams.index_name(name))
+        read = self.spark.read.schema(trigrams.POSTINGS).parquet(f"{self.versions.root}/{made['folder']}")
+        return {"postings": made, "counts": self.versions.write(trigrams.counts(read), trigrams.counts_name(name))}
+
+    def _add_index(self, state: dict, name: str, keys: dict, made: dict) -> None:
+        self.versions.add(state, trigrams.index_name(name), made["postings"], keys)
+        self.versions.append(state, trigrams.counts_name(name), made["counts"])
+
+    def create_search_index(self) -> int:
+        """Index the searched columns of all tables; from now on every load keeps the index up."""
+
+        def change(state: dict) -> bool | None:
+            if state["notes"].get("search index"):
+                return False
+            state["notes"]["search index"] = True
+            for name in trigrams.SEARCHED:
+                rows = self.versions.read(name, TABLES[name].schema, replaced_by(name), state)
+                keys = self.versions.write_keys(rows.select(*replaced_by(name)), trigrams.index_name(name))
+                self._add_index(state, name, keys, self._indexed(rows, name))
+
+        self.versions.commit(change)
+        for name in trigrams.SEARCHED:
+            self.versions.merge(trigrams.index_name(name), trigrams.POSTINGS, ("key",), ("gram",))
+        return self.versions.current()
+
+    def may_match(self, name: str, query: str | None) -> DataFrame:
+        """Rows among which are all that a search of a table for a pattern finds: the exact comparison is the search's.
+
+        With an index, and a pattern that has three characters in a row, these come from the postings of a few trigrams: few rows are read from
+        their buckets, many by a join with their keys. Else they are the whole table.
+        """
+        state, q, key = self.versions.state(), (query or "").strip(), TABLES[name].key[0]
+        whole = self.versions.read(name, TABLES[name].schema, (key,), state)
+        found = trigrams.candidates(self.versions, name, q, state) if q and state["notes"].get("search index") else None
+        if found is None:
+            return whole
+        # the searches compare the key with the whole query too
+        found = kept(found.unionByName(self.spark.createDataFrame([(q,)], "key string")).distinct(), "candidates")
+        few = [r["key"] for r in found.limit(trigrams.FEW + 1).collect()]
+        if len(few) > trigrams.FEW:
+            return whole.join(found.withColumnRenamed("key", key), key, "left_semi")
+        base = state["tables"].get(name, {}).get("base")
+        at = found.select(F.pmod(F.xxhash64("key"), F.lit(base["buckets"])).alias("b")).distinct() if base else None
+        buckets = [r["b"] for r in at.collect()] if base else None
+        return self.versions.read(name, TABLES[name].schema, (key,), state, buckets=buckets).where(F.col(key).isin(few))
+
     def merge(self) -> None:
         """Merge the runs of all tables into their bases."""
         for name in TABLES:
             if key := replaced_by(name):
                 self.versions.merge(name, TABLES[name].schema, key)
+        for name in trigrams.SEARCHED:
+            self.versions.merge(trigrams.index_name(name), trigrams.POSTINGS, ("key",), ("gram",))
+            self.versions.pack(trigrams.counts_name(name), trigrams.COUNTS)
 
     def ingest_one(self, kind: str, key: str, html: str) -> int:
         """One page, without the log."""

@@ -6,6 +6,7 @@ Pages are rendered from the tables and parsed again; the SQL reads the tables an
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,6 +255,37 @@ def company_with_children(spark, sf_dir):
     return full.select("number", "name", joined("directors", "full_name"), joined("previous_names", "name", "effective_date"), joined("remarks", "remark"))
 
 
+#: Patterns with and without wildcards, by number, too short for a trigram, of quotes, without a match.
+_PATTERNS = (" studio ", "#_____1%5", "100D", "c\" & C", "7", "no such name")
+
+
+@query(
+    COMPANIES
+    + " SELECT * FROM ("
+    + ") UNION ALL SELECT * FROM (".join(f"SELECT '{p}' AS pattern, number, name, CASE WHEN k % 2 = 0 THEN 'Previous Name' ELSE status END AS status FROM co WHERE name ILIKE '%{p.strip()}%' OR number = '{p.strip()}' ORDER BY name, number LIMIT 50" for p in _PATTERNS)
+    + ")"
+)
+def search_indexed(spark, sf_dir):
+    """Searches of stored tables by the trigram index, which the second load keeps up."""
+    store, all_pages = _store(spark, sf_dir), render.company_pages(spark, sf_dir)
+    store.ingest(all_pages, "company")
+    store.create_search_index()
+    store.ingest(_without_lists(_even(all_pages)), "company")
+    found = [search.search_companies(store.may_match("companies", p), p).select(F.lit(p).alias("pattern"), "number", "name", "status") for p in _PATTERNS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    LOBBYISTS
+    + """ SELECT registration_number, lobbyist_type, status, contact_name, firm_name, effective_date FROM lob WHERE contact_name ILIKE '%act_1%7%' OR firm_name ILIKE '%act_1%7%'
+OR registration_number = 'act_1%7' ORDER BY effective_date DESC NULLS LAST, contact_name NULLS LAST, registration_number LIMIT 50""", dates=('effective_date',))
+def search_lobbyists_indexed(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.ingest(render.lobbyist_pages(spark, sf_dir), "lobbyist")
+    store.create_search_index()
+    return search.search_lobbyists(store.may_match("lobbyist_registrations", "act_1%7"), "act_1%7")
+
+
 _LOBBYIST = "registration_number, lobbyist_type, status, registration_date, effective_date, contact_name, firm_name, organization_description"
 
 

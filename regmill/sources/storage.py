@@ -177,8 +177,9 @@ class Tables:
         rows = self._runs(runs, "rows", schema)
         return rows.join(self._last(runs, schema, key), [*key, "_run"]).select(*schema.names) if rows is not None else None
 
-    def read(self, name: str, schema: StructType, key: tuple[str, ...] = (), state: dict | None = None, values: tuple | None = None) -> DataFrame:
-        """A table of a version, the newest if none is given; with `values` the rows of that key only, from its bucket and the runs."""
+    def read(self, name: str, schema: StructType, key: tuple[str, ...] = (), state: dict | None = None, values: tuple | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table of a version, the newest if none is given; with `values` the rows of that key only, from its bucket and the runs;
+        with `buckets` those of the base and the runs."""
         state = self.state() if state is None else state
         if not key:
             folders = [x["folder"] for x in state["appended"].get(name, [])]
@@ -186,10 +187,13 @@ class Tables:
         held = state["tables"].get(name, {"base": None, "runs": []})
         parts = []
         if held["base"]:
-            bucket = "" if values is None else f"/_bucket={self._bucket_of(values, held['base']['buckets'])}"
-            fs, path = path_of(self.spark, f"{self.root}/{held['base']['folder']}{bucket}")
-            if fs.exists(path):
-                base = self._read(schema, [f"{held['base']['folder']}{bucket}"])
+            folder = held["base"]["folder"]
+            if values is not None:
+                buckets = [self._bucket_of(values, held["base"]["buckets"])]
+            folders = [folder] if buckets is None else [f"{folder}/_bucket={b}" for b in buckets]
+            folders = [f for f in folders if exists(self.spark, f"{self.root}/{f}")]
+            if folders:
+                base = self._read(schema, folders)
                 parts.append(base.join(self._last(held["runs"], schema, key), list(key), "left_anti") if held["runs"] else base)
         newest = self._newest(held["runs"], schema, key) if held["runs"] else None
         parts = [p.select(*schema.names) for p in (*parts, newest) if p is not None]
@@ -203,17 +207,18 @@ class Tables:
 
     # -- keeping in shape
 
-    def merge(self, name: str, schema: StructType, key: tuple[str, ...]) -> int:
-        """Make all rows of a table its base, in buckets of about bucket_bytes; runs that are added meanwhile stay on top."""
+    def merge(self, name: str, schema: StructType, key: tuple[str, ...], by: tuple[str, ...] = ()) -> int:
+        """Make all rows of a table its base, in buckets of about bucket_bytes; runs that are added meanwhile stay on top. The
+        buckets are those of the key's hashes, or of other columns' (`by`)."""
         held = self.state()["tables"].get(name)
         if not held or not held["runs"]:
             return self.current()
         size = sum(x["bytes"] for x in (held["base"], *[r["rows"] for r in held["runs"]]) if x)
         buckets = 1 << max(0, (size // self.bucket_bytes).bit_length())
-        rows = self.read(name, schema, key, {"tables": {name: held}}).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        rows = self.read(name, schema, key, {"tables": {name: held}}).withColumn("_bucket", F.pmod(F.xxhash64(*(by or key)), F.lit(buckets)))
         folder = f"data/{name}/{uuid.uuid4().hex}"
         # the planner splits a bucket that is much larger than others
-        rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *key).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        rows.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *by, *key).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         base, done = self._measured(folder) | {"buckets": buckets}, len(held["runs"])
 
         def change(state: dict) -> bool | None:
@@ -255,7 +260,7 @@ class Tables:
 
         return self.commit(change)
 
-    def tend(self, name: str, schema: StructType, key: tuple[str, ...] = ()) -> None:
+    def tend(self, name: str, schema: StructType, key: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> None:
         """Fold, merge or pack a table that has more than RUNS runs, or small folders."""
         state = self.state()
         if not key:
@@ -265,7 +270,10 @@ class Tables:
         held = state["tables"].get(name, {"base": None, "runs": []})
         if len(held["runs"]) > RUNS:
             on_top, below = sum(r["rows"]["bytes"] for r in held["runs"] if r["rows"]), held["base"]["bytes"] if held["base"] else 0
-            (self.merge if 2 * on_top >= below else self.fold)(name, schema, key)
+            if 2 * on_top >= below:
+                self.merge(name, schema, key, by)
+            else:
+                self.fold(name, schema, key)
 
     def sweep(self, keep: int = 2, grace: float = 86_400.0) -> list[str]:
         """Remove the versions before the last `keep`, and the folders that none of those list and that are `grace` seconds old.

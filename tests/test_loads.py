@@ -277,3 +277,27 @@ def test_search_order_and_totals(spark):
     assert [r.number for r in search.search_companies(df, limit=4).collect()] == ["0", "3", "1", "4"]
     assert search.match_total(search.company_matches(df, " n1 ", "Company", "Active")).first().total == 1
     assert search.company_matches(df, "").count() == 6 and search.company_matches(df, "5").count() == 1
+
+
+def test_searches_by_trigrams_equal_scans(spark, tmp_path):
+    store = upsert.Store(spark, str(tmp_path / "t"), bucket_bytes=8_000)
+    names = ["Acme \\ Sons", "STUDIO One", "studio_two", "100% pure", "É&B Öl", "ab", "", "x" * 500, "ΟΔΟΣ", "plain acme"]
+    html = lambda i, name: (str(i), page(str(i), name))
+    store.ingest(frame(spark, [html(i, f"{names[i % 10]} {i % 7}" if names[i % 10] else "n") for i in range(600)]), "company", log=False)
+    store.merge()
+    store.create_search_index()
+    assert store.create_search_index() == store.versions.current()
+    store.ingest(frame(spark, [html(3, "renamed studio"), html(11, "zebra"), html(900, "new zebra")]), "company", log=False)
+    patterns = ["studio", "acme", "dio_t%wo", "100% p", "\\ so", "é&b", "ab", "a", "zebra", "xxx", "οδος", "ΟΔΟΣ 3", "11", "900", "no such", "", None, " studio one 1 ", "%", "_"]
+
+    def equal():
+        for q in patterns:
+            may = store.may_match("companies", q)
+            got = sorted((r.number, r.name) for r in search.company_matches(may, q).collect())
+            assert got == sorted((r.number, r.name) for r in search.company_matches(store.table("companies"), q).collect()), q
+
+    equal()
+    found = store.may_match("companies", "new zebra")
+    assert len(found.inputFiles()) < len(store.table("companies").inputFiles()) and found.count() <= 2
+    store.merge()
+    equal()
