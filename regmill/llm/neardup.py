@@ -4,9 +4,9 @@ A document's set holds the hashes of its distinct word shingles; a text with few
 empty and blank texts have empty sets and are linked with nothing. Equal sets collapse into one node first, so
 copies cost one row each. A node's sketch is its K smallest hashes.
 
-1. Inverted lists of retained values. Two sets at the threshold have at least `a` of their LISTED smallest values
-   in common: all sets that are retained whole, exactly; of larger ones, all but a share of MISS of the pairs (a tail of
-   the binomial). So in one order of all values, the first n - a + 1 of both hold a common one. That order is by the
+1. Inverted lists of retained values. Two sets at the threshold have at least `a` of their retained values in common: a set
+   that may be linked with sets of K values at most, all of which are retained whole, the threshold's share of its own, exactly;
+   of larger ones, all but a share of MISS of the pairs (a tail of the binomial). So in one order of all values, the first n - a + 1 of both hold a common one. That order is by the
    number of nodes that retain a value, rare ones first: values that no other node retains come first and are not
    listed, and common words, lines and passages are listed for those texts only that hold little else.
 2. In each list the member with most company is the hub, and every member is paired with it: pairs grow with the
@@ -39,8 +39,6 @@ from .common import cut, drop_cut, keyed, numbered
 from .components import components
 
 K = 128
-#: As many retained values take part in inverted lists.
-LISTED = 64
 #: Share of the pairs at the threshold that chance may hide, at each of two places.
 MISS = 1e-6
 SHORT_LIST = 16
@@ -150,9 +148,9 @@ def _overlap(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each of the LISTED smallest values of each sketch."""
+    """One row for each value of each sketch."""
     for b in batches:
-        sets = [np.frombuffer(x, np.int64)[:LISTED] for x in b.column("sketch").to_pylist()]
+        sets = [np.frombuffer(x, np.int64) for x in b.column("sketch").to_pylist()]
         ids = np.repeat(b.column("nid").to_numpy(), [len(x) for x in sets])
         yield pa.record_batch({"v": pa.array(np.concatenate(sets) if sets else [], pa.int64()), "nid": pa.array(ids, pa.int64())})
 
@@ -229,8 +227,9 @@ class _Job:
         values = cut(nodes.select("nid", "sketch").mapInArrow(_values, "v long, nid long"), "values")
         common = cut(values.groupBy("v").agg(F.count("*").alias("c")).where("c > 1"), "common")
         held = values.join(common, "v").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
-        retained = F.least("n", F.lit(LISTED))
-        agreed = F.when(100 * F.col("n") > self.percent * LISTED, F.lit(fewest(LISTED, self.percent))).otherwise(F.ceil(self.percent * F.col("n") / 100))
+        retained = F.least("n", F.lit(K))
+        # sets of up to percent * K values have no partner that is not retained whole
+        agreed = F.when(100 * F.col("n") > self.percent * K, F.lit(fewest(K, self.percent))).otherwise(F.ceil(self.percent * F.col("n") / 100))
         # values of no other node come first in the order, and are not listed
         first = (retained - agreed + 1 - (retained - F.size("vs"))).cast("int")
         ranked = held.join(nodes.select("nid", "n"), "nid").withColumn("first", first).where("first > 0")

@@ -166,6 +166,38 @@ def test_planted_pairs_inside_long_lists(spark):
     check(spark, docs)
 
 
+def _family(members):
+    passage = [f"p{i}" for i in range(60)]
+    return [(i, " ".join([*passage, *(f"d{i}w{j}" for j in range(14))])) for i in range(members)]
+
+
+def test_texts_that_share_a_passage_and_are_not_linked_make_no_lists(spark):
+    """72 shingles, 58 of them common: the rarest values of the whole sets, as many as decide, are each text's own."""
+    docs = spark.createDataFrame(_family(400), "doc_id long, text string").repartition(3)
+    rows, keys = neardup.keyed(docs)
+    job = neardup._Job(rows.select("doc_id", "text", *[neardup.F.col(k).alias(own) for k, own in zip(keys, neardup.KEY, strict=True)]), 3, 85)
+    assert job.nodes.count() == 400 and job.lists().count() == 0
+    check(spark, _family(60))
+
+
+@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
+def test_pairs_at_the_threshold_of_every_size(spark, n, percent):
+    """Two sets of as many values in common as the threshold asks for, or one fewer, around the size of a sketch, with a passage that all hold."""
+    rng, docs, passage = random.Random(n), [], [f"p{i}" for i in range(20)]
+    for size in range(30, 150, 2):
+        own = [f"s{size}w{i}" for i in range(size)]
+        for extra in (-1, 0):
+            # words behind add as many values to the larger set
+            whole = len(passage) + size - n + 1
+            more = max(0, 100 * whole // percent - whole + extra + 1)
+            text = passage + [f"{w}e{extra}" for w in own]
+            docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join([*text, *(f"m{size}e{extra}x{j}" for j in range(more))]))]
+    want = brute(docs, n, percent)
+    assert 0 < sum(c != d for (d, _), (_, c) in zip(docs, want, strict=True)) < len(docs) // 2
+    rng.shuffle(docs)
+    check(spark, docs, n, percent)
+
+
 def test_counts_of_common_values():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(15)]
