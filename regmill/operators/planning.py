@@ -24,6 +24,33 @@ def crawl_frontier(spark: SparkSession, manifest: DataFrame, start: int = FIRST,
     return numbers if rescrape else skip_cached(numbers, manifest)[0]
 
 
+#: Fixed value: numbers in a bucket of Spark's bitmap functions.
+BITS = 8 * 4096
+
+
+def number_bitmaps(keys: DataFrame) -> DataFrame:
+    """bucket and bits of the keys (key) that are whole numbers in their plain form; other keys, like those with a suffix, name no number."""
+    plain = keys.select(F.col("key").try_cast("long").alias("n"), "key").where(F.col("n").cast("string") == F.col("key"))
+    return plain.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+
+
+def bitmap_frontier(spark: SparkSession, manifest: DataFrame, start: int = FIRST, stop: int = STOP) -> DataFrame:
+    """The same numbers as crawl_frontier's, by bitmaps: of the landed keys one row for each bucket is shuffled, not one for each key.
+
+    Buckets that are landed whole give nothing; of the others each number whose bit is not set. Bits at the range's ends are cut off.
+    """
+    if stop <= start:
+        return spark.createDataFrame([], "key string")
+    bucket = lambda n: 1 + (n - 1) // BITS if n > 0 else -(-n // BITS)
+    wanted = spark.range(bucket(start), bucket(stop - 1) + 1).select(F.col("id").alias("bucket"))
+    landed = number_bitmaps(manifest)
+    both = wanted.join(landed, "bucket", "left").where(F.col("bits").isNull() | (F.bitmap_count("bits") < BITS))
+    byte = lambda i: F.conv(F.hex(F.substring("bits", (F.floor(i / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    free = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.col("bits").isNull() | (F.getbit(byte(i), i % 8) == 0))
+    number = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BITS + F.col("bit") + 1).otherwise(F.col("bucket") * BITS - F.col("bit"))
+    return both.select("bucket", F.explode(free).alias("bit")).select(number.alias("n")).where(F.col("n").between(start, stop - 1)).select(F.col("n").cast("string").alias("key"))
+
+
 def classify_responses(responses: DataFrame) -> DataFrame:
     """Fetched pages (number, url, html) with their kind, and the id that a detail page is saved under."""
     classified = L.once(responses, "kind", company.classify_page("url", "html"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import page_sha256
+from ..sources.bucketed import save_companies
 from ..sources.schemas import CHILDREN, TABLES, conform
 from ..sources.storage import BUCKET_BYTES, Tables, kept, scratch
 from . import company, lobbyist, trigrams
@@ -98,12 +99,12 @@ class Store:
         """The rows of one parent's key, from its bucket's files and the runs alone."""
         return self.versions.read(name, TABLES[name].schema, replaced_by(name), values=(key,))
 
-    def ingest(self, pages: DataFrame, kind: str, log: bool = True, batch: tuple[str, int] | None = None) -> int:
+    def ingest(self, pages: DataFrame, kind: str, log: bool = True, batch: tuple[str, int] | None = None, beside: dict[str, tuple] | None = None) -> int:
         """Load detail pages (key, html) and publish the next version, which is returned. A failed page leaves earlier rows as they are.
 
         What is written grows with the pages, not with the tables. If another load publishes meanwhile, this one goes on top of it.
         `batch` names a stream and the number of its batch: one that is published already is not loaded again, so a replay
-        changes nothing.
+        changes nothing. `beside` has runs (rows, keys) of further tables, which the same version lists.
         """
         if kind not in KINDS:
             raise ValueError(f"unknown ingest kind: {kind!r}")
@@ -129,6 +130,8 @@ class Store:
             if log:
                 made, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
                 self.versions.append(state, LOG, self.versions.write(made, LOG))
+            for name, (rows_, keys_) in (beside or {}).items():
+                self.versions.add(state, name, rows_, keys_)
             if batch:
                 state["notes"][f"batch {batch[0]}"] = batch[1]
 
@@ -140,6 +143,24 @@ class Store:
             self.versions.tend(trigrams.counts_name(name), trigrams.COUNTS)
         return version
 
+    def publish(self, runs: dict[str, tuple]) -> int:
+        """A version with runs (rows, keys) on top of tables, and nothing else that is new."""
+
+        def change(state: dict) -> None:
+            for name, (rows, keys) in runs.items():
+                self.versions.add(state, name, rows, keys)
+
+        return self.versions.commit(change)
+
+    def save_for_joins(self, prefix: str, where: str | None = None) -> dict[str, DataFrame]:
+        """The company tables of now as catalog tables in the same buckets, as many as the largest one's bytes ask for."""
+        tables = {t: self.table(t) for t in ("companies", *[c.name for c in CHILDREN])}
+        held = self.versions.state()["tables"]
+        size = lambda t: sum(x["bytes"] for x in (held[t]["base"], *[r["rows"] for r in held[t]["runs"]]) if x)
+        largest = max((size(t) for t in tables if t in held), default=0)
+        buckets = 1 << max(1, (largest // self.versions.bucket_bytes).bit_length())
+        return save_companies(tables["companies"], tables, prefix, buckets, where)
+
     def _indexed(self, rows: DataFrame, name: str) -> dict:
         made = self.versions.write(trigrams.postings(rows, name), trigrams.index_name(name))
         read = self.spark.read.schema(trigrams.POSTINGS).parquet(f"{self.versions.root}/{made['folder']}")

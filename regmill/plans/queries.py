@@ -16,6 +16,8 @@ from ..functions import text
 from ..operators import company, lobbyist, planning, search, upsert
 from ..sources import files, pages, schemas, storage
 from ..streaming.incremental import incremental_ingest, incremental_ingest_table
+from ..streaming.manifest import ingest_changes
+from ..streaming.outcomes import count_outcomes, outcomes_so_far
 from . import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,11 +252,24 @@ def lookup_directors(spark, sf_dir):
 )
 def company_with_children(spark, sf_dir):
     parsed = upsert.kept(parsed_companies(spark, sf_dir), "parsed")
-    full = search.company_with_children(company.company_rows(parsed), *[company.child_rows(parsed, t) for t in company.CHILD_LISTS])
+    return _lists_as_text(search.company_with_children(company.company_rows(parsed), *[company.child_rows(parsed, t) for t in company.CHILD_LISTS]))
+
+
+def _lists_as_text(full: DataFrame) -> DataFrame:
     joined = lambda c, *f: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["seq"].cast("string"), *[F.coalesce(x[n].cast("string"), F.lit("")) for n in f])), "|").alias(c)
     return full.select("number", "name", joined("directors", "full_name"), joined("previous_names", "name", "effective_date"), joined("remarks", "remark"))
 
 
+@query(ORACLES["company_with_children"])
+def children_in_buckets(spark, sf_dir):
+    """The same from stored tables that lie in the same buckets, so that the joins need no shuffle."""
+    store = _store(spark, sf_dir)
+    store.ingest(render.company_pages(spark, sf_dir), "company", log=False)
+    where = storage.scratch(spark, "bucketed")
+    saved = store.save_for_joins(where.rpartition("/")[2].replace("-", "_"), where)
+    return _lists_as_text(search.company_with_children(saved["companies"], *[saved[t] for t in company.CHILD_LISTS]))
+
+
 #: Patterns with and without wildcards, by number, too short for a trigram, of quotes, without a match.
 _PATTERNS = (" studio ", "#_____1%5", "100D", "c\" & C", "7", "no such name")
 
@@ -537,6 +552,39 @@ def incremental_ingest_files(spark, sf_dir):
     return store.table("companies").select("number", "name", "status")
 
 
+def _overwrite(spark: SparkSession, at: str, html: DataFrame) -> None:
+    """Put one page in the place of a file, under its old name."""
+    made = storage.scratch(spark, "again")
+    _as_files(html.coalesce(1), made)
+    fs, path = storage.path_of(spark, made)
+    new = next(s.getPath() for s in fs.listStatus(path) if s.getPath().getName().endswith(WRITTEN))
+    old = storage.path_of(spark, at)[1]
+    fs.delete(old, False)
+    fs.rename(new, old)
+
+
+@query(
+    COMPANIES
+    + """ SELECT number, CASE WHEN k IN (2, 4, 6) THEN 'Previous Name' ELSE status END AS status, (SELECT count(*) FROM page) AS new_files, 3 AS changed, 1 AS removed, (SELECT count(*) + 3 FROM page) AS logged FROM co"""
+)
+def changed_files(spark, sf_dir):
+    """A folder of pages, then three of them fetched again under their old names, and one removed."""
+    folder, store, all_pages = storage.scratch(spark, "fetched"), _store(spark, sf_dir), upsert.kept(render.company_pages(spark, sf_dir), "rendered")
+    _as_files(all_pages.select("html"), folder)
+    first = ingest_changes(spark, folder, store, "company", suffix=WRITTEN)
+    names = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), company.page_key(F.col("value")).alias("key")).where(F.col("key").isin("2", "4", "6", "8"))
+    at = {r.key: r.path for r in names.collect()}
+    for key in ("2", "4", "6"):
+        _overwrite(spark, at[key], _without_lists(all_pages.where(F.col("key") == key)).select("html"))
+    fs, path = storage.path_of(spark, at["8"])
+    fs.delete(path, False)
+    second = ingest_changes(spark, folder, store, "company", suffix=WRITTEN)
+    one = F.lit(1).alias("_one")
+    counts = first.agg(F.count_if(F.col("change") == "new").alias("new_files"), one).join(second.agg(F.count_if(F.col("change") == "changed").alias("changed"), F.count_if(F.col("change") == "removed").alias("removed"), one), "_one")
+    logged = store.table("ingest_log").agg(F.count("*").alias("logged"), one)
+    return store.table("companies").select("number", "status", one).join(counts, "_one").join(logged, "_one").drop("_one")
+
+
 # -- raw zone ---------------------------------------------------------------------------------------------------
 
 
@@ -635,6 +683,12 @@ def frontier(spark, sf_dir):
     return planning.crawl_frontier(spark, manifest, 1, render.table(spark, sf_dir, "customer").count() + 100)
 
 
+@query(ORACLES["frontier"])
+def frontier_bitmaps(spark, sf_dir):
+    manifest = render.company_pages(spark, sf_dir).select("key")
+    return planning.bitmap_frontier(spark, manifest, 1, render.table(spark, sf_dir, "customer").count() + 100)
+
+
 _OUTCOMES = """WITH o AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'detail' WHEN 1 THEN 'hits' WHEN 2 THEN 'empty' WHEN 3 THEN 'cached' WHEN 4 THEN 'error' END AS kind, o_orderkey % 4 AS ids FROM orders)"""
 
 
@@ -655,6 +709,16 @@ def outcome_stats(spark, sf_dir):
     return planning.outcome_stats(_outcomes(spark, sf_dir))
 
 
+@query(ORACLES["outcome_stats"])
+def running_outcomes(spark, sf_dir):
+    """The same counters from a stream, after three arrivals."""
+    folder, where, marks = (storage.scratch(spark, name) for name in ("arrivals", "counters", "marks"))
+    for i in range(3):
+        _outcomes(spark, sf_dir).where(F.col("number") % 3 == i).select("kind", "ids_saved").write.mode("append").parquet(folder)
+        count_outcomes(spark, folder, where, marks)
+    return outcomes_so_far(spark, where)
+
+
 @query(_OUTCOMES + " SELECT count(*) FILTER (kind = 'detail') AS details, count(*) FILTER (kind = 'empty') AS skipped, count(*) FILTER (kind IS NULL OR kind NOT IN ('detail', 'empty')) AS errors FROM o")
 def lobbyist_outcome_stats(spark, sf_dir):
     return planning.lobbyist_outcome_stats(_outcomes(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "empty", "skipped").otherwise(F.col("kind"))))

@@ -1,14 +1,17 @@
 """Raw zone, files, replace-by-key loads and the stream."""
 
 import gzip
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from regmill.operators import search, upsert
+from regmill.operators import company, planning, search, upsert
 from regmill.sources import files, pages, storage
 from regmill.sources.schemas import TABLES, check_constraints, conform
 from regmill.streaming.incremental import incremental_ingest
+from regmill.streaming.manifest import ingest_changes
+from regmill.streaming.outcomes import OUTCOMES, count_outcomes, outcomes_so_far
 
 
 def page(number, name="N", directors=(), kind="Company"):
@@ -301,3 +304,80 @@ def test_searches_by_trigrams_equal_scans(spark, tmp_path):
     assert len(found.inputFiles()) < len(store.table("companies").inputFiles()) and found.count() <= 2
     store.merge()
     equal()
+
+
+def _changes(df):
+    return sorted((r.path.rpartition("/")[2], r.change) for r in df.collect())
+
+
+def test_a_page_fetched_again_under_its_name_is_found(spark, store, tmp_path):
+    raw = tmp_path / "raw"
+    for n in "1234":
+        _gz(raw / f"{n}/{n}.html.gz", page(n))
+    _gz(raw / "5/a[5]+ b.html.gz", page("5"))
+    assert [c for _, c in _changes(ingest_changes(spark, str(raw), store, "company"))] == ["new"] * 5
+    assert _changes(ingest_changes(spark, str(raw), store, "company")) == [] and store.versions.current() == 1
+    _gz(raw / "1/1.html.gz", page("1", "a new name"))
+    os.utime(raw / "2/2.html.gz", (1, 1))  # touched, with the same content
+    (raw / "3/3.html.gz").unlink()
+    kept_time, other = (raw / "4/4.html.gz").stat(), gzip.compress(page("4").encode())
+    (raw / "4/4.html.gz").write_bytes(bytes(len(other)) if len(other) == kept_time.st_size else bytes(kept_time.st_size))  # not to be read: no gzip file
+    os.utime(raw / "4/4.html.gz", ns=(kept_time.st_atime_ns, kept_time.st_mtime_ns))
+    _gz(raw / "5/a[5]+ b.html.gz", page("5", "five again"))
+    _gz(raw / "6/6.html.gz", page("6"))
+    found = _changes(ingest_changes(spark, str(raw), store, "company"))
+    assert [(n[0], c) for n, c in found] == [("1", "changed"), ("2", "touched"), ("3", "removed"), ("6", "new"), ("a", "changed")]
+    assert _names(store) == {("1", "a new name"), ("2", "N"), ("3", "N"), ("4", "N"), ("5", "five again"), ("6", "N")}
+    assert store.table("ingest_log").count() == 8  # five, and then three
+    assert _changes(ingest_changes(spark, str(raw), store, "company")) == []
+    assert _changes(ingest_changes(spark, str(tmp_path / "none"), store, "company")) == []
+
+
+def test_changes_that_break_off_are_taken_up_again(spark, store, tmp_path, monkeypatch):
+    raw, whole, calls = tmp_path / "raw", store.ingest, []
+    for n in "123":
+        _gz(raw / f"{n}.html.gz", page(n))
+
+    def breaks(*args, **more):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return whole(*args, **more)
+
+    monkeypatch.setattr(store, "ingest", breaks)
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest_changes(spark, str(raw), store, "company", files_per_batch=1)
+    assert store.table("companies").count() == 1
+    assert [c for _, c in _changes(ingest_changes(spark, str(raw), store, "company", files_per_batch=1))] == ["new"] * 2
+    assert store.table("companies").count() == 3 and store.table("ingest_log").count() == 3
+
+
+def test_children_in_the_same_buckets_are_joined_without_a_shuffle(spark, store, tmp_path):
+    store.ingest(frame(spark, [(str(i), page(str(i), directors=["B A", f"C {i}"][: i % 3])) for i in range(40)]), "company")
+    saved = store.save_for_joins("joined", str(tmp_path / "joined"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        full = search.company_with_children(saved["companies"], *[saved[t] for t in company.CHILD_LISTS])
+        plan = full._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan
+        got = {r.number: [d.full_name for d in r.directors or []] for r in full.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for t in ("companies", *company.CHILD_LISTS):
+            spark.sql(f"DROP TABLE joined_{t}")
+    assert got == {str(i): ["B A", f"C {i}"][: i % 3] for i in range(40)}
+
+
+def test_running_counters_survive_a_restart(spark, tmp_path):
+    folder, where, marks = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "marks")
+    rows = [("hits", ["a", "b", "c"]), ("detail", []), (None, None), ("empty", []), ("odd", ["x"]), ("cached", []), ("hits", [])]
+    assert outcomes_so_far(spark, where).first() == (0,) * 7
+    seen = []
+    for part in (rows[:3], rows[3:4], rows[4:]):
+        spark.createDataFrame(part, OUTCOMES).write.mode("append").parquet(folder)
+        count_outcomes(spark, folder, where, marks)
+        seen += part
+        assert outcomes_so_far(spark, where).first() == planning.outcome_stats(spark.createDataFrame(seen, OUTCOMES)).first()
+    count_outcomes(spark, folder, where, marks)
+    assert outcomes_so_far(spark, where).first().attempted == 7

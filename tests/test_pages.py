@@ -217,3 +217,12 @@ def test_planning(spark):
     manifest = spark.createDataFrame([("2",), ("4",)], "key string")
     assert sorted(r.key for r in planning.crawl_frontier(spark, manifest, 1, 6).collect()) == ["1", "3", "5"]
     assert planning.crawl_frontier(spark, manifest, 1, 6, rescrape=True).count() == 5
+
+
+def test_the_frontier_by_bitmaps(spark):
+    keys = ["2", "02", "+3", "4D", "x", None, "-1", "0", "32768", "32769", "65536", "65537", "9223372036854775808", "2"]
+    manifest = spark.createDataFrame([(k,) for k in keys], "key string").unionByName(spark.range(100_000, 140_000).selectExpr("CAST(id AS STRING) AS key"))
+    for start, stop in ((1, 10), (-3, 4), (-40_000, -39_990), (32_760, 32_780), (65_530, 65_545), (99_990, 140_010), (7, 7), (9, 3)):
+        got = sorted(r.key for r in planning.bitmap_frontier(spark, manifest, start, stop).collect())
+        assert got == sorted(r.key for r in planning.crawl_frontier(spark, manifest, start, stop).collect())
+    assert planning.number_bitmaps(manifest).count() == 6
