@@ -103,3 +103,21 @@ def table_counts(tables: dict[str, DataFrame], landed: DataFrame | None = None)
     if landed is not None:
         parts.append(landed.groupBy(F.concat_ws("/", "registry", "kind").alias("label")).agg(F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def counted_types(counts: DataFrame) -> DataFrame:
+    """count_by_type from counts (table, value, n) that loads keep up."""
+    return counts.where("table = 'companies' AND n > 0").select(F.col("value").alias("corporation_type"), "n")
+
+
+def counted_registries(counts: DataFrame) -> DataFrame:
+    """registry_counts from counts that loads keep up."""
+    of = lambda where, name: F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)).alias(name)
+    kind = lambda k, name: of((F.col("table") == "companies") & (F.col("value") == k), name)
+    return counts.agg(kind("Company", "companies"), kind("Condominium", "condominiums"), kind("Co-operative", "co_operatives"), of(F.col("table") == "lobbyist_registrations", "lobbyists"))
+
+
+def counted_tables(counts: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """table_counts from counts that loads keep up, and counts (label, n) of landed pages."""
+    report = counts.groupBy(F.col("table").alias("label")).agg(F.sum("n").alias("n"))
+    return report if pages is None else report.unionByName(pages)

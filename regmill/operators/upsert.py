@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import page_sha256
+from ..sources import counts
 from ..sources.bucketed import save_companies
 from ..sources.schemas import CHILDREN, TABLES, conform
 from ..sources.storage import BUCKET_BYTES, Tables, kept, scratch
@@ -78,6 +79,8 @@ def lobbyist_tables(parsed: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]
 #: Kind -> parser, and what the tables get.
 KINDS = {"company": (company.parse_companies, company_tables), "lobbyist": (lobbyist.parse_lobbyists, lobbyist_tables)}
 LOG = "ingest_log"
+#: Table -> what its rows are counted by; all are closed sets.
+COUNTED = {"companies": "corporation_type", "lobbyist_registrations": "lobbyist_type", LOG: "concat(kind, if(parsed_ok, ' ok', ' err'))"} | {t.name: "null" for t in CHILDREN}
 
 
 def replaced_by(name: str) -> tuple[str, ...]:
@@ -122,16 +125,16 @@ class Store:
             if done(state):
                 return False
             for name, run in written.items():
-                self.versions.add(state, name, run, named)
+                self._put(state, name, run, named)
                 if name in trigrams.SEARCHED and state["notes"].get("search index"):
                     if name not in grams:  # of the rows as they were written
                         grams[name] = self._indexed(self.spark.read.schema(TABLES[name].schema).parquet(f"{self.versions.root}/{run['folder']}"), name)
                     self._add_index(state, name, named, grams[name])
             if log:
                 made, state["notes"]["last log id"] = numbered_log(log_rows(parsed, kind), state["notes"].get("last log id", 0))
-                self.versions.append(state, LOG, self.versions.write(made, LOG))
+                self._put(state, LOG, self.versions.write(made, LOG), None)
             for name, (rows_, keys_) in (beside or {}).items():
-                self.versions.add(state, name, rows_, keys_)
+                self._put(state, name, rows_, keys_)
             if batch:
                 state["notes"][f"batch {batch[0]}"] = batch[1]
 
@@ -148,10 +151,34 @@ class Store:
 
         def change(state: dict) -> None:
             for name, (rows, keys) in runs.items():
-                self.versions.add(state, name, rows, keys)
+                self._put(state, name, rows, keys)
 
         return self.versions.commit(change)
 
+    def _put(self, state: dict, name: str, rows: dict | None, keys: dict | None) -> None:
+        """A run on top of a table, or rows behind an appended one, and the counts with it."""
+        if name in TABLES:
+            counts.keep_up(self.versions, state, name, TABLES[name].schema, replaced_by(name), rows, keys)
+        if keys is None:
+            self.versions.append(state, name, rows)
+        else:
+            self.versions.add(state, name, rows, keys)
+
+    def create_counts(self) -> int:
+        """Count all tables; from now on every load keeps the counts up."""
+
+        def change(state: dict) -> bool | None:
+            if "counts" in state["notes"]:
+                return False
+            for name, by in COUNTED.items():
+                counts.start(self.versions, state, name, TABLES[name].schema, replaced_by(name), by)
+
+        return self.versions.commit(change)
+
+    def counts(self) -> DataFrame:
+        """table, value, n as the newest version notes them: no file of a table is opened."""
+        return counts.noted(self.versions)
+
     def save_for_joins(self, prefix: str, where: str | None = None) -> dict[str, DataFrame]:
         """The company tables of now as catalog tables in the same buckets, as many as the largest one's bytes ask for."""
         tables = {t: self.table(t) for t in ("companies", *[c.name for c in CHILDREN])}

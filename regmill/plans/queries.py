@@ -431,6 +431,47 @@ def upsert_replace(spark, sf_dir):
     return two_runs(spark, sf_dir).table("companies").select("number", "name", "status", "ro_city")
 
 
+@query(
+    COMPANIES
+    + """, lob AS (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 103 <> 0)
+SELECT count(*) FILTER (corporation_type = 'Company') AS companies, count(*) FILTER (corporation_type = 'Condominium') AS condominiums,
+  count(*) FILTER (corporation_type = 'Co-operative') AS co_operatives, (SELECT n FROM lob) AS lobbyists FROM co"""
+)
+def registry_counts_kept(spark, sf_dir):
+    """The counts that loads keep up: all companies, the even ones again, and the lobbyists."""
+    return search.counted_registries(_counted_store(spark, sf_dir).counts())
+
+
+@query(
+    DIRECTORS
+    + NAMES.removeprefix(COMPANIES)
+    + REMARKS.removeprefix(COMPANIES)
+    + """ SELECT 'companies' AS label, count(*) AS n FROM co UNION ALL SELECT 'company_directors', count(*) FROM dirs JOIN co ON company_number = number WHERE k % 2 = 1
+UNION ALL SELECT 'company_previous_names', count(*) FROM names UNION ALL SELECT 'company_historical_remarks', count(*) FROM rem JOIN co ON company_number = number WHERE k % 2 = 1
+UNION ALL SELECT 'lobbyist_registrations', count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 103 <> 0
+UNION ALL SELECT 'ingest_log', (SELECT count(*) + count(*) FILTER (c_custkey % 2 = 0) FROM customer) + (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey)
+UNION ALL SELECT 'r/detail', count(*) FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT 'r/list', count(*) FROM pages WHERE page_id % 2 = 0"""
+)
+def table_counts_kept(spark, sf_dir):
+    """The same of every table, and of pages that are landed, landed again, and in part removed."""
+    root, found = storage.scratch(spark, "landed"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    landed = lambda kind: found.select(F.lit("r").alias("registry"), F.lit(kind).alias("kind"), F.col("page_id").cast("string").alias("key"), "html", "url")
+    pages.land_pages(landed("detail"), root)
+    pages.count_pages(spark, root)
+    pages.land_pages(landed("list").where("key % 2 = 0").unionByName(landed("detail").where("key % 5 = 0")), root)
+    pages.remove_pages(spark, root, landed("detail").where("key % 3 = 0").select("registry", "kind", "key"))
+    return search.counted_tables(_counted_store(spark, sf_dir).counts(), pages.page_counts(spark, root))
+
+
+def _counted_store(spark: SparkSession, sf_dir: str) -> upsert.Store:
+    store, all_pages = _store(spark, sf_dir), render.company_pages(spark, sf_dir)
+    store.ingest(all_pages, "company")
+    store.create_counts()
+    store.ingest(_without_lists(_even(all_pages)), "company")
+    store.ingest(render.lobbyist_pages(spark, sf_dir), "lobbyist")
+    return store
+
+
 @query(COMPANIES + " SELECT number, name, CASE WHEN k % 2 = 0 THEN 'Previous Name' ELSE status END AS status, ro_city FROM co")
 def upsert_merged(spark, sf_dir):
     """The same after the runs were merged into a base."""

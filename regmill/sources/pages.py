@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import safe_key, shard_key
+from . import counts
 from .storage import Tables, exists, kept
 
 LANDED = StructType([StructField(c, StringType()) for c in ("key", "html", "url", "registry", "kind", "shard")])
@@ -68,11 +69,27 @@ def land_pages(pages: DataFrame, root: str) -> int:
     tables = Tables(pages.sparkSession, root)
     rows = tables.write(new, TABLE)
     keys = tables.write_keys(pages.sparkSession.read.schema(LANDED).parquet(f"{tables.root}/{rows['folder']}").select(*KEY), TABLE)
-    version = tables.commit(lambda state: tables.add(state, TABLE, rows, keys))
+    version = tables.commit(lambda state: _put(tables, state, rows, keys))
     tables.tend(TABLE, LANDED, KEY)
     return version
 
 
+def _put(tables: Tables, state: dict, rows: dict | None, keys: dict) -> None:
+    counts.keep_up(tables, state, TABLE, LANDED, KEY, rows, keys)
+    tables.add(state, TABLE, rows, keys)
+
+
+def count_pages(spark: SparkSession, root: str) -> int:
+    """Count the landed pages of each registry and kind; from now on landing and removing keep the counts up."""
+    tables = Tables(spark, root)
+    return tables.commit(lambda state: False if "counts" in state["notes"] else counts.start(tables, state, TABLE, LANDED, KEY, "concat_ws('/', registry, kind)"))
+
+
+def page_counts(spark: SparkSession, root: str) -> DataFrame:
+    """label (registry/kind) and n of the landed pages, as the newest version notes them."""
+    return counts.noted(Tables(spark, root)).where("n > 0").select(F.col("value").alias("label"), "n")
+
+
 def remove_pages(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """Take the pages with the given (registry, kind, key) out of a landed table; returns those of them that were there.
 
@@ -82,7 +99,7 @@ def remove_pages(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     wanted = kept(keys.select("registry", "kind", safe_key("key").alias("key")).distinct(), "unwanted")
     there = kept(wanted.join(landed(spark, root).select(*KEY), list(KEY), "left_semi"), "removed")
     named = tables.write_keys(wanted.select(*KEY), TABLE)
-    tables.commit(lambda state: tables.add(state, TABLE, None, named))
+    tables.commit(lambda state: _put(tables, state, None, named))
     tables.tend(TABLE, LANDED, KEY)
     return there
 

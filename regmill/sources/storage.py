@@ -162,6 +162,10 @@ class Tables:
     def _read(self, schema, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def rows_in(self, made: dict, schema: StructType) -> DataFrame:
+        """The rows of a folder that was written, whether a version lists it or not."""
+        return self._read(schema, [made["folder"]])
+
     def _runs(self, runs: list[dict], part: str, schema) -> DataFrame | None:
         """The rows or keys of runs with the run's number under _run."""
         parts = [self._read(schema, [r[part]["folder"]]).withColumn("_run", F.lit(i)) for i, r in enumerate(runs) if r[part]]

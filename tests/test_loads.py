@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regmill.operators import company, planning, search, upsert
-from regmill.sources import files, pages, storage
+from regmill.sources import counts, files, pages, storage
 from regmill.sources.schemas import TABLES, check_constraints, conform
 from regmill.streaming.incremental import incremental_ingest
 from regmill.streaming.manifest import ingest_changes
@@ -381,3 +381,63 @@ def test_running_counters_survive_a_restart(spark, tmp_path):
         assert outcomes_so_far(spark, where).first() == planning.outcome_stats(spark.createDataFrame(seen, OUTCOMES)).first()
     count_outcomes(spark, folder, where, marks)
     assert outcomes_so_far(spark, where).first().attempted == 7
+
+
+def test_counts_are_kept_up(spark, store, monkeypatch):
+    with pytest.raises(ValueError, match="not counted"):
+        store.counts()
+    store.ingest(frame(spark, [("1", page("1", directors=["A B", "C"])), ("2", page("2", kind="Condominium")), ("bad", "<p>")]), "company")
+    store.create_counts()
+
+    def same():
+        noted = store.counts()
+        assert not noted.inputFiles() and "FileScan" not in noted._jdf.queryExecution().toString()
+        assert {(r.corporation_type, r.n) for r in search.counted_types(noted).collect()} == {(r.corporation_type, r.n) for r in search.count_by_type(store.table("companies")).collect()}
+        assert search.counted_registries(noted).first() == search.registry_counts(store.table("companies"), store.table("lobbyist_registrations")).first()
+        assert set(search.counted_tables(noted).collect()) == set(search.table_counts({n: store.table(n) for n in TABLES}).collect())
+        logged = {r.value: r.n for r in noted.where("table = 'ingest_log'").collect()}
+        assert logged.get("company ok", 0) == store.table("ingest_log").where("kind = 'company' AND parsed_ok").count()
+
+    same()
+    # a number that changes its type, a list that shrinks, a failed page of a stored number, a number that is new
+    store.ingest(frame(spark, [("1", page("1", kind="Co-operative", directors=["A B"])), ("2", "<p>"), ("3", page("3"))]), "company")
+    same()
+    for _ in range(2):  # a replay counts nothing
+        store.ingest(frame(spark, [("4", page("4"))]), "company", batch=("s", 1))
+    store.merge()
+    same()
+    monkeypatch.setattr(counts, "FEW", 2)  # by a join with the keys
+    store.ingest(frame(spark, [(str(i), page(str(i), kind="Condominium", directors=["X"])) for i in range(9)]), "company")
+    same()
+    # rows taken away by their keys
+    gone = store.versions.write_keys(spark.createDataFrame([("1",), ("nowhere",)], "number string"), "gone")
+    store.publish({"companies": (None, gone), "company_directors": (None, gone)})
+    same()
+    assert store.create_counts() == store.versions.current()
+
+
+def test_counts_of_loads_at_one_time(spark, store):
+    store.create_counts()
+    other = store.versions.write_keys(spark.createDataFrame([("1",)], "number string"), "companies")
+    commit = store.versions.commit
+
+    def late(change):
+        store.versions.commit = commit
+        store.ingest(frame(spark, [("1", page("1", kind="Condominium"))]), "company")  # another load of the same number is first
+        return commit(change)
+
+    store.versions.commit = late
+    store.ingest(frame(spark, [("1", page("1")), ("2", page("2"))]), "company")
+    assert {(r.corporation_type, r.n) for r in search.counted_types(store.counts()).collect()} == {("Company", 2)}
+    store.publish({"companies": (None, other)})
+    assert {(r.corporation_type, r.n) for r in search.counted_types(store.counts()).collect()} == {("Company", 1)}
+
+
+def test_counts_of_many_values_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counts, "VALUES", 3)
+    landed = lambda n: spark.range(n).selectExpr("concat('r', id) AS registry", "'k' AS kind", "'1' AS key", "'h' AS html", "'u' AS url")
+    pages.land_pages(landed(3), str(tmp_path / "l"))
+    pages.count_pages(spark, str(tmp_path / "l"))
+    assert {(r.label, r.n) for r in pages.page_counts(spark, str(tmp_path / "l")).collect()} == {("r0/k", 1), ("r1/k", 1), ("r2/k", 1)}
+    with pytest.raises(ValueError, match="more than 3 values"):
+        pages.land_pages(landed(4), str(tmp_path / "l"))
