@@ -9,10 +9,10 @@ those of rows without an id, or with one id, differ. An empty table gives one em
 
 Reading: archives are parsed by their Content-Length headers; digests and lengths of responses are those of the
 payload that was read, revisits carry them in their headers. Every archive yields one run of captures, sorted by
-URL key, time and page id.
+URL key, time and page id, and numbered in that order.
 
-Merging: runs are cut at common range boundaries, as many as the number of captures asks for, and each range, of
-bounded size, merges its pieces with a k-way loser tree.
+Merging: runs are cut at common range boundaries, as many as the number of captures asks for; the pieces of a range, of
+bounded size, keep the order of their runs, and a k-way loser tree merges them.
 A URL that holds many captures is cut by time too. The result is globally ordered by (part, place).
 """
 
@@ -43,6 +43,8 @@ CAPTURE = (
     "url string, url_key string, captured_at string, archive string, offset long, length long"
 )
 COLUMNS = [x.split()[0] for x in CAPTURE.split(", ")]
+#: A capture of a run has its place in the run's order too.
+RUN = CAPTURE + ", in_run long"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -143,13 +145,14 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((_page(h.get("warc-record-id")), size, digest, h["warc-type"], _page(h.get("warc-refers-to")), url, url_key(url or ""), h["warc-date"], path.as_py(), offset, length))
             rows.sort(key=_order)
             columns = zip(*rows, strict=True) if rows else [[]] * len(COLUMNS)
-            yield pa.record_batch({c: pa.array(list(v), pa.int64() if c in ("page_id", "payload_bytes", "refers_to", "offset", "length") else pa.string()) for c, v in zip(COLUMNS, columns, strict=True)})
+            typed = {c: pa.array(list(v), pa.int64() if c in ("page_id", "payload_bytes", "refers_to", "offset", "length") else pa.string()) for c, v in zip(COLUMNS, columns, strict=True)}
+            yield pa.record_batch(typed | {"in_run": pa.array(range(len(rows)), pa.int64())})
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The captures of all archives in a folder, one sorted run for each archive."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInArrow(_captures, CAPTURE)
+    return files.select("path", "content").mapInArrow(_captures, RUN)
 
 
 class LoserTree:
@@ -214,8 +217,8 @@ def merge(captures: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFram
     runs = cut(captures, "runs")
     order = [F.asc("url_key"), F.asc("captured_at"), F.asc_nulls_first("page_id")]
     ranges = runs.repartitionByRange(max(1, -(-runs.count() // rows_per_range)), *order).withColumn("part", F.spark_partition_id())
-    # within a range each run keeps its own order
-    return ranges.sortWithinPartitions("archive", *order).mapInArrow(_merged, CAPTURE + ", part int, place long")
+    # a piece of a run comes in the order in which the run was sorted; only the merge compares captures
+    return ranges.sortWithinPartitions("archive", "in_run").mapInArrow(_merged, CAPTURE + ", part int, place long")
 
 
 def archive_and_index(pages: DataFrame, least: int = 0) -> DataFrame:

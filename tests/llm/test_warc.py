@@ -50,6 +50,18 @@ def test_a_page_larger_than_an_archive_and_many_ranges(spark, tmp_path, monkeypa
     assert history == sorted(history) and [(r.part, r.place) for r in got] == sorted((r.part, r.place) for r in got)
 
 
+def test_the_merge_takes_runs_in_their_own_order(spark, tmp_path):
+    """Pieces are put together by the run and the place in it: a run that is in no order makes a history that is in none."""
+    rows = [(i, f"http://h{i * 7 % 10}.org/", "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write(df, str(tmp_path / "w"))
+    runs = warc.read(spark, str(tmp_path / "w"))
+    history = lambda captures: [(r.url_key, r.captured_at, r.page_id) for r in warc.merge(captures).collect()]
+    assert history(runs) == sorted(history(runs))
+    turned = history(runs.selectExpr("* except (in_run)", "-in_run as in_run"))
+    assert sorted(turned) == history(runs) != turned
+
+
 def test_record_ids_differ(spark, tmp_path):
     df = spark.createDataFrame([(None, "http://a.b", "x"), (None, "http://a.b", "x"), (4, "http://a.b", "x"), (4, "http://a.b", "x"), (3, "http://a.b", "x")], "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "w"))
