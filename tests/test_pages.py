@@ -1,6 +1,7 @@
 """Extraction from hand-made pages."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from regmill.functions import labels as L
 from regmill.operators import company, lobbyist, planning
 from regmill.plans import queries as registry
+from regmill.plans import render
 
 
 def one(spark, make, html):
@@ -59,6 +61,17 @@ def test_labels_of_large_pages(spark):
     assert len(found["lblB"]) == 3999 and len(found["lblA"]) == 700_000 + 1 + 3999 + 3000 * 2
 
 
+def test_labels_of_deeply_nested_pages(spark):
+    start = time.monotonic()
+    found = one(spark, L.lobbyist_label_map, "<div id='lblA'>" + "<i>" * 20_000 + "x" + "</i>" * 20_000 + "</div><p id=lblB>y")
+    assert found == {"lblA": "x", "lblB": "y"} and time.monotonic() - start < 60
+
+
+def test_rendered_pages_are_dealt_to_all_tasks(spark, sf):
+    for pages in (render.company_pages, render.lobbyist_pages, render.nested_pages):
+        assert pages(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_lobbyist_text_keeps_blank_lines_and_hard_blanks(spark):
     html = '<div id="lblA">\u00a0 a\n\n b&nbsp;c \r\n<br/>\n<br/><i></i> caf&eacute;&#233;&#x2013;\t \t1 &copy 2 &amp;lt;\u00a0</div>'
     assert one(spark, L.lobbyist_label_map, html) == {"lblA": "a\n\nb\u00a0c\n\n\n\ncaféé– 1 © 2 &lt;"}
