@@ -697,10 +697,15 @@ def error_log_round_trip(spark, sf_dir):
     return files.read_error_log(spark, where)
 
 
+def _dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the pages, dealt to all tasks: a file for each is made, which takes a task longer than its text."""
+    return render.table(spark, sf_dir, "pages").select("html").repartition(spark.sparkContext.defaultParallelism)
+
+
 @query("SELECT sha256(html || chr(10)) AS content, count(*) AS n, count(*) AS keys FROM pages GROUP BY 1")
 def scan_detail_pages(spark, sf_dir):
     """A folder of gzipped pages; list pages below it are not read."""
-    where, html = storage.scratch(spark, "raw"), render.table(spark, sf_dir, "pages").select("html")
+    where, html = storage.scratch(spark, "raw"), _dealt_pages(spark, sf_dir)
     _as_files(html, where)
     _as_files(html, f"{where}/_list")
     return pages.scan_detail_pages(spark, where, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
@@ -709,7 +714,7 @@ def scan_detail_pages(spark, sf_dir):
 @query("SELECT sha256(html || chr(10)) AS content, 2 * count(*) AS n, 2 * count(*) AS keys FROM pages GROUP BY 1")
 def scan_list_pages(spark, sf_dir):
     """Two list folders, each named itself."""
-    folders, html = [f"{storage.scratch(spark, 'raw')}/_list" for _ in range(2)], render.table(spark, sf_dir, "pages").select("html")
+    folders, html = [f"{storage.scratch(spark, 'raw')}/_list" for _ in range(2)], _dealt_pages(spark, sf_dir)
     for where in folders:
         _as_files(html, where)
     return pages.scan_list_pages(spark, *folders, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
