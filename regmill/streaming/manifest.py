@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import islice
 
@@ -21,15 +20,15 @@ MANIFEST = StructType().add("source", "string").add("path", "string").add("lengt
 
 
 def listing(spark: SparkSession, folder: str, suffix: str = DETAIL) -> DataFrame:
-    """path, length and modified of each file, and its name to read it by; contents are not read. A missing folder is empty."""
+    """path, length and modified of each file; contents are not read. A missing folder is empty."""
     if not exists(spark, folder):
-        return spark.createDataFrame([], "path string, length long, modified timestamp, file string")
+        return spark.createDataFrame([], "path string, length long, modified timestamp")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
-    return found.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time", "path").toDF("path", "length", "modified", "file")
+    return found.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").toDF("path", "length", "modified")
 
 
 def difference(now: DataFrame, known: DataFrame) -> DataFrame:
-    """path, file and change of every file: new, changed (another length or time), same, or removed (known, but not there)."""
+    """path and change of every file: new, changed (another length or time), same, or removed (known, but not there)."""
     old = known.select("path", F.col("length").alias("_length"), F.col("modified").alias("_modified"))
     change = (
         F.when(F.col("_length").isNull(), "new")
@@ -37,20 +36,22 @@ def difference(now: DataFrame, known: DataFrame) -> DataFrame:
         .when((F.col("length") != F.col("_length")) | (F.col("modified") != F.col("_modified")), "changed")
         .otherwise("same")
     )
-    return now.join(old, "path", "full").select("path", "file", change.alias("change"))
+    return now.join(old, "path", "full").select("path", change.alias("change"))
 
 
-def _in_batches(names: DataFrame, size: int) -> Iterator[list[str]]:
-    """The files' names, `size` at a time; the driver holds one batch and one partition."""
-    rows = names.toLocalIterator()
+def _in_batches(paths: DataFrame, size: int) -> Iterator[list[str]]:
+    """The files' paths, `size` at a time; the driver holds one batch and one partition."""
+    rows = paths.toLocalIterator()
     while some := [r[0] for r in islice(rows, size)]:
         yield some
 
 
-def _read(spark: SparkSession, names: list[str], suffix: str) -> DataFrame:
-    """The files with these very names, whatever characters a name has."""
-    literal = [re.sub(r"([\\{}\[\]*?])", r"\\\1", n) for n in names]
-    found = spark.read.text(literal, wholetext=True)
+def _read(spark: SparkSession, folder: str, paths: list[str], suffix: str) -> DataFrame:
+    """The files of a folder that have these very paths. Spark leaves the others out of its listing by the filter, so it does not read them;
+    naming each file to the reader instead takes a look at the store, and a task, for every one."""
+    quoted = ", ".join("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in paths)
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
+    found = found.where(F.expr(f"_metadata.file_path IN ({quoted})"))
     at = F.col("_metadata.file_path")
     return found.select(at.alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modified"), file_key(at, suffix).alias("key"), F.col("value").alias("html"), page_sha256("value").alias("sha256"))
 
@@ -67,8 +68,8 @@ def ingest_changes(spark: SparkSession, folder: str, store: Store, kind: str, fi
     found = kept(difference(listing(spark, folder, suffix), known()).where("change <> 'same'"), "changes")
     before = kept(known().join(found.where("change = 'changed'").select("path"), "path", "left_semi").select("path", "sha256"), "before")
     touched = []
-    for names in _in_batches(found.where("change <> 'removed'").select("file"), files_per_batch):
-        read = kept(_read(spark, names, suffix), "read")
+    for paths in _in_batches(found.where("change <> 'removed'").select("path"), files_per_batch):
+        read = kept(_read(spark, folder, paths, suffix), "read")
         rows = store.versions.write(read.select(F.lit(source).alias("source"), "path", "length", "modified", "sha256"), TABLE)
         manifest = {TABLE: (rows, store.versions.write_keys(read.select(F.lit(source).alias("source"), "path"), TABLE))}
         fresh = read.join(before, ["path", "sha256"], "left_anti")

@@ -10,6 +10,8 @@ from regmill.operators import company, planning, search, upsert
 from regmill.sources import counts, files, pages, storage
 from regmill.sources.schemas import TABLES, check_constraints, conform
 from regmill.streaming.incremental import incremental_ingest
+from regmill.plans import queries as registry
+from regmill.streaming import manifest
 from regmill.streaming.manifest import ingest_changes
 from regmill.streaming.outcomes import OUTCOMES, count_outcomes, outcomes_so_far
 
@@ -441,3 +443,13 @@ def test_counts_of_many_values_are_refused(spark, tmp_path, monkeypatch):
     assert {(r.label, r.n) for r in pages.page_counts(spark, str(tmp_path / "l")).collect()} == {("r0/k", 1), ("r1/k", 1), ("r2/k", 1)}
     with pytest.raises(ValueError, match="more than 3 values"):
         pages.land_pages(landed(4), str(tmp_path / "l"))
+
+
+def test_a_folder_is_listed_once_and_only_named_files_are_read(spark, tmp_path):
+    for name in ("it's \\ 1", "b"):
+        (tmp_path / f"{name}.html.gz").write_bytes(gzip.compress(name.encode()))
+    (path,) = (r.path for r in manifest.listing(spark, str(tmp_path)).collect() if "it" in r.path)
+    read = manifest._read(spark, str(tmp_path), [path], ".html.gz")
+    assert [r.html for r in read.collect()] == ["it's \\ 1"]
+    assert len(read.inputFiles()) == 2  # the folder, not a name for each file, is what the reader is given
+    assert registry._dealt_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
