@@ -574,31 +574,22 @@ def ingest_all(spark, sf_dir):
     return search.table_counts({n: store.table(n) for n in ("companies", "lobbyist_registrations")} | logged)
 
 
-#: The suffix of the files that Spark's text writer makes.
-WRITTEN = ".txt.gz"
-
-
-def _as_files(html: DataFrame, folder: str) -> None:
-    """One gzipped file for each page, named by Spark."""
-    html.write.mode("append").options(compression="gzip", maxRecordsPerFile=1).text(folder)
-
-
 @query(COMPANIES + " SELECT number, name, status FROM co")
 def incremental_ingest_files(spark, sf_dir):
     folder, marks, store = storage.scratch(spark, "arrivals"), storage.scratch(spark, "marks"), _store(spark, sf_dir)
     all_pages = render.company_pages(spark, sf_dir)
     for batch in (_even(all_pages), all_pages.where("c_custkey % 2 = 1")):
-        _as_files(batch.select("html"), folder)
-        incremental_ingest(spark, folder, store, "company", marks, suffix=WRITTEN)
+        pages.write_files(batch.select("html"), folder)
+        incremental_ingest(spark, folder, store, "company", marks, suffix=pages.WRITTEN)
     return store.table("companies").select("number", "name", "status")
 
 
 def _overwrite(spark: SparkSession, at: str, html: DataFrame) -> None:
     """Put one page in the place of a file, under its old name."""
     made = storage.scratch(spark, "again")
-    _as_files(html.coalesce(1), made)
+    pages.write_files(html.coalesce(1), made)
     fs, path = storage.path_of(spark, made)
-    new = next(s.getPath() for s in fs.listStatus(path) if s.getPath().getName().endswith(WRITTEN))
+    new = next(s.getPath() for s in fs.listStatus(path) if s.getPath().getName().endswith(pages.WRITTEN))
     old = storage.path_of(spark, at)[1]
     fs.delete(old, False)
     fs.rename(new, old)
@@ -611,15 +602,15 @@ def _overwrite(spark: SparkSession, at: str, html: DataFrame) -> None:
 def changed_files(spark, sf_dir):
     """A folder of pages, then three of them fetched again under their old names, and one removed."""
     folder, store, all_pages = storage.scratch(spark, "fetched"), _store(spark, sf_dir), upsert.kept(render.company_pages(spark, sf_dir), "rendered")
-    _as_files(all_pages.select("html"), folder)
-    first = ingest_changes(spark, folder, store, "company", suffix=WRITTEN)
+    pages.write_files(all_pages.select("html"), folder)
+    first = ingest_changes(spark, folder, store, "company", suffix=pages.WRITTEN)
     names = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), company.page_key(F.col("value")).alias("key")).where(F.col("key").isin("2", "4", "6", "8"))
     at = {r.key: r.path for r in names.collect()}
     for key in ("2", "4", "6"):
         _overwrite(spark, at[key], _without_lists(all_pages.where(F.col("key") == key)).select("html"))
     fs, path = storage.path_of(spark, at["8"])
     fs.delete(path, False)
-    second = ingest_changes(spark, folder, store, "company", suffix=WRITTEN)
+    second = ingest_changes(spark, folder, store, "company", suffix=pages.WRITTEN)
     one = F.lit(1).alias("_one")
     counts = first.agg(F.count_if(F.col("change") == "new").alias("new_files"), one).join(second.agg(F.count_if(F.col("change") == "changed").alias("changed"), F.count_if(F.col("change") == "removed").alias("removed"), one), "_one")
     logged = store.table("ingest_log").agg(F.count("*").alias("logged"), one)
@@ -706,9 +697,9 @@ def _dealt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_detail_pages(spark, sf_dir):
     """A folder of gzipped pages; list pages below it are not read."""
     where, html = storage.scratch(spark, "raw"), _dealt_pages(spark, sf_dir)
-    _as_files(html, where)
-    _as_files(html, f"{where}/_list")
-    return pages.scan_detail_pages(spark, where, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+    pages.write_files(html, where)
+    pages.write_files(html, f"{where}/_list")
+    return pages.scan_detail_pages(spark, where, suffix=pages.WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
 
 @query("SELECT sha256(html || chr(10)) AS content, 2 * count(*) AS n, 2 * count(*) AS keys FROM pages GROUP BY 1")
@@ -716,8 +707,8 @@ def scan_list_pages(spark, sf_dir):
     """Two list folders, each named itself."""
     folders, html = [f"{storage.scratch(spark, 'raw')}/_list" for _ in range(2)], _dealt_pages(spark, sf_dir)
     for where in folders:
-        _as_files(html, where)
-    return pages.scan_list_pages(spark, *folders, suffix=WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+        pages.write_files(html, where)
+    return pages.scan_list_pages(spark, *folders, suffix=pages.WRITTEN).groupBy(text.page_sha256("html").alias("content")).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
 
 
 # -- planning ---------------------------------------------------------------------------------------------------

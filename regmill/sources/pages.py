@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+import gzip
+import os
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from hashlib import sha256
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import safe_key, shard_key
 from . import counts
-from .storage import Tables, exists, kept
+from .storage import Tables, exists, kept, path_of
 
 LANDED = StructType([StructField(c, StringType()) for c in ("key", "html", "url", "registry", "kind", "shard")])
-DETAIL, LISTED = ".html.gz", ".list.html.gz"
+#: Suffixes of detail and list pages, and of the files that write_files makes.
+DETAIL, LISTED, WRITTEN = ".html.gz", ".list.html.gz", ".txt.gz"
+
+
+def write_files(html: DataFrame, folder: str) -> None:
+    """Add one gzipped file for each page (the one column) to a folder, under names of their own: the page and a line feed.
+
+    Spark's text writer makes such files too, and does so for any store. To a local folder the tasks write them themselves, as Hadoop
+    starts two processes (chmod) for every file that it creates there, which takes it a hundred times as long as the file.
+    """
+    fs, path = path_of(html.sparkSession, folder)
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(path)
+        html.mapInArrow(_files_of(path.toUri().getPath(), uuid.uuid4().hex), "files long").write.format("noop").mode("overwrite").save()
+    else:  # each task puts its files in place, where else the driver renames them one by one
+        html.write.mode("append").options(**{"mapreduce.fileoutputcommitter.algorithm.version": 2}, compression="gzip", maxRecordsPerFile=1).text(folder)
+
+
+def _files_of(folder: str, run: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes a file for each row. Names come from a partition's number and contents, so a task that is tried again makes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, copies = TaskContext.get(), Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                content = ((value.as_py() or "") + "\n").encode()
+                digest = sha256(content).digest()
+                copies[digest] += 1
+                name = f"{run}-{task.partitionId():05d}-{digest.hex()}-{copies[digest]}{WRITTEN}"
+                hidden = f"{folder}/.{name}.{task.taskAttemptId()}"  # until it is whole
+                with open(hidden, "wb") as f:
+                    f.write(gzip.compress(content, 6, mtime=0))
+                os.replace(hidden, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    return write
 
 
 def _scan(spark: SparkSession, folder: str, suffix: str) -> DataFrame:

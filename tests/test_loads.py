@@ -11,7 +11,7 @@ from regmill.sources import counts, files, pages, storage
 from regmill.sources.schemas import TABLES, check_constraints, conform
 from regmill.streaming.incremental import incremental_ingest
 from regmill.plans import queries as registry
-from regmill.streaming import manifest
+from regmill.streaming import incremental, manifest
 from regmill.streaming.manifest import ingest_changes
 from regmill.streaming.outcomes import OUTCOMES, count_outcomes, outcomes_so_far
 
@@ -453,3 +453,62 @@ def test_a_folder_is_listed_once_and_only_named_files_are_read(spark, tmp_path):
     assert [r.html for r in read.collect()] == ["it's \\ 1"]
     assert len(read.inputFiles()) == 2  # the folder, not a name for each file, is what the reader is given
     assert registry._dealt_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_of_files_is_listed_by_few_tasks(spark, store, tmp_path, monkeypatch):
+    raw, whole, groups, cost = tmp_path / "raw", store.ingest, set(), incremental.OPEN_COST
+    for n in range(200):
+        _gz(raw / f"{n}.html.gz", page(n))
+
+    def ingest(found, *args, **more):
+        groups.add(spark.sparkContext.getLocalProperty("spark.jobGroup.id"))
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        return whole(found, *args, **more)
+
+    monkeypatch.setattr(store, "ingest", ingest)
+    before = {k: spark.conf.get(k) for k in (incremental.LISTING, cost)}
+    incremental_ingest(spark, str(raw), store, "company", str(tmp_path / "marks"))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for g in groups for j in tracker.getJobIdsForGroup(g) for s in tracker.getJobInfo(j).stageIds]
+    assert groups and stages and max(s.numTasks for s in stages if s) < 200  # not one for each file
+    assert {k: spark.conf.get(k) for k in before} == before and store.table("companies").count() == 200
+    spark.conf.set(cost, "64k")
+    try:  # what is lower already stays
+        with incremental._at_most(spark, {cost: 256 << 10}):
+            assert spark.conf.get(cost) == str(64 << 10)
+        assert spark.conf.get(cost) == "64k"
+    finally:
+        spark.conf.unset(cost)
+
+
+def test_page_files_are_made_without_a_process_for_each(spark, tmp_path):
+    rows = spark.createDataFrame([("é",), ("same",), ("same",), (None,), ("a\nb",)], "html string").coalesce(1)
+    raw = tmp_path / "a b%20c"
+    for _ in range(2):
+        pages.write_files(rows, f"file://{raw}")
+    made = list(raw.iterdir())
+    assert len(made) == 10 and not [f for f in made if f.suffix != ".gz"]  # no checksum files, which Hadoop makes
+    assert sorted(gzip.decompress(f.read_bytes()).decode() for f in made) == sorted(2 * ["é\n", "same\n", "same\n", "\n", "a\nb\n"])
+    pages.write_files(rows.limit(0), str(tmp_path / "none"))
+    assert pages.scan_detail_pages(spark, str(tmp_path / "none"), suffix=pages.WRITTEN).count() == 0
+    assert pages.scan_detail_pages(spark, str(raw), suffix=pages.WRITTEN).count() == 10
+
+
+def test_a_task_that_is_tried_again_makes_the_same_files(spark, tmp_path):
+    rows = spark.createDataFrame([("x",), ("y",), ("y",)], "html string")
+    for order in ("html", F.desc("html")):
+        rows.coalesce(1).sortWithinPartitions(order).mapInArrow(pages._files_of(str(tmp_path), "run"), "files long").collect()
+    assert sorted(gzip.decompress(f.read_bytes()) for f in tmp_path.iterdir()) == [b"x\n", b"y\n", b"y\n"]
+
+
+def test_other_stores_get_page_files_by_spark(spark, tmp_path, monkeypatch):
+    class Far:
+        def getUri(self):
+            return self
+
+        def getScheme(self):
+            return "far"
+
+    monkeypatch.setattr(pages, "path_of", lambda spark, folder: (Far(), None))
+    pages.write_files(spark.createDataFrame([("x",), ("y",)], "html string").coalesce(1), str(tmp_path / "out"))
+    assert sorted(r.html for r in pages.scan_detail_pages(spark, str(tmp_path / "out"), suffix=pages.WRITTEN).collect()) == ["x\n", "y\n"]
