@@ -143,6 +143,14 @@ def test_csv_and_error_log(spark, tmp_path):
     assert files.read_error_log(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_csv_keeps_white_space_at_the_ends_and_empty_texts(spark, tmp_path):
+    texts = [None, "", "\\", "\\\\", "\\\n", "\\N", " ", "  a", "a  ", "\ta\n", "\n", "\r\n", "\ra\r", "\u00a0a\u2003", "\x00a\x00", '"', '""', ',",\n"', "null"]
+    rows = spark.createDataFrame([(i, t, d) for i, t in enumerate(texts) for d in texts], "n int, a string, `b.c` string").repartition(3)
+    files.write_typed_csv(rows, str(tmp_path / "csv"))
+    got = files.read_typed_csv(spark, str(tmp_path / "csv"), rows.schema)
+    assert got.columns == rows.columns and sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+
+
 def test_stream_takes_new_files_once(spark, store, tmp_path):
     raw, marks = tmp_path / "raw", str(tmp_path / "marks")
     _gz(raw / "1/1.html.gz", page("1"))
