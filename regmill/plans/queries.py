@@ -604,7 +604,7 @@ def changed_files(spark, sf_dir):
     folder, store, all_pages = storage.scratch(spark, "fetched"), _store(spark, sf_dir), upsert.kept(render.company_pages(spark, sf_dir), "rendered")
     pages.write_files(all_pages.select("html"), folder)
     first = ingest_changes(spark, folder, store, "company", suffix=pages.WRITTEN)
-    names = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), company.page_key(F.col("value")).alias("key")).where(F.col("key").isin("2", "4", "6", "8"))
+    names = pages.scan_files(spark, folder, pages.WRITTEN).select("path", company.page_key("html").alias("key")).where(F.col("key").isin("2", "4", "6", "8"))
     at = {r.key: r.path for r in names.collect()}
     for key in ("2", "4", "6"):
         _overwrite(spark, at[key], _without_lists(all_pages.where(F.col("key") == key)).select("html"))

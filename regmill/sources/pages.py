@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import gzip
 import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import islice
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -58,9 +61,114 @@ def _files_of(folder: str, run: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return write
 
 
-def _scan(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+def local_path(spark: SparkSession, folder: str) -> str | None:
+    """The path of a folder that tasks can list and open themselves; null for one in another store, or that is not there."""
+    fs, path = path_of(spark, folder)
+    if fs.getUri().getScheme() != "file" or not fs.exists(path) or not fs.getFileStatus(path).isDirectory():
+        return None
+    return path.toUri().getPath()
+
+
+#: Names that Spark's listing leaves out; files that a task names, and pages that it holds, at a time.
+_HIDDEN = re.compile(r"_[^=]*|\..*|.*\._COPYING_", re.S)
+NAMED, HELD = 10_000, 64
+_FILE = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.int64())])
+
+
+def _url(path: str) -> str:
+    """A path as Spark's _metadata.file_path has it: percent signs for what is no part of a URI, letters of all scripts as they are."""
+    return "file:" + re.sub(r"[\x00-\x7f\x80-\x9f\s]+", lambda m: quote(m[0], safe="/:@!$&'()*+,;=-._~"), path)
+
+
+def _entries(at: str, suffix: str) -> Iterator[tuple[str, bool]]:
+    """Paths in a folder, and whether each is a folder too."""
+    with os.scandir(at) as found:
+        for e in found:
+            if not _HIDDEN.fullmatch(e.name) and (e.is_dir() or e.name.endswith(suffix)):
+                yield e.path, e.is_dir()
+
+
+def _named(suffix: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The entries of folders, some thousands at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                entries = _entries(at, suffix)
+                while some := list(islice(entries, NAMED)):
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.string()), pa.array([d for _, d in some], pa.bool_())], ["at", "folder"])
+
+    return run
+
+
+def _looked_at(suffix: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """path, length and modified (milliseconds) of files, and of those below folders; a file that went meanwhile is left out."""
+
+    def files(at: str, folder: bool) -> Iterator[tuple[str, int, int]]:
+        waiting = [(at, folder)]
+        while waiting:
+            path, is_folder = waiting.pop()
+            try:
+                if is_folder:
+                    for p, d in _entries(path, suffix):
+                        if d:
+                            waiting.append((p, d))
+                        else:
+                            yield from files(p, d)
+                else:
+                    held = os.stat(path)
+                    yield _url(path), held.st_size, held.st_mtime_ns // 1_000_000
+            except FileNotFoundError:
+                continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (f for at, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in files(at, folder))
+            while some := list(islice(found, NAMED)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _FILE.types, strict=True)], schema=_FILE)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path -> path, length, modified and html of files, as they are when they are read."""
+    for batch in batches:
+        paths = iter(batch.column(0).to_pylist())
+        while some := list(islice(paths, HELD)):
+            rows = []
+            for path in some:
+                with open(unquote(path.removeprefix("file:")), "rb") as f:
+                    held, content = os.fstat(f.fileno()), f.read()
+                rows.append((path, held.st_size, held.st_mtime_ns // 1_000_000, gzip.decompress(content) if path.endswith(".gz") else content))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*_FILE.types, pa.binary()], strict=True)], names=[*_FILE.names, "html"])
+
+
+def files_below(spark: SparkSession, at: str, suffix: str) -> DataFrame:
+    """path, length and modified of each file below a local folder, listed by tasks: Spark's own listing holds a status for every file, about
+    1 KB, on the driver. One task names what stands in the folder; all look at the files, and walk the folders below."""
+    tasks = spark.sparkContext.defaultParallelism
+    top = spark.createDataFrame([(at,)], "at string").coalesce(1).mapInArrow(_named(suffix), "at string, folder boolean")
+    found = top.repartition(tasks).mapInArrow(_looked_at(suffix), "path string, length long, modified long")
+    return found.withColumn("modified", F.timestamp_millis("modified"))
+
+
+def read_files(paths: DataFrame, suffix: str) -> DataFrame:
+    """path, length, modified, key and html of local files, from their paths (the one column)."""
+    dealt = paths.repartition(paths.sparkSession.sparkContext.defaultParallelism)
+    read = dealt.mapInArrow(_opened, "path string, length long, modified long, html binary")
+    return read.select("path", "length", F.timestamp_millis("modified").alias("modified"), file_key(F.col("path"), suffix).alias("key"), F.col("html").cast("string").alias("html"))
+
+
+def scan_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """path, key and html of the pages below a folder."""
+    if at := local_path(spark, folder):
+        return read_files(files_below(spark, at, suffix).select("path"), suffix).select("path", "key", "html")
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
-    return files.select(file_key(F.col("_metadata.file_path"), suffix).alias("key"), F.col("value").alias("html"))
+    return files.select(F.col("_metadata.file_path").alias("path"), file_key(F.col("_metadata.file_path"), suffix).alias("key"), F.col("value").alias("html"))
+
+
+def _scan(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    return scan_files(spark, folder, suffix).select("key", "html")
 
 
 def file_key(path: Column, suffix: str) -> Column:

@@ -520,3 +520,44 @@ def test_other_stores_get_page_files_by_spark(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pages, "path_of", lambda spark, folder: (Far(), None))
     pages.write_files(spark.createDataFrame([("x",), ("y",)], "html string").coalesce(1), str(tmp_path / "out"))
     assert sorted(r.html for r in pages.scan_detail_pages(spark, str(tmp_path / "out"), suffix=pages.WRITTEN).collect()) == ["x\n", "y\n"]
+
+
+def _odd_names(at):
+    for name in ("it's \\ 1", "100%25+ x", "a[5]+ b", "é~ü", "q?r#s;t", "x\xa0y z", "a@b&c=d,e!$()*", '{}|^`"<>', "漢字😀", "tab\tx", "deep/er/1", "_hid/2", ".hid/3", "deep/_list/4", "k=v/5", "_k=v/6"):
+        _gz(at / f"{name}.html.gz", name)
+    _gz(at / ".7.html.gz", "7")
+    _gz(at / "_8.html.gz", "8")
+    (at / "other.txt").write_text("no page")
+
+
+def test_tasks_list_and_read_a_local_folder_as_spark_does(spark, tmp_path, monkeypatch):
+    _odd_names(tmp_path / "a b")
+    both = lambda: (sorted(manifest.listing(spark, str(tmp_path)).collect()), sorted(pages.scan_files(spark, str(tmp_path), pages.DETAIL).collect()))
+    found = both()
+    assert manifest.listing(spark, str(tmp_path)).inputFiles() == []  # no listing of Spark's, which the driver holds
+    assert pages.scan_detail_pages(spark, str(tmp_path)).inputFiles() == []
+    for module in (manifest, pages):
+        monkeypatch.setattr(module, "local_path", lambda spark, folder: None)
+    assert found == both() and len(found[0]) == 13
+
+
+def test_a_stream_of_local_pages_holds_paths_in_a_table(spark, store, tmp_path, monkeypatch):
+    raw, marks, whole, batches = tmp_path / "raw", str(tmp_path / "marks"), store.ingest, []
+    monkeypatch.setattr(store, "ingest", lambda found, *args, **more: (batches.append(found.count()), whole(found, *args, **more)))
+    for n in range(7):
+        _gz(raw / f"{n % 2}/{n} +%20.html.gz", page(str(n)))
+    for _ in range(2):
+        incremental_ingest(spark, str(raw), store, "company", marks, files_per_batch=3)
+    _gz(raw / "8.html.gz", page("8"))
+    incremental_ingest(spark, str(raw), store, "company", marks, files_per_batch=3)
+    assert sorted(batches) == [1, 1, 3, 3] and store.table("ingest_log").count() == 8
+    assert {r.number for r in store.table("companies").collect()} == set("01234568")
+    assert sorted(r.path.rpartition("/")[2][0] for r in spark.read.parquet(f"{marks}/paths").collect()) == sorted("01234568")
+
+
+def test_paths_come_in_parts_of_a_size(spark):
+    paths = spark.range(0, 1000, numPartitions=7).selectExpr("CAST(id AS STRING) AS path")
+    for size, want in ((300, [300, 300, 300, 100]), (1000, [1000]), (10**6, [1000])):
+        parts = [[r.path for r in p.collect()] for p in manifest.in_parts(paths, size)]
+        assert [len(p) for p in parts] == want and len({x for p in parts for x in p}) == 1000
+    assert list(manifest.in_parts(paths.limit(0), 5)) == []
