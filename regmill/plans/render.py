@@ -18,6 +18,12 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def _grows(rows: DataFrame) -> DataFrame:
+    """The side of a join that grows with the tables. By the bytes of its file, and fewer columns, Spark would take it for small and build its
+    hash table on the driver: several hundred MB of keys for a file of 50 MB."""
+    return rows.hint("merge")
+
+
 def _odd(key: Column) -> Column:
     return key % 3 == 0
 
@@ -35,7 +41,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     first = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("date").alias("first_order"))
     placed = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return placed.join(first, "c_custkey", "left")
+    return placed.join(_grows(first), "c_custkey", "left")
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +55,9 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = _dealt(
         _customers(spark, sf_dir)
-        .join(_suppliers(spark, sf_dir), "c_custkey", "left")
-        .join(parts.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("name1")), "c_custkey", "left")
-        .join(parts.select((F.col("p_partkey") - 1).alias("c_custkey"), F.col("p_name").alias("name2")), "c_custkey", "left"),
+        .join(_grows(_suppliers(spark, sf_dir)), "c_custkey", "left")
+        .join(_grows(parts.select(F.col("p_partkey").alias("c_custkey"), F.col("p_name").alias("name1"))), "c_custkey", "left")
+        .join(_grows(parts.select((F.col("p_partkey") - 1).alias("c_custkey"), F.col("p_name").alias("name2"))), "c_custkey", "left"),
         "c_custkey",
     )
     k = F.col("c_custkey")
@@ -111,7 +117,8 @@ def company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lobbyist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, html and o_orderkey of one registration for each order."""
-    rows = _dealt(table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "o_orderkey")
+    # both dealt by the join's key, so that the orders are shuffled once
+    rows = _dealt(table(spark, sf_dir, "orders"), "o_custkey").join(_grows(_dealt(table(spark, sf_dir, "customer"), "c_custkey")), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     prefix = F.when(k % 17 == 0, "XX").when(k % 2 == 0, "CL").otherwise("IHL")
     number = F.concat_ws("-", prefix, k.cast("string"), F.col("o_custkey").cast("string"))

@@ -43,3 +43,14 @@ def test_pages_of_any_id_are_dropped(spark, tmp_path):
     spark.range(999_997, 1_000_010).withColumnRenamed("id", "page_id").write.parquet(str(tmp_path / "pages.parquet"))
     got = registry.QUERIES["pages_dropped"](spark, str(tmp_path)).collect()
     assert sorted(int(r.key) for r in got) == [999_999, 1_000_002, 1_000_005, 1_000_008]
+
+
+def test_tables_that_grow_are_not_broadcast(spark, sf):
+    from regmill.plans import render
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pages = render.company_pages(spark, sf)
+    for df in (pages, pages.groupBy().count()):  # of the nation and the region only
+        assert plan(df).count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan(df)
+    assert "Broadcast" not in plan(render.lobbyist_pages(spark, sf))
+    assert render.lobbyist_pages(spark, sf).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
