@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from regmill.functions import elements as E
 from regmill.functions import labels as L
 from regmill.operators import company, lobbyist, planning
 from regmill.plans import queries as registry
@@ -239,3 +240,17 @@ def test_the_frontier_by_bitmaps(spark):
         got = sorted(r.key for r in planning.bitmap_frontier(spark, manifest, start, stop).collect())
         assert got == sorted(r.key for r in planning.crawl_frontier(spark, manifest, start, stop).collect())
     assert planning.number_bitmaps(manifest).count() == 6
+
+
+def test_tags_that_a_task_remembers_are_forgotten_when_they_are_many(spark, monkeypatch):
+    html = "".join(f"<p class=c{i % 7} id=lblA{i % 5}>x{i}</p><br id=lblB{i}>" for i in range(60)) + "<P ID=lblLong title='" + "y" * 300 + "'>z"
+    want = [tuple(e) for e in one(spark, lambda h: E.elements(h, "lbl.*"), html)]
+    assert len(want) == 121 and want[-1][2:] == ("lblLong", "z")
+    monkeypatch.setattr(E, "TAGS", 2)
+    assert [tuple(e) for e in one(spark, lambda h: E.elements(h, "lbl.*"), html)] == want
+
+
+def test_text_that_nothing_is_done_to_is_left_as_it_is(spark):
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", "a\n", "\u00a0a", "a\u2003b", "a\x85", "a\tb", "a&amp;b", "a<>b", "a\x1cb", "a\x00b", "\u2028", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.lines_of(F.col("t")).alias("a"), L._smooth(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [r.a for r in rows][2:5] == ["a", "a b", "a b"]
