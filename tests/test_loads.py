@@ -561,3 +561,17 @@ def test_paths_come_in_parts_of_a_size(spark):
         parts = [[r.path for r in p.collect()] for p in manifest.in_parts(paths, size)]
         assert [len(p) for p in parts] == want and len({x for p in parts for x in p}) == 1000
     assert list(manifest.in_parts(paths.limit(0), 5)) == []
+
+
+def test_the_last_run_is_read_without_a_join(spark, store):
+    plan = lambda name: store.table(name)._jdf.queryExecution().executedPlan().toString()
+    store.ingest(frame(spark, [(n, page(n, directors=["A"])) for n in "123"]), "company")
+    assert not any("Join" in plan(n) for n in ("companies", "company_directors"))
+    store.ingest(frame(spark, [("1", page("1", "New")), ("4", page("4"))]), "company")
+    assert _names(store) == {("1", "New"), ("2", "N"), ("3", "N"), ("4", "N")} and sorted(r.company_number for r in store.table("company_directors").collect()) == ["2", "3"]
+    tables, key = store.versions, ("number",)
+    gone = tables.write_keys(spark.createDataFrame([("2",), (None,)], "number string"), "companies")
+    tables.commit(lambda now: tables.add(now, "companies", None, gone))
+    assert _names(store) == {("1", "New"), ("3", "N"), ("4", "N")}
+    tables.fold("companies", TABLES["companies"].schema, key)
+    assert _names(store) == {("1", "New"), ("3", "N"), ("4", "N")} and "Join" not in plan("companies")
